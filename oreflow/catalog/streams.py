@@ -1 +1,187 @@
+"""Streaming queries: the topic arrives in three segments, each a micro-batch."""
 
+from __future__ import annotations
+
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import functions as F
+
+from oreflow.catalog.base_sql import BRONZE_COLUMNS, SEGMENTS, with_events
+from oreflow.catalog.gold import HOURLY_SQL
+from oreflow.catalog.inputs import stored
+from oreflow.catalog.keys import BUCKET_SQL
+from oreflow.catalog.registry import query
+from oreflow.functions.events import parse_events
+from oreflow.schemas import BRONZE_COLUMNS as COLUMNS
+from oreflow.session import work_path
+from oreflow.sources import bindings
+from oreflow.sources.tables import SnapshotTable
+from oreflow.sources.topic import append_log, stream_log
+from oreflow.streaming import bronze as job
+from oreflow.streaming import hourly, state
+
+SEGMENT_COUNT = 3
+
+
+def _clock(batch_id: int) -> datetime:
+    """Batches twelve hours apart."""
+    return datetime(2024, 2, 1, tzinfo=timezone.utc) + timedelta(hours=12 * batch_id)
+
+
+def _feed(spark, folder, run, only=None):
+    """Write one segment after another and run the stream on what is new."""
+    records = stored(spark, folder, "segments", bindings.segmented_topic, "segment")
+    if only is not None:
+        records = records.filter(only)
+    path = work_path(spark, "topic")
+    for segment in range(SEGMENT_COUNT):
+        append_log(records.filter(F.col("segment") == segment), path)
+        run(stream_log(spark, path)).awaitTermination()
+
+
+_RUNS: dict[tuple, job.StreamTables] = {}
+
+
+def _bronze_run(spark, folder, ttl=None, lateness=None) -> job.StreamTables:
+    key = (spark.sparkContext.applicationId, folder, ttl, lateness)
+    if key not in _RUNS:
+        tables = job.StreamTables.under(spark, work_path(spark, "stream"))
+        step = job.BronzeStream(tables, ttl, lateness, _clock)
+        checkpoint = work_path(spark, "checkpoint")
+        _feed(spark, folder, lambda stream: job.start(stream, step, checkpoint, available_now=True))
+        _RUNS[key] = tables
+    return _RUNS[key]
+
+
+STREAM_SQL = (
+    SEGMENTS
+    + """
+, marks AS (
+  SELECT s.seg, max(g.event_time) - INTERVAL 5 MINUTE AS mark
+  FROM generate_series(0, 2) AS s(seg) LEFT JOIN seg_good g ON g.seg < s.seg GROUP BY 1),
+firsts AS (SELECT * FROM seg_good QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY seg, kafka_offset, kafka_partition) = 1),
+flagged AS (
+  SELECT f.* , TIMESTAMP '2024-02-01' + to_hours(CAST(12 * f.seg AS INTEGER)) AS ingested_at,
+    coalesce(event_time < mark, false) AS is_late_arrival, coalesce(event_time < mark - INTERVAL 1 HOUR, false) AS too_late
+  FROM firsts f JOIN marks m ON m.seg = f.seg)
+"""
+)
+
+
+@query("stream_bronze", with_events(f"SELECT {BRONZE_COLUMNS}, is_late_arrival, seg AS batch_id FROM flagged", STREAM_SQL))
+def stream_bronze(spark, folder):
+    """First copies, late ones flagged and kept."""
+    return _bronze_run(spark, folder).bronze.read().select(*COLUMNS, "is_late_arrival", "batch_id")
+
+
+@query("stream_late", with_events("SELECT event_id, event_time, seg AS batch_id FROM flagged WHERE is_late_arrival", STREAM_SQL))
+def stream_late(spark, folder):
+    """The side output of late rows."""
+    return _bronze_run(spark, folder).late.read().select("event_id", "event_time", "batch_id")
+
+
+@query(
+    "stream_dead_letter",
+    with_events(
+        "SELECT original_payload, error_type, kafka_partition, kafka_offset, CAST(seg AS BIGINT) AS batch_id FROM seg_bad", SEGMENTS
+    ),
+)
+def stream_dead_letter(spark, folder):
+    rows = _bronze_run(spark, folder).dead.read()
+    return rows.select("original_payload", "error_type", "kafka_partition", "kafka_offset", "batch_id")
+
+
+@query(
+    "stream_counters",
+    with_events(
+        """
+, g AS (SELECT seg, count(*) AS good FROM seg_good GROUP BY 1), b AS (SELECT seg, count(*) AS bad FROM seg_bad GROUP BY 1),
+f AS (SELECT seg, count(*) AS processed, count(*) FILTER (is_late_arrival) AS late FROM flagged GROUP BY 1)
+SELECT CAST(g.seg AS BIGINT) AS batch_id, good + coalesce(bad, 0) AS received, coalesce(bad, 0) AS malformed, processed,
+  good - processed AS duplicates, late
+FROM g LEFT JOIN b ON b.seg = g.seg JOIN f ON f.seg = g.seg""",
+        STREAM_SQL,
+    ),
+)
+def stream_counters(spark, folder):
+    rows = _bronze_run(spark, folder).counters.read()
+    return rows.select("batch_id", "received", "malformed", "processed", "duplicates", "late")
+
+
+@query(
+    "stream_allowed_lateness",
+    with_events(
+        "SELECT event_id, CASE WHEN too_late THEN 'TOO_LATE' WHEN is_late_arrival THEN 'LATE' ELSE 'ON_TIME' END AS route FROM flagged",
+        STREAM_SQL,
+    ),
+)
+def stream_allowed_lateness(spark, folder):
+    """Rows at most one hour late are accepted, later ones are routed away."""
+    tables = _bronze_run(spark, folder, lateness=timedelta(hours=1))
+    kept = tables.bronze.read().select("event_id", F.when(F.col("is_late_arrival"), "LATE").otherwise("ON_TIME").alias("route"))
+    return kept.unionByName(tables.too_late.read().select("event_id", F.lit("TOO_LATE").alias("route")))
+
+
+@query(
+    "stream_dedup_ttl",
+    with_events(
+        """
+, copies AS (SELECT DISTINCT event_id, seg FROM seg_good),
+placed AS (SELECT event_id, seg, min(seg) OVER (PARTITION BY event_id) AS first_seg FROM copies)
+SELECT event_id, seg AS batch_id FROM placed WHERE seg = first_seg OR (seg - first_seg) * 12 >= 18""",
+        SEGMENTS,
+    ),
+)
+def stream_dedup_ttl(spark, folder):
+    """Ids are forgotten after 18 hours, so a copy a day later passes again."""
+    return _bronze_run(spark, folder, ttl=timedelta(hours=18)).bronze.read().select("event_id", "batch_id")
+
+
+@query("stream_append", with_events(f"SELECT {BRONZE_COLUMNS} FROM (SELECT *, arrival AS ingested_at FROM delivered)"))
+def stream_append(spark, folder):
+    """Plain parse-and-append ingest, duplicates included."""
+    path, checkpoint = work_path(spark, "appended"), work_path(spark, "checkpoint")
+    _feed(spark, folder, lambda stream: job.append_parsed(stream, path, checkpoint, available_now=True))
+    return spark.read.parquet(path).select(*COLUMNS)
+
+
+FIRST_COPIES = f"offset < {bindings.COPY_SHIFT}"
+
+
+@query("stream_hourly", with_events(HOURLY_SQL.format(table="ev")))
+def stream_hourly(spark, folder):
+    """Hourly metrics of first copies; late rows are within the allowed day."""
+    table = SnapshotTable(spark, work_path(spark, "hourly"), hourly.HOURLY_SCHEMA, "hour_date", ("hour_key",), True)
+    checkpoint = work_path(spark, "checkpoint")
+    _feed(
+        spark, folder, lambda stream: hourly.start(stream, table, checkpoint, "40 days", available_now=True), FIRST_COPIES
+    )
+    return table.read().drop("hour_date")
+
+
+@query(
+    "stream_rate_limit",
+    with_events(
+        """
+, seconds AS (SELECT client_ip AS client, CAST(epoch(date_trunc('second', arrival)) AS BIGINT) AS second, count(*) AS requests
+              FROM ev GROUP BY 1, 2)"""
+        + BUCKET_SQL
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def stream_rate_limit(spark, folder):
+    """Token buckets kept as stream state over the requests in arrival order."""
+    out, checkpoint, path = (work_path(spark, name) for name in ("limited", "checkpoint", "topic"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
+    records = stored(spark, folder, "segments", bindings.segmented_topic, "segment").filter(FIRST_COPIES)
+    edges = [None, "2024-01-11", "2024-01-21", None]
+    for start, end in zip(edges, edges[1:]):
+        since = F.lit(True) if start is None else F.col("timestamp") >= F.lit(start).cast("timestamp")
+        until = F.lit(True) if end is None else F.col("timestamp") < F.lit(end).cast("timestamp")
+        append_log(records.filter(since & until), path)
+        events = parse_events(stream_log(spark, path), F.col("kafka_timestamp"))
+        limited = state.rate_limit(events, "client_ip", "ingested_at", 2, 86_400)
+        (
+            limited.writeStream.format("parquet").outputMode("append").option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        )
+    return spark.read.parquet(out)

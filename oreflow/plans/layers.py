@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from oreflow.sources.tables import SnapshotTable
 
@@ -54,7 +53,7 @@ def with_bucket(rows: DataFrame) -> DataFrame:
 
 
 def _table(spark: SparkSession, root: str, name: str, ddl: str, part: str | None, key: tuple, fixed: bool = False) -> SnapshotTable:
-    return SnapshotTable(spark, f"{root}/{name}", T.StructType.fromDDL(ddl), part, key, fixed)
+    return SnapshotTable(spark, f"{root}/{name}", ddl, part, key, fixed)
 
 
 def bronze(spark: SparkSession, root: str) -> SnapshotTable:

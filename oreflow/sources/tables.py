@@ -48,7 +48,7 @@ class SnapshotTable:
 
     spark: SparkSession
     path: str
-    schema: T.StructType
+    schema: T.StructType | str
     part: str | None = None
     key: tuple[str, ...] = ()
     key_fixes_part: bool = False
@@ -60,6 +60,8 @@ class SnapshotTable:
 
     def __post_init__(self) -> None:
         """Create the table if it is missing."""
+        if isinstance(self.schema, str):
+            self.schema = T.StructType.fromDDL(self.schema)
         empty = self.spark.createDataFrame([], MANIFEST)
         empty.write.mode("ignore").parquet(f"{self.path}/manifest")
 

@@ -13,7 +13,6 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from oreflow.functions.events import dead_letters, parse_events
@@ -52,7 +51,7 @@ class StreamTables:
     @classmethod
     def under(cls, spark: SparkSession, root: str) -> "StreamTables":
         make = lambda name, ddl, part, key: SnapshotTable(
-            spark, f"{root}/{name}", T.StructType.fromDDL(ddl), part, key
+            spark, f"{root}/{name}", ddl, part, key
         )
         return cls(
             make("bronze", STREAM_SCHEMA, "event_date", ("event_id",)),
