@@ -35,8 +35,10 @@ def stored(spark: SparkSession, folder: str, name: str, build, part: str | None
     if key not in _STORED:
         path = work_path(spark, name)
         rows = build(spark, folder)
-        writer = rows.hint("rebalance", part).write.partitionBy(part) if part else rows.write
-        writer.parquet(path)
+        if part:
+            rows.hint("rebalance", part).write.partitionBy(part).parquet(path)
+        else:  # as many files as cores, like the partitions of a topic
+            rows.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oreflow.catalog.base_sql import LOGS, with_events
-from oreflow.catalog.inputs import bronze
+from oreflow.catalog.inputs import bronze, stored
 from oreflow.catalog.registry import query
 from oreflow.functions.logs import parse_container_logs
 from oreflow.operators import lookups, metrics
@@ -14,7 +14,7 @@ WITH_LOGS = "WITH " + LOGS
 
 
 def access(spark, folder):
-    return parse_container_logs(bindings.container_logs(spark, folder))
+    return parse_container_logs(stored(spark, folder, "logs", bindings.container_logs))
 
 
 @query("access_log_parse", WITH_LOGS + "SELECT * FROM access")

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreflow.operators.sizing import sized_side
+from oreflow.operators.sizing import hinted
 from oreflow.schemas import LINEAGE_RUN
-from oreflow.session import materialize
+from oreflow.session import materialize, materialize_counted
 
 # Run states.
 RUN_STATES = ("START", "COMPLETE", "FAIL")
@@ -45,14 +45,13 @@ def impact(graph: DataFrame, seeds: DataFrame, downstream: bool = True) -> DataF
     spark = graph.sparkSession
     src, dst = ("src", "dst") if downstream else ("dst", "src")
     links = materialize(spark, graph.select(F.col(src).alias("node"), F.col(dst).alias("_to")))
-    frontier = materialize(spark, seeds.select("node").distinct().withColumn("hops", F.lit(0)))
+    frontier, size = materialize_counted(spark, seeds.select("node").distinct().withColumn("hops", F.lit(0)))
     levels = [frontier]
-    while True:
-        step = links.join(sized_side(frontier.select("node")), "node", "left_semi")
+    while size:
+        step = links.join(hinted(frontier.select("node"), size), "node", "left_semi")
         found = step.select(F.col("_to").alias("node")).distinct()
         seen = reduce(DataFrame.unionByName, levels).select("node")
         fresh = found.join(seen, "node", "left_anti").withColumn("hops", F.lit(len(levels)))
-        frontier = materialize(spark, fresh)
-        if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
+        frontier, size = materialize_counted(spark, fresh)
         levels.append(frontier)
+    return reduce(DataFrame.unionByName, levels)

@@ -290,7 +290,7 @@ def latency_report(events: DataFrame, slo_ms: list[int], p95_limit_ms: float, er
     time = exact_percentiles(events, [], nanos, probs).select(
         one, *[nanos_to_millis(F.col(p)).alias(f"{p}_ms") for p in ("p50", "p95", "p99")]
     )
-    size = exact_percentiles(events, [], spread, probs).select(
+    size = exact_percentiles(events, [], spread, probs, cell_bits=0).select(
         one, *[F.col(p).alias(f"range_size_{p}") for p in ("p50", "p95", "p99")]
     )
     # Three one-row tables side by side.
@@ -314,5 +314,5 @@ def requests_per_minute(access: DataFrame) -> DataFrame:
         share(500).alias("server_5xx"),
         (share(200) / F.count("*")).alias("availability"),
     )
-    marks = exact_percentiles(timed, ["minute"], F.col("duration_ms"), [0.95])
+    marks = exact_percentiles(timed, ["minute"], F.col("duration_ms"), [0.95], cell_bits=0)
     return base.join(marks.withColumnRenamed("p95", "p95_ms"), "minute", "left")

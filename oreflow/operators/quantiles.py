@@ -21,16 +21,20 @@ def percentile_name(prob: float) -> str:
     return "p" + f"{prob * 100:g}".replace(".", "_")
 
 
-def exact_percentiles(df: DataFrame, groups: list[str], value: Column, probs: list[float]) -> DataFrame:
+def exact_percentiles(
+    df: DataFrame, groups: list[str], value: Column, probs: list[float], cell_bits: int = CELL_BITS
+) -> DataFrame:
     """Linear-interpolated percentiles of an integer value per group.
 
     Returns the group columns and one double column per probability
-    (``p50``, ``p95``, ...). Without groups the result is one row.
+    (``p50``, ``p95``, ...). Without groups the result is one row. With
+    ``cell_bits=0`` every value is its own cell and one pass is enough: for
+    values from a small domain, such as milliseconds.
     """
     keys = groups or ["_all"]
     data = df if groups else df.withColumn("_all", F.lit(1))
     data = data.select(*keys, value.cast("long").alias("_v")).filter(F.col("_v").isNotNull())
-    data = data.withColumn("_cell", F.shiftright("_v", CELL_BITS))
+    data = data.withColumn("_cell", F.shiftright("_v", cell_bits))
 
     per_cell = data.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
     by_cell = Window.partitionBy(*keys).orderBy("_cell")
@@ -57,19 +61,22 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: Column, probs: li
             (F.col("_s.rank") - F.col("_before")).alias("_local"),
         )
     )
-    spots = sized_side(spots)
-    cells = [*keys, "_cell"]
-    per_value = (
-        data.join(spots.select(*cells), cells, "left_semi").groupBy(*cells, "_v").agg(F.count("*").alias("_n"))
-    )
-    by_value = Window.partitionBy(*cells).orderBy("_v")
-    per_value = per_value.withColumn("_upto", F.sum("_n").over(by_value))
-    hits = per_value.join(spots, cells).filter(
-        (F.col("_local") < F.col("_upto")) & (F.col("_local") >= F.col("_upto") - F.col("_n"))
-    )
+    hits = spots.withColumn("_v", F.col("_cell")) if cell_bits == 0 else _values_at(data, spots, keys)
     share = F.col("_pos") - F.floor("_pos")
     low = F.max(F.when(F.col("_side") == 0, F.col("_v")))
     high = F.max(F.when(F.col("_side") == 1, F.col("_v")))
     points = hits.groupBy(*keys, "_p").agg((low + (high - low) * F.max(share)).cast("double").alias("_q"))
     wide = [F.max(F.when(F.col("_p") == p, F.col("_q"))).alias(percentile_name(p)) for p in probs]
     return points.groupBy(*keys).agg(*wide).drop("_all")
+
+
+def _values_at(data: DataFrame, spots: DataFrame, keys: list[str]) -> DataFrame:
+    """Second pass: the value at each wanted place inside its cell."""
+    spots = sized_side(spots)
+    cells = [*keys, "_cell"]
+    wanted = data.join(spots.select(*cells), cells, "left_semi")
+    per_value = wanted.groupBy(*cells, "_v").agg(F.count("*").alias("_n"))
+    by_value = Window.partitionBy(*cells).orderBy("_v")
+    per_value = per_value.withColumn("_upto", F.sum("_n").over(by_value))
+    inside = (F.col("_local") < F.col("_upto")) & (F.col("_local") >= F.col("_upto") - F.col("_n"))
+    return per_value.join(spots, cells).filter(inside)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreflow.session import materialize
+from oreflow.session import materialize_counted
 
 BROADCAST_ROWS = 500_000
 
@@ -17,5 +17,10 @@ def sized_side(keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     returned without one, so the join shuffles and adaptive execution splits
     skewed partitions.
     """
-    kept = materialize(keys.sparkSession, keys)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    kept, rows = materialize_counted(keys.sparkSession, keys)
+    return hinted(kept, rows, max_rows)
+
+
+def hinted(side: DataFrame, rows: int, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The side with a broadcast hint when its counted rows allow it."""
+    return F.broadcast(side) if rows <= max_rows else side

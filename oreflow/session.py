@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -61,7 +62,18 @@ def work_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "oreflow", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(spark: SparkSession, df):
-    """Compute once into the shared folder and cut the lineage there."""
-    shared_dir(spark)
-    return df.checkpoint(eager=True)
+def materialize_counted(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, int]:
+    """Compute once into a Parquet table in the shared folder; returns the
+    table and its row count, taken while writing.
+
+    This cuts the lineage like a checkpoint, but stays columnar: later steps
+    read only their columns, and Spark knows the real size when it joins.
+    """
+    path = work_path(spark, "step")
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+
+
+def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
+    return materialize_counted(spark, df)[0]

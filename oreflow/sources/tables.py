@@ -91,8 +91,7 @@ class SnapshotTable:
         return live
 
     def _commit(self, operation: str, changes: list[tuple], committed_at: datetime | None) -> int:
-        newest = self.manifest().agg(F.max("snapshot_id")).first()[0]
-        snapshot_id = (newest or 0) + 1
+        snapshot_id = max((e["snapshot_id"] for e in self._entries()), default=0) + 1
         moment = committed_at or datetime.now(timezone.utc)
         rows = [(snapshot_id, moment, operation, *change) for change in changes or [("append", None, None, 0)]]
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
@@ -134,6 +133,17 @@ class SnapshotTable:
     def append(self, df: DataFrame, committed_at: datetime | None = None, operation: str = "append") -> int:
         return self._commit(operation, self._write(df), committed_at)
 
+    def append_once(self, df: DataFrame, tag: str) -> bool:
+        """Append unless a publish with this tag is there already.
+
+        A publish is all or nothing, so a step that runs again after a failure
+        adds nothing twice.
+        """
+        if any(e["operation"] == tag for e in self._entries()):
+            return False
+        self.append(df, operation=tag)
+        return True
+
     def overwrite(self, df: DataFrame, committed_at: datetime | None = None) -> int:
         """Replace all rows in one publish: readers never see an empty table."""
         return self._commit("overwrite", [("reset", None, None, 0), *self._write(df)], committed_at)

@@ -1,8 +1,8 @@
 """Streaming bronze ingest with lateness, dead letters and counters.
 
 Each micro-batch is parsed, deduplicated (first copy wins) and published to
-snapshot tables. All outputs are keyed by event id or replace their own batch,
-so a batch that is run again after a failure adds nothing twice.
+snapshot tables. Every publish carries its batch number and happens once, so a
+batch that is run again after a failure adds nothing twice.
 """
 
 from __future__ import annotations
@@ -107,16 +107,14 @@ class BronzeStream:
         accepted = fresh.filter(~F.col("_too_late")).drop("_too_late")
         dead = dead_letters(records, now).withColumn("batch_id", F.lit(batch_id).cast("long"))
 
-        this = [str(batch_id)]
-        # A repeated batch finds its own rows already there and skips them.
-        mine = self.tables.bronze.read().filter(F.col("batch_id") == batch_id)
-        self.tables.bronze.append(new_rows(accepted, mine, ["event_id"]), operation="stream")
-        self.tables.late.overwrite_partitions(accepted.filter("is_late_arrival"), operation="stream", touched=this)
-        self.tables.too_late.overwrite_partitions(
-            fresh.filter("_too_late").drop("_too_late"), operation="stream", touched=this
-        )
-        self.tables.dead.overwrite_partitions(dead, operation="stream", touched=this)
-        self.tables.counters.overwrite_partitions(self._count(records, parsed, fresh, batch_id), operation="stream", touched=this)
+        tag = f"batch-{batch_id}"
+        tables = self.tables
+        tables.bronze.append_once(accepted, tag)
+        tables.late.append_once(accepted.filter("is_late_arrival"), tag)
+        tables.too_late.append_once(fresh.filter("_too_late").drop("_too_late"), tag)
+        tables.dead.append_once(dead, tag)
+        # Last: the next batch takes its watermark from the counters.
+        tables.counters.append_once(self._count(records, parsed, fresh, batch_id), tag)
 
     @staticmethod
     def _count(records: DataFrame, parsed: DataFrame, fresh: DataFrame, batch_id: int) -> DataFrame:
