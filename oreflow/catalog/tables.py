@@ -134,10 +134,10 @@ def staged_backfill(spark, folder):
     old, new = rows.filter(F.col("o_year") < middle), rows.filter(F.col("o_year") >= middle)
     rules = [{"rule": "unique", "column": "o_orderkey"}, {"rule": "not_null", "column": "o_custkey"}]
     for load in (old, new.withColumn("o_custkey", F.lit(None).cast("long"))):
-        changes, staged = table.stage(load)
+        token, staged = table.stage(load)
         try:
             gate(validate(staged, "staged", rules))
-            table.publish(changes, replace=True)
+            table.publish(token, replace=True)
         except ValidationFailed:
             continue
     return table.read()

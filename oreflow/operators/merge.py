@@ -32,11 +32,13 @@ def require_unique(source: DataFrame, key: list[str]) -> None:
         raise DuplicateKeys(f"duplicate merge keys on {key}")
 
 
-def upsert(target: DataFrame, source: DataFrame, key: list[str]) -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, key: list[str], keys: DataFrame | None = None) -> DataFrame:
     """Target with matching rows replaced by, and others joined with, the source.
 
-    The anti join's right side is the source's key list, broadcast while it is
-    small. Columns missing on one side are filled with NULL.
+    The anti join's right side is the source's key list (``keys`` when it is
+    there already), broadcast while it is small. Columns missing on one side
+    are filled with NULL.
     """
-    keys = sized_side(source.select(*key))
+    if keys is None:
+        keys = sized_side(source.select(*key))
     return target.join(keys, key, "left_anti").unionByName(source, allowMissingColumns=True)

@@ -18,7 +18,7 @@ from oreflow.sources.topic import after_global_mark, after_marks
 
 def _collected(events: DataFrame) -> tuple[DataFrame, dict]:
     """The batch, computed once, with its metrics taken on the way."""
-    seen = Observation()
+    seen = Observation("ingest")
     measured = events.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("kafka_offset").alias("max_offset"))
     batch = materialize(events.sparkSession, measured)
     return batch, seen.get
@@ -47,7 +47,7 @@ def backfill(
     events = parse_events(topic, ingested_at).filter(half_open("event_time", start, end))
     batch, metrics = _collected(with_event_date(highest_offset(events)))
     missing = new_rows(batch, table.read(), list(table.key))
-    changes, staged = table.stage(missing)
+    token, staged = table.stage(missing)
     passed = gate(validate(staged, "staged", rules), report_only) if rules else True
-    snapshot = table.publish(changes, committed_at=committed_at)
+    snapshot = table.publish(token, committed_at=committed_at)
     return {**metrics, "snapshot_id": snapshot, "passed": passed}

@@ -15,10 +15,9 @@ import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from oreflow.operators.merge import new_rows, require_unique, upsert
 from oreflow.operators.sizing import sized_side
@@ -90,16 +89,38 @@ class SnapshotTable:
                 self._apply(live, entry)
         return live
 
-    def _commit(self, operation: str, changes: list[tuple], committed_at: datetime | None) -> int:
+    def _commit(
+        self, operation: str, committed_at: datetime | None, token: str | None = None, replace: bool = False,
+        touched=(), reset: bool = False,
+    ) -> int:
+        """Add a publish to the manifest: what it drops, then what it adds.
+
+        Row counts per partition come from the written files, in the same job
+        that writes the manifest rows.
+        """
         snapshot_id = max((e["snapshot_id"] for e in self._entries()), default=0) + 1
         moment = committed_at or datetime.now(timezone.utc)
-        rows = [(snapshot_id, moment, operation, *change) for change in changes or [("append", None, None, 0)]]
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        # A publish without rows still leaves its mark.
+        marks = [("drop", value) for value in sorted(touched)] + [("reset" if reset else "mark", None)]
+        marked = F.explode(F.array(*[F.struct(F.lit(a).alias("action"), F.lit(v).cast("string").alias("part_key")) for a, v in marks]))
+        changes = self.spark.range(1).select(marked.alias("_m")).select(
+            "_m.*", F.lit(None).cast("string").alias("token"), F.lit(0).cast("long").alias("rows")
+        )
+        if token:
+            sizes = self._scan({"*": {token: 0}}).groupBy("part_key").agg(F.count("*").alias("rows"))
+            actions = F.explode(F.array(*[F.lit(a) for a in (("drop", "append") if replace else ("append",))]))
+            added = sizes.select(actions.alias("action"), "part_key", F.lit(token).alias("token"), "rows")
+            changes = changes.unionByName(added)
+        entries = changes.select(
+            F.lit(snapshot_id).cast("long").alias("snapshot_id"), F.lit(moment).alias("committed_at"),
+            F.lit(operation).alias("operation"), "action", "part_key", "token", "rows",
+        )
+        entries.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
         return snapshot_id
 
     # -------------------------------------------------------------- write
-    def _write(self, df: DataFrame) -> list[tuple]:
-        """Write rows under a new token; returns one change per partition.
+    def _write(self, df: DataFrame) -> str | None:
+        """Write rows under a new token, which is returned; None without rows.
 
         The rebalance hint lets adaptive execution split a partition with most
         of the rows over many writers and join small ones.
@@ -107,31 +128,28 @@ class SnapshotTable:
         token = uuid.uuid4().hex
         part = F.coalesce(F.col(self.part).cast("string"), F.lit("none")) if self.part else F.lit("all")
         placed = df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields], part.alias("part_key"))
+        seen = Observation()
         (
             placed.withColumn("token", F.lit(token))
             .hint("rebalance", "part_key")
+            .observe(seen, F.count(F.lit(1)).alias("rows"))
             .write.mode("append")
             .partitionBy("part_key", "token")
             .parquet(self._data)
         )
-        written = self._scan({"*": {token: 0}}).groupBy("part_key").agg(F.count("*").alias("rows"))
-        return [("append", w["part_key"], token, w["rows"]) for w in written.collect()]
+        return token if seen.get["rows"] else None
 
-    def stage(self, df: DataFrame) -> tuple[list[tuple], DataFrame]:
-        """Write rows without publishing them; returns (changes, staged rows)."""
-        changes = self._write(df)
-        live: dict[str, dict[str, int]] = {}
-        for change in changes:
-            live.setdefault(change[1], {})[change[2]] = change[3]
-        return changes, self._scan(live).drop("part_key")
+    def stage(self, df: DataFrame) -> tuple[str | None, DataFrame]:
+        """Write rows without publishing them; returns (token, staged rows)."""
+        token = self._write(df)
+        return token, self._scan({"*": {token: 0}} if token else {}).drop("part_key")
 
-    def publish(self, changes: list[tuple], replace: bool = False, committed_at: datetime | None = None) -> int:
+    def publish(self, token: str | None, replace: bool = False, committed_at: datetime | None = None) -> int:
         """Make staged rows visible, beside or in place of their partitions."""
-        drops = [("drop", value, None, 0) for value in sorted({c[1] for c in changes})] if replace else []
-        return self._commit("swap" if replace else "append", [*drops, *changes], committed_at)
+        return self._commit("swap" if replace else "append", committed_at, token, replace)
 
     def append(self, df: DataFrame, committed_at: datetime | None = None, operation: str = "append") -> int:
-        return self._commit(operation, self._write(df), committed_at)
+        return self._commit(operation, committed_at, self._write(df))
 
     def append_once(self, df: DataFrame, tag: str) -> bool:
         """Append unless a publish with this tag is there already.
@@ -146,16 +164,13 @@ class SnapshotTable:
 
     def overwrite(self, df: DataFrame, committed_at: datetime | None = None) -> int:
         """Replace all rows in one publish: readers never see an empty table."""
-        return self._commit("overwrite", [("reset", None, None, 0), *self._write(df)], committed_at)
+        return self._commit("overwrite", committed_at, self._write(df), reset=True)
 
     def overwrite_partitions(
-        self, df: DataFrame, committed_at: datetime | None = None, operation: str = "overwrite", touched=None
+        self, df: DataFrame, committed_at: datetime | None = None, operation: str = "overwrite", touched=()
     ) -> int:
-        """Replace the partitions that ``df`` (or ``touched``) covers."""
-        written = self._write(df)
-        covered = {change[1] for change in written} | set(touched or ())
-        drops = [("drop", value, None, 0) for value in sorted(covered)]
-        return self._commit(operation, [*drops, *written], committed_at)
+        """Replace the partitions that ``df`` covers, and those ``touched``."""
+        return self._commit(operation, committed_at, self._write(df), replace=True, touched=touched)
 
     def insert_new(self, source: DataFrame, committed_at: datetime | None = None) -> int:
         """Insert the rows whose key is not in the table yet."""
@@ -171,27 +186,30 @@ class SnapshotTable:
         key = list(self.key)
         if check:
             require_unique(source, key)
+        keys = sized_side(source.select(*key))
         live = self._live()
-        touched = self._parts_of(source) | self._parts_holding(source, key)
+        touched = self._parts_of(source) | self._parts_holding(keys, source, live)
         kept = {value: tokens for value, tokens in live.items() if value in touched}
-        result = upsert(self._scan(kept), source, key) if kept else source
+        result = upsert(self._scan(kept).drop("part_key"), source, key, keys) if kept else source
         return self.overwrite_partitions(result, committed_at, "merge", touched & set(live))
 
     def delete_keys(self, keys: DataFrame, committed_at: datetime | None = None) -> int:
         """Delete by key, rewriting only partitions that hold such keys."""
         key = list(self.key)
-        touched = self._parts_holding(keys, key)
-        kept = {value: tokens for value, tokens in self._live().items() if value in touched}
+        listed = sized_side(keys.select(*key).distinct())
+        live = self._live()
+        touched = self._parts_holding(listed, keys, live)
+        kept = {value: tokens for value, tokens in live.items() if value in touched}
         if not kept:
-            return self._commit("delete", [], committed_at)
-        rest = self._scan(kept).join(sized_side(keys.select(*key).distinct()), key, "left_anti")
+            return self._commit("delete", committed_at)
+        rest = self._scan(kept).join(listed, key, "left_anti")
         return self.overwrite_partitions(rest, committed_at, "delete", touched)
 
     def compact(self, committed_at: datetime | None = None) -> int:
         """Rewrite partitions made of several publishes into one; same rows."""
         many = {value: tokens for value, tokens in self._live().items() if len(tokens) > 1}
         if not many:
-            return self._commit("compact", [], committed_at)
+            return self._commit("compact", committed_at)
         return self.overwrite_partitions(self._scan(many), committed_at, "compact", set(many))
 
     def _parts_of(self, source: DataFrame) -> set[str]:
@@ -200,14 +218,13 @@ class SnapshotTable:
         value = F.coalesce(F.col(self.part).cast("string"), F.lit("none"))
         return {row[0] for row in source.select(value).distinct().collect()}
 
-    def _parts_holding(self, source: DataFrame, key: list[str]) -> set[str]:
-        """Partition values with a row of the source's keys: reads key columns only."""
+    def _parts_holding(self, keys: DataFrame, source: DataFrame, live: dict[str, dict[str, int]]) -> set[str]:
+        """Partition values with a row of these keys: reads key columns only."""
         if not self.part:
-            return {"all"}
-        if key == [self.part] or self.key_fixes_part:
-            return self._parts_of(source)
-        wanted = sized_side(source.select(*key).distinct())
-        holders = self._scan(self._live()).join(wanted, key, "left_semi")
+            return {"all"} & set(live)
+        if (list(self.key) == [self.part] or self.key_fixes_part) and self.part in source.columns:
+            return self._parts_of(source) & set(live)
+        holders = self._scan(live).join(keys, list(self.key), "left_semi")
         return {row[0] for row in holders.select("part_key").distinct().collect()}
 
     # --------------------------------------------------------------- read
@@ -220,17 +237,12 @@ class SnapshotTable:
         full = T.StructType([*self.schema.fields, T.StructField("part_key", T.StringType()),
                              T.StructField("token", T.StringType())])
         reader = self.spark.read.schema(full).option("basePath", self._data)
-        try:
-            rows = reader.parquet(*paths).drop("token")
-            if self.part:
-                # Taken from the folder name, so filters on it prune folders.
-                kind = self.schema[self.part].dataType.simpleString()
-                rows = rows.withColumn(self.part, F.expr(f"try_cast(part_key AS {kind})"))
-            return rows
-        except AnalysisException:
-            if "*" in live:  # nothing was written
-                return self._scan({})
-            raise
+        rows = reader.parquet(*paths).drop("token")
+        if self.part:
+            # Taken from the folder name, so filters on it prune folders.
+            kind = self.schema[self.part].dataType.simpleString()
+            rows = rows.withColumn(self.part, F.expr(f"try_cast(part_key AS {kind})"))
+        return rows
 
     def read(self, snapshot_id: int | None = None, as_of: datetime | str | None = None) -> DataFrame:
         """Current rows, or those of a snapshot id or of a moment."""
