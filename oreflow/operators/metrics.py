@@ -37,11 +37,15 @@ def daily_summary(facts: DataFrame, generated_at) -> DataFrame:
 def daily_summary_of_interval(facts: DataFrame, start, end, generated_at) -> DataFrame:
     """Summary of the days touched by facts processed in the interval.
 
-    ``facts`` should have a partition column ``event_date``: the semi join then
-    prunes to the touched days' files.
+    ``facts`` should have a partition column ``event_date``: the span of the
+    touched days prunes files when planning, the semi join prunes the days
+    between them while running.
     """
-    touched = facts.filter(half_open("processed_at", start, end)).select("event_date").distinct()
-    return daily_summary(facts.join(sized_side(touched), "event_date", "left_semi"), generated_at)
+    touched = sized_side(facts.filter(half_open("processed_at", start, end)).select("event_date").distinct())
+    first, last = touched.agg(F.min("event_date"), F.max("event_date")).first()
+    span = F.col("event_date").between(F.lit(first), F.lit(last))
+    days = facts.filter(span).join(touched.filter(span), "event_date", "left_semi")
+    return daily_summary(days, generated_at)
 
 
 def _user_aggregates() -> list[Column]:

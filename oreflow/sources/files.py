@@ -24,7 +24,7 @@ def list_catalog_tables(spark: SparkSession, database: str) -> DataFrame:
     """Tables of a catalog database with their row counts, in one job."""
     from oreflow.sources.tables import table_counts
 
-    names = [t.name for t in spark.catalog.listTables(database)]
+    names = [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]
     if not names:
         return spark.createDataFrame([], "table_name string, row_count long")
     return table_counts({f"{database}.{n}": spark.table(f"{database}.{n}") for n in names})
