@@ -41,13 +41,20 @@ def decode_envelope(topic: DataFrame) -> DataFrame:
 
 
 def _decoded(topic: DataFrame) -> DataFrame:
-    return decode_envelope(topic).withColumn("event", F.from_json("raw_value", EVENT_JSON))
+    """Envelope columns and one column per JSON field, all NULL if malformed.
+
+    ``inline`` keeps a later filter on a field above the parsing; pushed below
+    it, the filter would parse each payload a second time.
+    """
+    event = F.from_json("raw_value", EVENT_JSON)
+    return decode_envelope(topic).select("*", F.inline(F.array(event)))
 
 
-def _flatten(event: Column) -> list[Column]:
+def _flatten(event=F.col) -> list[Column]:
+    """The event's columns; ``event`` gives the Column of a JSON field."""
     columns = []
     for field, column, _ in EVENT_FIELDS:
-        value = event[field]
+        value = event(field)
         columns.append((F.try_to_timestamp(value) if column == "event_time" else value).alias(column))
     return columns
 
@@ -58,8 +65,8 @@ def parse_events(topic: DataFrame, ingested_at) -> DataFrame:
     stamp = instant(ingested_at).alias("ingested_at")
     return (
         _decoded(topic)
-        .filter(F.col("event.eventId").isNotNull())
-        .select(*_flatten(F.col("event")), stamp, "kafka_partition", "kafka_offset")
+        .filter(F.col("eventId").isNotNull())
+        .select(*_flatten(), stamp, "kafka_partition", "kafka_offset")
     )
 
 
@@ -68,7 +75,7 @@ def dead_letters(topic: DataFrame, failed_at) -> DataFrame:
     broken = F.get_json_object("raw_value", "$").isNull()
     return (
         _decoded(topic)
-        .filter(F.col("event.eventId").isNull())
+        .filter(F.col("eventId").isNull())
         .select(
             F.col("raw_value").alias("original_payload"),
             F.when(broken, "MALFORMED_JSON").otherwise("MISSING_EVENT_ID").alias("error_type"),
@@ -211,7 +218,7 @@ def normalize_mixed(topic: DataFrame, ingested_at) -> DataFrame:
         "response_time_nanos": none("long"),
         "status": F.when(failed, F.concat_ws("_", F.lit("ERROR"), old["errorType"])).otherwise("SUCCESS"),
     }
-    current = dict(zip([c for _, c, _ in EVENT_FIELDS], _flatten(F.col("event"))))
+    current = dict(zip([c for _, c, _ in EVENT_FIELDS], _flatten(lambda field: F.col("event")[field])))
     merged = [F.when(legacy, values[c]).otherwise(current[c]).alias(c) for c in values]
     return (
         both.filter(F.coalesce("event.eventId", "old.eventId").isNotNull())

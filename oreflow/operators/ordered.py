@@ -3,7 +3,8 @@
 A plain window over a key puts all rows of the key into one task. Here each key
 is cut into chunks (for instance days); windows run per (key, chunk), and what
 crosses a chunk border comes from a summary with one row per (key, chunk),
-whose size is the number of chunks and not the number of rows.
+whose size is the number of chunks and not the number of rows. Keys and chunks
+must not be NULL: the join of the summary then reuses the windows' partitioning.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def carry_last(
     carried = summary.select(*cells, F.last("_chunk_last", ignorenulls=True).over(earlier).alias("_carried"))
     marked = df.withColumn("_local", F.last(value, ignorenulls=True).over(local))
     return (
-        _join_cells(marked, carried, cells)
+        marked.join(carried, cells, "left")
         .withColumn(name, F.coalesce("_local", "_carried"))
         .drop("_local", "_carried")
     )
@@ -53,7 +54,7 @@ def number_and_next(
     )
     marked = df.withColumns({"_local": F.row_number().over(local), "_lead": F.lead(value).over(local)})
     return (
-        _join_cells(marked, borders, cells)
+        marked.join(borders, cells, "left")
         .withColumns({number: F.col("_offset") + F.col("_local"), following: F.coalesce("_lead", "_ahead")})
         .drop("_local", "_lead", "_offset", "_ahead")
     )
@@ -79,12 +80,3 @@ def global_position(df: DataFrame, order: list[str], name: str = "position") ->
         .withColumn(name, F.col("_start") + F.col("_within"))
         .drop("_id", "_part", "_within", "_start")
     )
-
-
-def _join_cells(left: DataFrame, right: DataFrame, cells: list[str]) -> DataFrame:
-    """Null-safe join on the cell columns; keys of ordered data may be NULL."""
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in cells else F.col(c) for c in right.columns])
-    test = F.lit(True)
-    for cell in cells:
-        test = test & left[cell].eqNullSafe(renamed[f"_r_{cell}"])
-    return left.join(renamed, test, "left").drop(*[f"_r_{c}" for c in cells])

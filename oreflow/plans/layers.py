@@ -56,12 +56,15 @@ def _table(spark: SparkSession, root: str, name: str, ddl: str, part: str | None
     return SnapshotTable(spark, f"{root}/{name}", ddl, part, key, fixed)
 
 
-def bronze(spark: SparkSession, root: str) -> SnapshotTable:
-    return _table(spark, root, "bronze/raw_conversion_events", BRONZE_SCHEMA, "event_date", ("event_id",))
+def bronze(spark: SparkSession, root: str, fixed_time: bool = False) -> SnapshotTable:
+    """``fixed_time``: producers never resend an event id with another time, so
+    merges look for known ids in the days of the new rows only."""
+    return _table(spark, root, "bronze/raw_conversion_events", BRONZE_SCHEMA, "event_date", ("event_id",), fixed_time)
 
 
-def fact(spark: SparkSession, root: str) -> SnapshotTable:
-    return _table(spark, root, "silver/fact_conversions", FACT_SCHEMA, "event_date", ("event_id",))
+def fact(spark: SparkSession, root: str, fixed_time: bool = False) -> SnapshotTable:
+    """See :func:`bronze` for ``fixed_time``."""
+    return _table(spark, root, "silver/fact_conversions", FACT_SCHEMA, "event_date", ("event_id",), fixed_time)
 
 
 def user_snapshot(spark: SparkSession, root: str) -> SnapshotTable:
