@@ -180,7 +180,8 @@ def normalize_event_shape(spark, folder):
     "event_audit_columns",
     with_events(
         """
-SELECT event_id, kafka_offset, year(event_time) AS year, month(event_time) AS month, day(event_time) AS day,
+SELECT event_id, kafka_offset, CAST(year(event_time) AS INTEGER) AS year, CAST(month(event_time) AS INTEGER) AS month,
+  CAST(day(event_time) AS INTEGER) AS day,
   strftime(event_time, '%Y-%m-%d') AS event_date, event_time AS effective_time, status,
   CASE WHEN status = 'SUCCESS' THEN 'SUCCESS' WHEN starts_with(status, 'ERROR') THEN 'ERROR' ELSE 'UNKNOWN' END AS status_class,
   response_time_nanos / 1000000.0 AS response_time_ms,

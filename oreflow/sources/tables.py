@@ -151,16 +151,18 @@ class SnapshotTable:
     def append(self, df: DataFrame, committed_at: datetime | None = None, operation: str = "append") -> int:
         return self._commit(operation, committed_at, self._write(df))
 
-    def append_once(self, df: DataFrame, tag: str) -> bool:
-        """Append unless a publish with this tag is there already.
-
-        A publish is all or nothing, so a step that runs again after a failure
-        adds nothing twice.
-        """
-        if any(e["operation"] == tag for e in self._entries()):
-            return False
-        self.append(df, operation=tag)
-        return True
+    def append_once(self, df: DataFrame, tag: str) -> int:
+        """Append unless a publish with this tag is there already; returns the
+        rows of that publish. A publish is all or nothing, so a step that runs
+        again after a failure adds nothing twice."""
+        published = [e for e in self._entries() if e["operation"] == tag]
+        if not published:
+            token = self._write(df)
+            if token is None:
+                return 0
+            self._commit(tag, None, token)
+            published = [e for e in self._entries() if e["operation"] == tag]
+        return sum(e["rows"] for e in published if e["action"] == "append")
 
     def overwrite(self, df: DataFrame, committed_at: datetime | None = None) -> int:
         """Replace all rows in one publish: readers never see an empty table."""

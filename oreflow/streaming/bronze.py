@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -96,6 +96,9 @@ class BronzeStream:
         parsed = with_event_date(parse_events(records, now)).withColumns(
             {"is_late_arrival": late, "batch_id": F.lit(batch_id).cast("long"), "_too_late": too_late}
         )
+        # Counted on the way to the first and the second written step.
+        read, taken = Observation(), Observation()
+        parsed = parsed.observe(read, F.count(F.lit(1)).alias("good"), F.max("event_time").alias("newest"))
         unique = materialize(spark, first_arrived(parsed))
         known = self.tables.bronze.read()
         if self.allowed_lateness is not None:
@@ -103,42 +106,35 @@ class BronzeStream:
         known = known.filter(F.col("batch_id") < batch_id)
         if self.ttl is not None:
             known = known.filter(F.col("ingested_at") > F.lit(now - self.ttl))
-        fresh = materialize(spark, new_rows(unique, known, ["event_id"]))
+        fresh = new_rows(unique, known, ["event_id"]).observe(
+            taken, F.count(F.lit(1)).alias("fresh"), F.count_if("is_late_arrival").alias("late"),
+            F.count_if("_too_late").alias("too_late"),
+        )
+        fresh = materialize(spark, fresh)
         accepted = fresh.filter(~F.col("_too_late")).drop("_too_late")
-        dead = dead_letters(records, now).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        seen, new = read.get, taken.get
 
-        tag = f"batch-{batch_id}"
-        tables = self.tables
+        tag, tables = f"batch-{batch_id}", self.tables
         tables.bronze.append_once(accepted, tag)
-        tables.late.append_once(accepted.filter("is_late_arrival"), tag)
-        tables.too_late.append_once(fresh.filter("_too_late").drop("_too_late"), tag)
-        tables.dead.append_once(dead, tag)
+        if new["late"] > new["too_late"]:
+            tables.late.append_once(accepted.filter("is_late_arrival"), tag)
+        if new["too_late"]:
+            tables.too_late.append_once(fresh.filter("_too_late").drop("_too_late"), tag)
+        dead = dead_letters(records, now).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        malformed = tables.dead.append_once(dead, tag)
         # Last: the next batch takes its watermark from the counters.
-        tables.counters.append_once(self._count(records, parsed, fresh, batch_id), tag)
-
-    @staticmethod
-    def _count(records: DataFrame, parsed: DataFrame, fresh: DataFrame, batch_id: int) -> DataFrame:
-        """Counters of one batch: three one-row aggregates joined on the batch."""
-        key = F.lit(batch_id).cast("long").alias("batch_id")
-        received = records.agg(F.count("*").alias("received")).select(key, "received")
-        good = parsed.agg(F.count("*").alias("good"), F.max("event_time").alias("max_event_time")).select(
-            key, "good", "max_event_time"
-        )
-        kept = fresh.agg(
-            F.count_if(~F.col("_too_late")).alias("processed"),
-            F.count_if(F.col("is_late_arrival") & ~F.col("_too_late")).alias("late"),
-            F.count_if("_too_late").alias("too_late"),
-        ).select(key, "processed", "late", "too_late")
-        return received.join(good, "batch_id").join(kept, "batch_id").select(
-            "batch_id",
-            "received",
-            (F.col("received") - F.col("good")).alias("malformed"),
-            "processed",
-            (F.col("good") - F.col("processed") - F.col("too_late")).alias("duplicates"),
-            "late",
-            "too_late",
-            "max_event_time",
-        )
+        counts = {
+            "batch_id": batch_id,
+            "received": seen["good"] + malformed,
+            "malformed": malformed,
+            "processed": new["fresh"] - new["too_late"],
+            "duplicates": seen["good"] - new["fresh"],
+            "late": new["late"] - new["too_late"],
+            "too_late": new["too_late"],
+        }
+        row = [F.lit(value).cast("long").alias(name) for name, value in counts.items()]
+        newest = F.lit(seen["newest"]).cast("timestamp").alias("max_event_time")
+        tables.counters.append_once(spark.range(1).select(*row, newest), tag)
 
 
 def start(stream: DataFrame, step: BronzeStream, checkpoint: str, available_now: bool = False) -> StreamingQuery:

@@ -82,7 +82,7 @@ def test_unpublished_files_stay_invisible(spark, root):
     assert staged.count() == 1 and table.read().count() == 0
     table.publish(token)
     assert table.read().count() == 1
-    assert table.append_once(rows, "batch-1") and not table.append_once(rows, "batch-1")
+    assert table.append_once(rows, "batch-1") == 1 and table.append_once(rows, "batch-1") == 1
     assert table.read().count() == 2
     table.overwrite(rows.limit(0))
     assert table.read().count() == 0 and table.read(snapshot_id=2).count() == 2
