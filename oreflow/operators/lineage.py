@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from oreflow.operators.sizing import hinted
 from oreflow.schemas import LINEAGE_RUN
 from oreflow.session import materialize, materialize_counted
+from oreflow.sources.tables import SnapshotTable
 
 # Run states.
 RUN_STATES = ("START", "COMPLETE", "FAIL")
@@ -22,6 +23,11 @@ def run_event(spark: SparkSession, job: str, run_id: str, inputs: list[str], out
     return spark.createDataFrame([(at, state, run_id, job, inputs, outputs)], LINEAGE_RUN)
 
 
+def record_run(table: SnapshotTable, job: str, run_id: str, inputs: list[str], outputs: list[str], state: str, at) -> int:
+    """Append one lineage record to the lineage table."""
+    return table.append(run_event(table.spark, job, run_id, inputs, outputs, state, at))
+
+
 def edges(runs: DataFrame) -> DataFrame:
     """Edges dataset -> job and job -> dataset of completed runs.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oreflow.schemas import LINEAGE_RUN
 from oreflow.sources.tables import SnapshotTable
 
 # Users are spread over this many buckets, the rewrite unit of user tables.
@@ -85,3 +86,7 @@ def user_metrics(spark: SparkSession, root: str) -> SnapshotTable:
 
 def popular(spark: SparkSession, root: str) -> SnapshotTable:
     return _table(spark, root, "gold/popular_numbers", POPULAR_SCHEMA, None, ("input_number", "output_roman"))
+
+
+def lineage(spark: SparkSession, root: str) -> SnapshotTable:
+    return SnapshotTable(spark, f"{root}/lineage/runs", LINEAGE_RUN)

@@ -83,6 +83,13 @@ class BronzeStream:
         newest = earlier.agg(F.max("max_event_time")).first()[0]
         return newest - WATERMARK_DELAY if newest else None
 
+    def _written(self, table: SnapshotTable, now: datetime) -> DataFrame:
+        """Rows whose ids still count as seen; only files young enough are read."""
+        if self.ttl is None:
+            return table.read()
+        since = now - self.ttl
+        return table.read_since(since).filter(F.col("ingested_at") > F.lit(since))
+
     def __call__(self, records: DataFrame, batch_id: int) -> None:
         spark = records.sparkSession
         now = self.clock(batch_id)
@@ -100,12 +107,10 @@ class BronzeStream:
         read, taken = Observation(), Observation()
         parsed = parsed.observe(read, F.count(F.lit(1)).alias("good"), F.max("event_time").alias("newest"))
         unique = materialize(spark, first_arrived(parsed))
-        known = self.tables.bronze.read()
+        known = self._written(self.tables.bronze, now)
         if self.allowed_lateness is not None:
-            known = known.unionByName(self.tables.too_late.read())
+            known = known.unionByName(self._written(self.tables.too_late, now))
         known = known.filter(F.col("batch_id") < batch_id)
-        if self.ttl is not None:
-            known = known.filter(F.col("ingested_at") > F.lit(now - self.ttl))
         fresh = new_rows(unique, known, ["event_id"]).observe(
             taken, F.count(F.lit(1)).alias("fresh"), F.count_if("is_late_arrival").alias("late"),
             F.count_if("_too_late").alias("too_late"),
@@ -115,11 +120,11 @@ class BronzeStream:
         seen, new = read.get, taken.get
 
         tag, tables = f"batch-{batch_id}", self.tables
-        tables.bronze.append_once(accepted, tag)
+        tables.bronze.append_once(accepted, tag, now)
         if new["late"] > new["too_late"]:
             tables.late.append_once(accepted.filter("is_late_arrival"), tag)
         if new["too_late"]:
-            tables.too_late.append_once(fresh.filter("_too_late").drop("_too_late"), tag)
+            tables.too_late.append_once(fresh.filter("_too_late").drop("_too_late"), tag, now)
         dead = dead_letters(records, now).withColumn("batch_id", F.lit(batch_id).cast("long"))
         malformed = tables.dead.append_once(dead, tag)
         # Last: the next batch takes its watermark from the counters.

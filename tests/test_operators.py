@@ -84,6 +84,7 @@ def test_unpublished_files_stay_invisible(spark, root):
     assert table.read().count() == 1
     assert table.append_once(rows, "batch-1") == 1 and table.append_once(rows, "batch-1") == 1
     assert table.read().count() == 2
+    assert table.read_since("2000-01-01").count() == 2 and table.read_since("2100-01-01").count() == 0
     table.overwrite(rows.limit(0))
     assert table.read().count() == 0 and table.read(snapshot_id=2).count() == 2
     assert [r["is_current"] for r in table.history().orderBy("snapshot_id").collect()] == [False, False, True]
@@ -234,6 +235,19 @@ def test_seeded_lineage(spark):
     assert {r["node"] for r in up.collect()} >= {"topic", facts, users}
 
 
+def test_recorded_runs(spark, root):
+    from datetime import datetime
+
+    from oreflow.plans import layers
+
+    table = layers.lineage(spark, root)
+    for state in ("START", "COMPLETE"):
+        lineage.record_run(table, "silver-elt", "r1", ["bronze"], ["fact", "users"], state, datetime(2024, 1, 1))
+    assert table.read().count() == 2 and lineage.edges(table.read()).count() == 3
+    with pytest.raises(ValueError):
+        lineage.record_run(table, "silver-elt", "r1", [], [], "DONE", None)
+
+
 def test_cycle_ends(spark):
     graph = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     got = {r["node"]: r["hops"] for r in lineage.impact(graph, spark.createDataFrame([("a",)], "node string")).collect()}
