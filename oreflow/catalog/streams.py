@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
@@ -28,6 +29,18 @@ def _clock(batch_id: int) -> datetime:
     return datetime(2024, 2, 1, tzinfo=timezone.utc) + timedelta(hours=12 * batch_id)
 
 
+@contextmanager
+def _state_per_core(spark):
+    """State partitions are fixed for a stream's life: one per core here."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _feed(spark, folder, run, only=None):
     """Write one segment after another and run the stream on what is new."""
     records = stored(spark, folder, "segments", bindings.segmented_topic, "segment")
@@ -153,9 +166,10 @@ def stream_hourly(spark, folder):
     """Hourly metrics of first copies; late rows are within the allowed day."""
     table = SnapshotTable(spark, work_path(spark, "hourly"), hourly.HOURLY_SCHEMA, "hour_date", ("hour_key",), True)
     checkpoint = work_path(spark, "checkpoint")
-    _feed(
-        spark, folder, lambda stream: hourly.start(stream, table, checkpoint, "40 days", available_now=True), FIRST_COPIES
-    )
+    with _state_per_core(spark):
+        _feed(
+            spark, folder, lambda stream: hourly.start(stream, table, checkpoint, "40 days", available_now=True), FIRST_COPIES
+        )
     return table.read().drop("hour_date")
 
 
@@ -180,8 +194,10 @@ def stream_rate_limit(spark, folder):
         append_log(records.filter(since & until), path)
         events = parse_events(stream_log(spark, path), F.col("kafka_timestamp"))
         limited = state.rate_limit(events, "client_ip", "ingested_at", 2, 86_400)
-        (
+        writer = (
             limited.writeStream.format("parquet").outputMode("append").option("path", out)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True)
         )
+        with _state_per_core(spark):
+            writer.start().awaitTermination()
     return spark.read.parquet(out)
