@@ -17,7 +17,6 @@ from oreflow.session import materialize_counted
 CAPACITY = 2048
 SEPARATOR = b"\0\0\0\0"
 ROUNDS = 240
-STEP = 0.5
 SALT_ROWS = 500_000
 
 
@@ -59,32 +58,31 @@ def priced(value: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: i
 def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
     """Covering configuration LP by multiplicative weights.
 
-    Each round prices lengths by weight per demand, adds the most valuable pattern as far as no
-    length gains more than ``STEP`` of its demand, and shrinks the weights of what it covers. The
-    result is scaled so that no length is covered more than once.
+    Each round prices lengths by weight per demand and adds the most valuable pattern until one of its
+    lengths gained its demand once more; weights shrink exponentially with what was covered. Few lengths are
+    covered many times over, so that patterns balance; the more lengths, the fewer times the rounds allow.
+    The result is scaled so that no length is covered more than once.
     """
     demand = counts.astype(float)
     weight = np.ones(len(lengths))
     covered = np.zeros(len(lengths))
-    chosen: list[tuple[dict[int, int], float]] = []
+    goal = max(2.0, 4.0 * rounds / len(lengths))
+    rate = min(1.0, (1 + np.log(len(lengths))) / goal)
+    chosen: dict[tuple, float] = {}
     for _ in range(rounds):
-        open_ = covered < 1
-        if not open_.any():
+        index = np.flatnonzero(covered < goal)
+        if not len(index):
             break
-        value = np.where(open_, weight / demand, 0.0)
-        pattern = priced(value[open_], lengths[open_], counts[open_], capacity)
-        index = np.flatnonzero(open_)
-        pattern = {int(index[i]): n for i, n in pattern.items()}
-        if not pattern:
-            break
-        rows, n = np.array(list(pattern)), np.array(list(pattern.values()), dtype=float)
-        times = STEP * (demand[rows] / n).min()
-        gain = n * times / demand[rows]
-        covered[rows] += gain
-        weight[rows] *= np.exp(-gain)
-        chosen.append((pattern, times))
+        pattern = priced((weight / demand)[index], lengths[index], counts[index], capacity)
+        rows, n = index[list(pattern)], np.array(list(pattern.values()), dtype=float)
+        times = (demand[rows] / n).min()
+        covered[rows] += n * times / demand[rows]
+        weight[rows] *= np.exp(-rate * n * times / demand[rows])
+        weight /= weight.max()
+        key = tuple(zip(rows.tolist(), n.astype(int).tolist()))
+        chosen[key] = chosen.get(key, 0.0) + times
     top = max(1.0, covered.max(initial=1.0))
-    return [(p, t / top) for p, t in chosen]
+    return [(dict(p), t / top) for p, t in chosen.items()]
 
 
 def filled(space: int, lengths: list[int], left: dict[int, int]) -> dict[int, int]:
@@ -114,39 +112,57 @@ def filled(space: int, lengths: list[int], left: dict[int, int]) -> dict[int, in
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     """Patterns that place every length exactly as often as the histogram says.
 
-    The fractional solution is rounded down; what is left is placed largest length first, each with the
-    best fill of the rest, as often as the remaining counts allow. Work depends on the number of
-    different lengths, not on the number of pieces.
+    The fractional solution is rounded down, and what is left is placed largest length first, each with the
+    best fill of the rest, as often as the remaining counts allow. As the multiplicative weights stop short
+    of the optimum, rounding may also start from half of the solution or from none of it; the smallest result
+    counts. Work depends on the number of different lengths, not on the number of pieces.
     """
     left = {n: c for n, c in histogram.items() if c > 0}
     if any(n > capacity or n < 1 for n in left):
         raise ValueError("a length does not fit the capacity")
-    out: list[Pattern] = []
-    if left.get(capacity):
-        out.append(Pattern({capacity: 1}, left.pop(capacity)))
+    whole = [Pattern({capacity: 1}, left.pop(capacity))] if left.get(capacity) else []
+    if not left:
+        return whole
     lengths = np.array(sorted(left, reverse=True))
     counts = np.array([left[int(n)] for n in lengths])
-    if len(lengths):
-        for pattern, times in fractional(lengths, counts, capacity):
-            kinds = {int(lengths[i]): n for i, n in pattern.items()}
-            if sum(n * k for n, k in kinds.items()) < capacity:
-                continue  # open space is better filled below
-            times = min(int(times), *(left[n] // k for n, k in kinds.items()))
+    solution = [({int(lengths[i]): n for i, n in p.items()}, t) for p, t in fractional(lengths, counts, capacity)]
+    bound = -(-sum(n * c for n, c in left.items()) // capacity)
+    best: list[Pattern] | None = None
+    for share in (1.0, 0.5, 0.0):
+        found = _rounded(solution, share, dict(left), capacity)
+        if best is None or _sequences(found) < _sequences(best):
+            best = found
+        if _sequences(best) <= bound:
+            break
+    return whole + best
+
+
+def _sequences(found: list[Pattern]) -> int:
+    return sum(p.times for p in found)
+
+
+def _rounded(solution: list[tuple[dict[int, int], float]], share: float, left: dict[int, int], capacity: int) -> list[Pattern]:
+    """Whole numbers of the solution's full patterns, then best fills of what is left."""
+    out: list[Pattern] = []
+
+    def use(kinds: dict[int, int], times: int) -> None:
+        out.append(Pattern(kinds, times))
+        for n, k in kinds.items():
+            left[n] -= k * times
+
+    for kinds, times in solution:
+        if sum(n * k for n, k in kinds.items()) == capacity:  # open space is better filled below
+            times = min(int(share * times), *(left[n] // k for n, k in kinds.items()))
             if times:
-                out.append(Pattern(kinds, times))
-                for n, k in kinds.items():
-                    left[n] -= k * times
-    order = [int(n) for n in lengths if left[int(n)]]
+                use(kinds, times)
+    order = sorted((n for n in left if left[n]), reverse=True)
     while order:
         largest = order[0]
         left[largest] -= 1
         kinds = filled(capacity - largest, order, left)
         left[largest] += 1
         kinds[largest] = kinds.get(largest, 0) + 1
-        times = min(left[n] // k for n, k in kinds.items())
-        out.append(Pattern(kinds, times))
-        for n, k in kinds.items():
-            left[n] -= k * times
+        use(kinds, min(left[n] // k for n, k in kinds.items()))
         order = [n for n in order if left[n]]
     return out
 
