@@ -109,13 +109,24 @@ def filled(space: int, lengths: list[int], left: dict[int, int]) -> dict[int, in
     return found
 
 
+def largest_first(space: int, lengths: list[int], left: dict[int, int]) -> dict[int, int]:
+    """The largest lengths that fit, one after another."""
+    found = {}
+    for length in lengths:
+        n = min(left[length], space // length)
+        if n > 0:
+            found[length] = n
+            space -= n * length
+    return found
+
+
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     """Patterns that place every length exactly as often as the histogram says.
 
-    The fractional solution is rounded down, and what is left is placed largest length first, each with the
-    best fill of the rest, as often as the remaining counts allow. As the multiplicative weights stop short
-    of the optimum, rounding may also start from half of the solution or from none of it; the smallest result
-    counts. Work depends on the number of different lengths, not on the number of pieces.
+    The fractional solution is rounded down, and what is left is placed largest length first, each with a
+    fill of the rest, as often as the remaining counts allow. As the multiplicative weights stop short of the
+    optimum, rounding may keep all, half or nothing of the solution and fill best or largest first; the
+    smallest result counts, and the search ends at the lower bound. Work depends on the number of different lengths, not on the number of pieces.
     """
     left = {n: c for n, c in histogram.items() if c > 0}
     if any(n > capacity or n < 1 for n in left):
@@ -128,8 +139,8 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Patter
     solution = [({int(lengths[i]): n for i, n in p.items()}, t) for p, t in fractional(lengths, counts, capacity)]
     bound = -(-sum(n * c for n, c in left.items()) // capacity)
     best: list[Pattern] | None = None
-    for share in (1.0, 0.5, 0.0):
-        found = _rounded(solution, share, dict(left), capacity)
+    for share, fill in ((1.0, filled), (0.5, filled), (0.0, filled), (1.0, largest_first), (0.0, largest_first)):
+        found = _rounded(solution, share, fill, dict(left), capacity)
         if best is None or _sequences(found) < _sequences(best):
             best = found
         if _sequences(best) <= bound:
@@ -141,8 +152,8 @@ def _sequences(found: list[Pattern]) -> int:
     return sum(p.times for p in found)
 
 
-def _rounded(solution: list[tuple[dict[int, int], float]], share: float, left: dict[int, int], capacity: int) -> list[Pattern]:
-    """Whole numbers of the solution's full patterns, then best fills of what is left."""
+def _rounded(solution: list[tuple[dict[int, int], float]], share: float, fill, left: dict[int, int], capacity: int) -> list[Pattern]:
+    """Whole numbers of the solution's full patterns, then fills of what is left."""
     out: list[Pattern] = []
 
     def use(kinds: dict[int, int], times: int) -> None:
@@ -159,7 +170,7 @@ def _rounded(solution: list[tuple[dict[int, int], float]], share: float, left: d
     while order:
         largest = order[0]
         left[largest] -= 1
-        kinds = filled(capacity - largest, order, left)
+        kinds = fill(capacity - largest, order, left)
         left[largest] += 1
         kinds[largest] = kinds.get(largest, 0) + 1
         use(kinds, min(left[n] // k for n, k in kinds.items()))
