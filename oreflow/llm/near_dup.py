@@ -7,10 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oreflow.llm.common import map_texts, mixed, ragged
+from oreflow.llm.common import map_texts, mixed
 from oreflow.llm.components import components
 from oreflow.operators.sizing import sized_side
 from oreflow.session import materialize, materialize_counted
@@ -29,7 +29,7 @@ class Sketch:
     width: int = 5
     percent: int = 85
     pivots: int = 8
-    later_pivots: int = 64
+    later_pivots: int = 256
     sigmas: float = 5.5
 
     @property
@@ -260,21 +260,54 @@ def _crossing(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return found.filter(F.coalesce("_one", "a") != F.coalesce("_two", "b")).drop("_one", "_two")
 
 
+def _fits(n: Column, m: Column, both: Column, sketch: Sketch) -> Column:
+    """Whether sets of n and m shingles that share ``both`` at most can reach the threshold."""
+    return 100 * both >= sketch.percent * (n + m - both)
+
+
 def _pairs(pivots: DataFrame, members: DataFrame, sketch: Sketch) -> DataFrame:
     """Distinct pairs of a bucket's pivots with its members whose sizes allow the threshold."""
     other = pivots.select("key", F.col("id").alias("_id"), F.col("n").alias("_n"))
-    fits = 100 * F.least("n", "_n") >= sketch.percent * F.greatest("n", "_n")
-    met = members.join(other, "key").filter((F.col("id") != F.col("_id")) & fits)
+    fits = _fits(F.col("n"), F.col("_n"), F.least("n", "_n"), sketch)
+    return _ordered(members.join(other, "key").filter((F.col("id") != F.col("_id")) & fits))
+
+
+def _later_pairs(pivots: DataFrame, members: DataFrame, sketch: Sketch) -> DataFrame:
+    """Distinct pairs of pivots with members of other components, as far as their shared shingles allow the threshold."""
+    other = pivots.select("key", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("part").alias("_part"), F.col("shared").alias("_shared"))
+    fits = _fits(F.col("n"), F.col("_n"), F.least("shared", "_shared"), sketch)
+    return _ordered(members.join(other, "key").filter((F.col("part") != F.col("_part")) & fits))
+
+
+def _ordered(met: DataFrame) -> DataFrame:
     return met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
 
 
+def shared_shingles(docs: DataFrame, ids: DataFrame, sketch: Sketch) -> DataFrame:
+    """(id, shared): how many shingles of each chosen representative occur in another one, too.
+
+    A pair of them has no more in common than the smaller of these numbers.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i, packed in zip(batch.column("id").to_pylist(), batch.column("shingles")):
+                found = np.frombuffer(packed.as_buffer(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i)), pa.array(found)], names=["id", "shingle"])
+
+    sets = full_sets(docs, ids, sketch).select("id", "shingles").dropDuplicates(["id"])
+    counted = sets.mapInArrow(run, "id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id"))
+    alone = counted.filter("times = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    return ids.select("id", "n").join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
 def near_duplicates(docs: DataFrame, sketch: Sketch = SKETCH) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept.
 
     Equal texts meet first by a 128-bit key, so copies cost one narrow row each. One representative
     per text goes on: its registers fall into bands, and rows with equal bands meet in a bucket. A
     few pivots per bucket, chosen by hash, are compared with its members, so a bucket of n rows
-    makes at most ``pivots * n`` pairs. The joint likelihood of registers drops hopeless pairs,
+    makes at most ``pivots * n`` pairs there. The joint likelihood of registers drops hopeless pairs,
     and full shingle sets decide the rest: first the best partner of each row, then only pairs
     between components. Buckets with more members than pivots that still span several
     components are worked off with further pivots from outside their main component until each
@@ -308,16 +341,7 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = SKETCH) -> DataFrame:
     parts = materialize(spark, components(links))
     links, parts = _settle(docs, reps, _crossing(pairs, parts), links, parts, sketch)
 
-    large = members.filter(F.col("size") > sketch.pivots)
-    done = sketch.pivots
-    while True:
-        pivots, count = _stragglers(large, parts, done, sketch)
-        if not count:
-            break
-        more = _crossing(_pairs(pivots, large, sketch), parts)
-        links, parts = _settle(docs, reps, likely(more, reps, sketch), links, parts, sketch)
-        large = materialize(spark, large.join(pivots.select("key", "id", F.lit(True).alias("_was")), ["key", "id"], "left")
-                            .withColumn("turn", F.when(F.col("_was"), F.lit(0)).otherwise(F.col("turn"))).drop("_was"))
+    links, parts = _work_off(docs, reps, members.filter(F.col("size") > sketch.pivots), links, parts, sketch)
 
     home = reps.select("text_key", F.col("id").alias("_rep"))
     labels = parts.select(F.col("id").alias("_rep"), F.col("component").alias("_part"))
@@ -352,15 +376,37 @@ def _settle(docs, reps, pairs, links, parts, sketch: Sketch) -> tuple[DataFrame,
     return links, materialize(spark, components(links))
 
 
-def _stragglers(large: DataFrame, parts: DataFrame, done: int, sketch: Sketch) -> tuple[DataFrame, int]:
-    """Next pivots of buckets that span several components: members outside the bucket's
-    largest component that were not pivots yet."""
+def _work_off(docs, reps, large: DataFrame, links, parts, sketch: Sketch) -> tuple[DataFrame, DataFrame]:
+    """Compare what is left of buckets with more members than pivots.
+
+    A bucket that lies in one component is done. In others, members outside the largest component that
+    were not pivots yet become pivots, until none is left. Shingles that only one of all these members
+    has bound what a pair can share; most comparisons end there without a set.
+    """
+    spark = docs.sparkSession
+    done = large.filter(F.col("turn") <= sketch.pivots).select("key", "id")
+    large, count = materialize_counted(spark, _spanning(large, parts).drop("part", "main"))
+    if not count:
+        return links, parts
+    ids = sized_side(reps.select("id", "text_key", "n").join(large.select("id").distinct(), "id", "left_semi"))
+    large = materialize(spark, large.join(shared_shingles(docs, ids, sketch), "id"))
+    able = _fits(F.col("n"), F.col("shared"), F.col("shared"), sketch)
+    while True:
+        named = materialize(spark, _spanning(large, parts))
+        outside = named.filter((F.col("part") != F.col("main")) & able).join(done, ["key", "id"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("turn"))
+        pivots, count = materialize_counted(spark, outside.withColumn("rank", rank).filter(F.col("rank") <= sketch.later_pivots))
+        if not count:
+            return links, parts
+        more = materialize(spark, _later_pairs(pivots, named, sketch))
+        links, parts = _settle(docs, reps, likely(more, reps, sketch), links, parts, sketch)
+        done = materialize(spark, done.unionByName(pivots.select("key", "id")))
+
+
+def _spanning(large: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members with their component, of buckets that span several; main is the bucket's largest one."""
     labels = parts.select("id", F.col("component").alias("part"))
     named = large.join(labels, "id", "left").withColumn("part", F.coalesce("part", "id"))
     sizes = named.groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows"))
     main = sizes.groupBy("key").agg(F.max(F.struct("rows", -F.col("part"))).alias("main"), F.count(F.lit(1)).alias("parts"))
-    main = main.filter("parts > 1").select("key", (-F.col("main.col2")).alias("main"))
-    outside = named.join(main, "key").filter((F.col("part") != F.col("main")) & (F.col("turn") > done))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("turn"))
-    chosen = outside.withColumn("rank", rank).filter(F.col("rank") <= sketch.later_pivots).select("key", "id", "n")
-    return materialize_counted(large.sparkSession, chosen)
+    return named.join(main.filter("parts > 1").select("key", (-F.col("main.col2")).alias("main")), "key")
