@@ -1 +1,8 @@
 """oreflow: event analytics in bronze, silver and gold layers on PySpark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value, so workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

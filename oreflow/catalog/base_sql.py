@@ -32,7 +32,7 @@ shaped AS (
     CASE WHEN et = 'purchase' THEN CAST(k % 100 + 1 + k % 50 + 1 AS INTEGER) END AS range_max,
     CAST(round(v * 1000000) AS BIGINT) AS response_time_nanos,
     CASE WHEN et = 'error' THEN 'ERROR_VALIDATION' ELSE 'SUCCESS' END AS status,
-    CAST(n % 3 AS INTEGER) AS kafka_partition, n // 3 AS kafka_offset, ts AS arrival
+    CAST(n % 3 AS INTEGER) AS kafka_partition, n // 3 * 4 AS kafka_offset, ts AS arrival
   FROM source),
 ev AS (
   SELECT *,
@@ -45,16 +45,16 @@ ev AS (
 delivered AS (
   SELECT *, 0 AS delivery FROM ev
   UNION ALL BY NAME
-  SELECT * REPLACE (kafka_offset + 1000000000 AS kafka_offset, arrival + INTERVAL 1 DAY AS arrival), 1 AS delivery
+  SELECT * REPLACE (kafka_offset + 1 AS kafka_offset, arrival + INTERVAL 1 DAY AS arrival), 1 AS delivery
   FROM ev WHERE n % 10 = 0),
 parsed AS (SELECT *, arrival + INTERVAL 5 MINUTE AS ingested_at FROM delivered),
 malformed AS (
   SELECT event_id AS n, 'not json' AS original_payload, 'MALFORMED_JSON' AS error_type,
          'payload is not a JSON object' AS error_message, CAST(event_id % 3 AS INTEGER) AS kafka_partition,
-         event_id // 3 + 2000000000 AS kafka_offset, ts AS arrival FROM events WHERE event_id % 97 = 0
+         event_id // 3 * 4 + 2 AS kafka_offset, ts AS arrival FROM events WHERE event_id % 97 = 0
   UNION ALL
   SELECT event_id, '{{"eventType":"SINGLE"}}', 'MISSING_EVENT_ID', 'eventId is null', CAST(event_id % 3 AS INTEGER),
-         event_id // 3 + 3000000000, ts FROM events WHERE event_id % 101 = 0),
+         event_id // 3 * 4 + 3, ts FROM events WHERE event_id % 101 = 0),
 bronze AS (
   SELECT * FROM parsed
   QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY kafka_offset DESC, kafka_partition DESC) = 1)

@@ -93,10 +93,10 @@ def bronze_incremental(spark, folder):
     path = work_path(spark, "topic")
     records, table = topic(spark, folder), _new_bronze(spark)
     early = F.col("timestamp") < F.lit("2024-01-15").cast("timestamp")
-    append_log(records.filter(early & (F.col("offset") < bindings.COPY_SHIFT)), path)
+    append_log(records.filter(early & bindings.first_delivery()), path)
     plan.ingest(read_log(spark, path), table, ingest_time())
-    append_log(records.filter(~early | (F.col("offset") >= bindings.COPY_SHIFT)), path)
-    plan.ingest(read_log(spark, path).filter(F.col("offset") < bindings.COPY_SHIFT), table, ingest_time())
+    append_log(records.filter(~early | ~bindings.first_delivery()), path)
+    plan.ingest(read_log(spark, path).filter(bindings.first_delivery()), table, ingest_time())
     plan.ingest(read_log(spark, path), table, ingest_time())
     return table.read().select(*COLUMNS)
 
@@ -226,7 +226,7 @@ FROM ends LEFT JOIN marks USING (kafka_partition)"""
 def consumer_lag(spark, folder):
     """Lag of a bronze table loaded with first copies up to 20 January."""
     seen = parsed(spark, folder).filter(
-        half_open("ingested_at", None, "2024-01-20 00:05:00") & (F.col("kafka_offset") < bindings.COPY_SHIFT)
+        half_open("ingested_at", None, "2024-01-20 00:05:00") & bindings.first_delivery("kafka_offset")
     )
     return metrics.consumer_lag(topic(spark, folder), seen)
 

@@ -158,7 +158,7 @@ def stream_append(spark, folder):
     return spark.read.parquet(path).select(*COLUMNS)
 
 
-FIRST_COPIES = f"offset < {bindings.COPY_SHIFT}"
+FIRST_COPIES = f"offset % {bindings.KINDS} = {bindings.FIRST}"
 
 
 @query("stream_hourly", with_events(HOURLY_SQL.format(table="ev")))
@@ -185,7 +185,9 @@ def stream_hourly(spark, folder):
 def stream_rate_limit(spark, folder):
     """Token buckets kept as stream state over the requests in arrival order."""
     out, checkpoint, path = (work_path(spark, name) for name in ("limited", "checkpoint", "topic"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, state.ROCKSDB)
     records = stored(spark, folder, "segments", bindings.segmented_topic, "segment").filter(FIRST_COPIES)
     edges = [None, "2024-01-11", "2024-01-21", None]
     for start, end in zip(edges, edges[1:]):
@@ -198,6 +200,9 @@ def stream_rate_limit(spark, folder):
             limited.writeStream.format("parquet").outputMode("append").option("path", out)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True)
         )
-        with _state_per_core(spark):
-            writer.start().awaitTermination()
+        try:
+            with _state_per_core(spark):
+                writer.start().awaitTermination()
+        finally:
+            spark.conf.set(provider, before) if before else spark.conf.unset(provider)
     return spark.read.parquet(out)

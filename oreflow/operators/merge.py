@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreflow.operators.sizing import sized_side
+from oreflow.operators.sizing import BROADCAST_ROWS, sized_side
+from oreflow.session import materialize_counted
 
 
 class DuplicateKeys(ValueError):
@@ -15,13 +16,14 @@ class DuplicateKeys(ValueError):
 def new_rows(source: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
     """Source rows whose key the target does not hold yet.
 
-    The target is the large side and an anti join cannot broadcast its left
-    side, so the target's key column is first cut down to the keys that the
-    source also has. A sized source key list makes that a broadcast semi join
-    over one column of the target: no shuffle of the target.
+    An anti join cannot broadcast its left side. While the source is small, the
+    target's key column is first cut down to the source's keys by a broadcast
+    semi join, without a shuffle of the target. Beyond that it is one anti join.
     """
-    wanted = sized_side(source.select(*key).distinct())
-    known = target.select(*key).join(wanted, key, "left_semi").distinct()
+    wanted, rows = materialize_counted(source.sparkSession, source.select(*key))
+    if rows > BROADCAST_ROWS:
+        return source.join(target.select(*key), key, "left_anti")
+    known = target.select(*key).join(F.broadcast(wanted), key, "left_semi")
     return source.join(known, key, "left_anti")
 
 

@@ -14,10 +14,20 @@ from oreflow.functions.requests import key_hash
 from oreflow.functions.roman import to_roman
 from oreflow.session import prepare
 
-# Fixed values of the fixture: offset shift of copies and of malformed rows.
-COPY_SHIFT = 1_000_000_000
-NOT_JSON_SHIFT = 2_000_000_000
-NO_ID_SHIFT = 3_000_000_000
+# Fixed values of the fixture: offsets of a topic partition interleave the kinds of records, so they
+# stay unique for event ids of any size.
+KINDS = 4
+FIRST, COPY, NOT_JSON, NO_ID = range(KINDS)
+
+
+def position(kind: int) -> Column:
+    """Offset of a record of the event number ``n``."""
+    return F.expr("n div 3") * KINDS + kind
+
+
+def first_delivery(offset: str = "offset") -> Column:
+    """Whether a record of the topic is the first delivery of an event."""
+    return F.col(offset) % KINDS == FIRST
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -60,7 +70,7 @@ def conversion_events(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.col("v") * 1_000_000).cast("long").alias("response_time_nanos"),
         F.when(F.col("et") == "error", "ERROR_VALIDATION").otherwise("SUCCESS").alias("status"),
         (n % 3).cast("int").alias("partition"),
-        F.expr("n div 3").alias("offset"),
+        position(FIRST).alias("offset"),
         F.col("ts").alias("timestamp"),
     )
     numeral = F.when(n % 211 == 0, "IIII").otherwise(to_roman(F.col("input_number")))
@@ -82,7 +92,7 @@ def deliveries(spark: SparkSession, folder: str) -> DataFrame:
         first.filter(F.col("n") % 10 == 0)
         .withColumns(
             {
-                "offset": F.col("offset") + COPY_SHIFT,
+                "offset": position(COPY),
                 "timestamp": F.col("timestamp") + F.expr("interval 1 day"),
                 "delivery": F.lit(1),
             }
@@ -96,13 +106,13 @@ def malformed_records(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("event_id")
     base = table(spark, folder, "events").select(
         n.alias("n"), F.lit(None).cast("binary").alias("key"), (n % 3).cast("int").alias("partition"),
-        F.expr("event_id div 3").alias("offset"), F.col("ts").cast("timestamp").alias("timestamp"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
     )
     broken = base.filter(F.col("n") % 97 == 0).withColumns(
-        {"value": F.lit("not json").cast("binary"), "offset": F.col("offset") + NOT_JSON_SHIFT}
+        {"value": F.lit("not json").cast("binary"), "offset": position(NOT_JSON)}
     )
     nameless = base.filter(F.col("n") % 101 == 0).withColumns(
-        {"value": F.lit('{"eventType":"SINGLE"}').cast("binary"), "offset": F.col("offset") + NO_ID_SHIFT}
+        {"value": F.lit('{"eventType":"SINGLE"}').cast("binary"), "offset": position(NO_ID)}
     )
     return broken.unionByName(nameless)
 

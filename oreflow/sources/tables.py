@@ -35,6 +35,15 @@ MANIFEST = T.StructType(
 )
 
 
+# Characters that Spark escapes in the folder names of partitions.
+ESCAPED = set("\"#%'*/:=?\\{[]^\x7f") | {chr(i) for i in range(1, 32)}
+
+
+def _folder(value: str) -> str:
+    """The folder name of a partition value; ``*`` alone stands for every one."""
+    return value if value == "*" else "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in value)
+
+
 @dataclass
 class SnapshotTable:
     """A table at ``path``.
@@ -232,7 +241,7 @@ class SnapshotTable:
     # --------------------------------------------------------------- read
     def _scan(self, live: dict[str, dict[str, int]]) -> DataFrame:
         """Rows of the given files with their ``part_key``."""
-        paths = [f"{self._data}/part_key={value}/token={token}" for value in sorted(live) for token in sorted(live[value])]
+        paths = [f"{self._data}/part_key={_folder(value)}/token={token}" for value in sorted(live) for token in sorted(live[value])]
         if not paths:
             empty = self.spark.createDataFrame([], self.schema)
             return empty.withColumn("part_key", F.lit(None).cast("string"))

@@ -60,16 +60,16 @@ def after_marks(topic: DataFrame, marks: DataFrame) -> DataFrame:
     """Messages above the ingested offset of their own partition.
 
     A single global maximum would lose rows of a partition that lags behind.
-    ``marks`` has one row per topic partition: it is broadcast, and its lowest
-    offset becomes a plain filter that skips old row groups of the log.
+    ``marks`` has one row per topic partition. It is computed once, and its
+    rows become plain bounds that skip old row groups of the log.
     """
     known = {row["kafka_partition"]: row["max_offset"] for row in marks.collect()}
     if not known:
         return topic
-    low = (F.col("offset") > min(known.values())) | ~F.col("partition").isin(*known)
-    sides = F.broadcast(marks.select(F.col("kafka_partition").alias("partition"), "max_offset"))
-    fresh = F.col("offset") > F.coalesce("max_offset", F.lit(-1))
-    return topic.filter(low).join(sides, "partition", "left").filter(fresh).select(*TOPIC.fieldNames())
+    fresh = ~F.col("partition").isin(*known)
+    for partition, offset in sorted(known.items()):
+        fresh = fresh | ((F.col("partition") == partition) & (F.col("offset") > offset))
+    return topic.filter(fresh)
 
 
 def after_global_mark(topic: DataFrame, mark: DataFrame) -> DataFrame:
