@@ -13,6 +13,7 @@ from oreflow.session import materialize
 
 BLOCK_ROWS = 4096
 TILE_ROWS = 1024
+TASK_BYTES = 1 << 24
 PIVOTS = 16
 THRESHOLD = 0.9
 ROUNDING = 1e-9
@@ -229,7 +230,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, size: int = BLOC
     some = all_rows.filter(good).select("vec_id", F.col("embedding").alias("vector"), F.size("embedding").alias("dim"))
     stored = blocks(some, pivots_of(some), size)
     marks = stored.select("block", "dim", "low", "high")
-    total = marks.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0]
+    total, mean = stored.agg(F.coalesce(F.max("block"), F.lit(-1)), F.coalesce(F.avg(F.length("vectors")), F.lit(0.0))).first()
     other = marks.select(F.col("block").alias("other"), F.col("dim").alias("dim2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     pairs = marks.select("*", F.explode(F.sequence(F.col("block"), F.lit(total).cast("int"))).alias("other")).join(other, "other")
     gap = F.zip_with(F.zip_with("low", "high2", lambda a, b: a - b), F.zip_with("low2", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b))
@@ -237,8 +238,8 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, size: int = BLOC
     open_ = pairs.filter((F.col("dim") == F.col("dim2")) & ~far).select("block", "other")
     open_ = materialize(spark, open_)
     second = stored.select(F.col("block").alias("other"), F.col("ids").alias("ids2"), F.col("vectors").alias("vectors2"))
-    count = max(1, open_.count())
-    tiles = open_.join(stored.select("block", "dim", "ids", "vectors"), "block").join(second, "other").repartition(min(count, 10_000), "block", "other")
+    count = max(1, -(-int(open_.count() * 2 * mean) // TASK_BYTES))
+    tiles = open_.join(stored.select("block", "dim", "ids", "vectors"), "block").join(second, "other").repartition(count, "block", "other")
     found = materialize(spark, tile_links(tiles, threshold))
     parts = components(found.select("a", "b"))
     counts = found.groupBy("block", "place").agg(F.sum("n").alias("n_links"))
