@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +53,14 @@ def components(links: DataFrame) -> DataFrame:
         before = state
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def smallest_reached(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Smallest id that each place of ``ids`` reaches over the pairs of places (i, j) of one tile."""
+    label = ids.copy()
+    while True:
+        before = label.copy()
+        np.minimum.at(label, i, label[j])
+        np.minimum.at(label, j, label[i])
+        if (label == before).all():
+            return label

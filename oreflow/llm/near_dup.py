@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oreflow.llm.common import map_texts, mixed
-from oreflow.llm.components import components
+from oreflow.llm.components import components, smallest_reached
 from oreflow.operators.sizing import sized_side
 from oreflow.session import materialize, materialize_counted
 
@@ -19,7 +19,8 @@ from oreflow.session import materialize, materialize_counted
 @dataclass(frozen=True)
 class Sketch:
     """Register count and banding. With 30 bands of 5, a pair at similarity 0.85 shares no band
-    with a chance of about 2e-8, at 0.8 about 7e-6."""
+    with a chance of about 2e-8, at 0.8 about 7e-6. Buckets up to ``whole`` rows are compared in full,
+    larger ones with ``pivots`` rows first; ``block_bytes`` sizes the blocks of what is left of them."""
 
     bands: int = 30
     rows: int = 5
@@ -28,8 +29,9 @@ class Sketch:
     limit: int = 4000
     width: int = 5
     percent: int = 85
-    pivots: int = 8
-    later_pivots: int = 256
+    pivots: int = 4
+    whole: int = 8
+    block_bytes: int = 1 << 20
     sigmas: float = 5.5
 
     @property
@@ -38,6 +40,7 @@ class Sketch:
 
 
 SKETCH = Sketch()
+TASK_BYTES = 1 << 24
 
 
 class Shingler:
@@ -88,6 +91,10 @@ def normal(raw: bytes) -> bytes:
     return b" ".join(raw.lower().split())
 
 
+def text_key(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
 def minima(shingles: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.ndarray:
     """The smallest 32-bit hash of the set for every register."""
     keys = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -123,7 +130,7 @@ def sketches(docs: DataFrame, sketch: Sketch = SKETCH) -> DataFrame:
                 text = normal(raw or b"")
                 shingles = shingler(text)
                 sizes.append(len(shingles))
-                keys.append(hashlib.blake2b(text, digest_size=16).digest())
+                keys.append(text_key(text))
                 least.append(minima(shingles, multiply, add))
             values = register_values(np.array(least), sketch)
             return {
@@ -220,15 +227,13 @@ def full_sets(docs: DataFrame, ids: DataFrame, sketch: Sketch) -> DataFrame:
         shingler = Shingler(sketch.width)
 
         def work(part: pa.RecordBatch) -> dict:
-            texts = part.column("text").cast(pa.binary()).to_pylist()
-            return {"id": part.column("id"), "text_key": part.column("text_key"), "shingles": [shingler(normal(t or b"")).tobytes() for t in texts]}
+            texts = [normal(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()]
+            return {"id": part.column("id"), "text_key": [text_key(t) for t in texts], "shingles": [shingler(t).tobytes() for t in texts]}
 
         return work
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    chosen = texts.join(ids.select("id", "text_key"), "id")
-    found = map_texts(chosen, "id long, text_key binary, shingles binary", make)
-    return found
+    return map_texts(texts.join(ids.select("id"), "id"), "id long, text_key binary, shingles binary", make)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, sketch: Sketch) -> DataFrame:
@@ -272,33 +277,75 @@ def _pairs(pivots: DataFrame, members: DataFrame, sketch: Sketch) -> DataFrame:
     return _ordered(members.join(other, "key").filter((F.col("id") != F.col("_id")) & fits))
 
 
-def _later_pairs(pivots: DataFrame, members: DataFrame, sketch: Sketch) -> DataFrame:
-    """Distinct pairs of pivots with members of other components, as far as their shared shingles allow the threshold."""
-    other = pivots.select("key", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("part").alias("_part"), F.col("shared").alias("_shared"))
-    fits = _fits(F.col("n"), F.col("_n"), F.least("shared", "_shared"), sketch)
-    return _ordered(members.join(other, "key").filter((F.col("part") != F.col("_part")) & fits))
-
-
 def _ordered(met: DataFrame) -> DataFrame:
     return met.select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
 
 
-def shared_shingles(docs: DataFrame, ids: DataFrame, sketch: Sketch) -> DataFrame:
-    """(id, shared): how many shingles of each chosen representative occur in another one, too.
+def able_sets(sets: DataFrame, sketch: Sketch) -> DataFrame:
+    """(set, id, bytes) of the sets that can reach the threshold with another one.
 
-    A pair of them has no more in common than the smaller of these numbers.
+    A set shares no shingle that only it has, so too many of those rule out every partner.
     """
 
     def run(batches):
         for batch in batches:
-            for i, packed in zip(batch.column("id").to_pylist(), batch.column("shingles")):
+            for i, packed in zip(batch.column("set").to_pylist(), batch.column("shingles")):
                 found = np.frombuffer(packed.as_buffer(), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i)), pa.array(found)], names=["id", "shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i)), pa.array(found)], names=["set", "shingle"])
+
+    counted = sets.mapInArrow(run, "set long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("set").alias("set"))
+    alone = counted.filter("times = 1").groupBy("set").agg(F.count(F.lit(1)).alias("alone"))
+    size = F.length("shingles")
+    shared = size / 8 - F.coalesce("alone", F.lit(0))
+    named = sets.join(alone, "set", "left").filter(100 * shared >= sketch.percent * size / 8)
+    return named.select("set", "id", size.cast("long").alias("bytes"))
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many members every left set shares with every right one, by products of indicator columns."""
+    flat = [np.concatenate(side) for side in (left, right)]
+    owner = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    words = np.intersect1d(*flat)
+    counts = np.zeros((len(left), len(right)), dtype=np.int64)
+    if not len(words):
+        return counts
+    placed = []
+    for values, rows in zip(flat, owner):
+        place = np.minimum(np.searchsorted(words, values), len(words) - 1)
+        hit = words[place] == values
+        order = np.argsort(place[hit], kind="stable")
+        placed.append((place[hit][order], rows[hit][order]))
+    for at in range(0, len(words), width):
+        sides = []
+        for (place, rows), side in zip(placed, (left, right)):
+            run = slice(*np.searchsorted(place, [at, at + width]))
+            marks = np.zeros((len(side), width), dtype=np.float32)
+            marks[rows[run], place[run] - at] = 1
+            sides.append(marks)
+        counts += (sides[0] @ sides[1].T).astype(np.int64)
+    return counts
+
+
+def block_links(tiles: DataFrame, sketch: Sketch) -> DataFrame:
+    """(a, b): for every id with a link in its tile, the smallest id that it reaches there."""
 
-    sets = full_sets(docs, ids, sketch).select("id", "shingles").dropDuplicates(["id"])
-    counted = sets.mapInArrow(run, "id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("id").alias("id"))
-    alone = counted.filter("times = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    return ids.select("id", "n").join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, sets = [], []
+                for side in ("left", "right"):
+                    members = batch.column(side).slice(row, 1).flatten()
+                    ids.append(members.field("id").to_numpy(zero_copy_only=False))
+                    sets.append([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in members.field("shingles")])
+                both = common_counts(*sets)
+                sizes = [np.array([len(x) for x in side]) for side in sets]
+                i, j = np.nonzero(100 * both >= sketch.percent * (sizes[0][:, None] + sizes[1][None, :] - both))
+                places = np.concatenate(ids)
+                least = smallest_reached(i, j + len(ids[0]), places)
+                linked = least != places
+                yield pa.RecordBatch.from_arrays([pa.array(places[linked]), pa.array(least[linked])], names=["a", "b"])
+
+    return tiles.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, sketch: Sketch = SKETCH) -> DataFrame:
@@ -309,9 +356,9 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = SKETCH) -> DataFrame:
     few pivots per bucket, chosen by hash, are compared with its members, so a bucket of n rows
     makes at most ``pivots * n`` pairs there. The joint likelihood of registers drops hopeless pairs,
     and full shingle sets decide the rest: first the best partner of each row, then only pairs
-    between components. Buckets with more members than pivots that still span several
-    components are worked off with further pivots from outside their main component until each
-    such member was compared with the whole bucket: no pair that shares a band goes unchecked.
+    between components. Where a larger bucket still spans several components, its members outside
+    the main one are compared with the whole bucket, block by block and with full sets: no pair
+    that shares a band goes unchecked.
 
     Null, empty or word-less text: n_shingles 0, alone. Repeated rows: each gets its row; equal ids
     and texts share a component as copies do. Two different texts under one id stay one document of
@@ -333,7 +380,8 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = SKETCH) -> DataFrame:
         .filter("size > 1")
     )
     members = materialize(spark, members)
-    pairs = materialize(spark, likely(_pairs(members.filter(F.col("turn") <= sketch.pivots), members, sketch), reps, sketch))
+    first = (F.col("turn") <= sketch.pivots) | (F.col("size") <= sketch.whole)
+    pairs = materialize(spark, likely(_pairs(members.filter(first), members, sketch), reps, sketch))
 
     best = pairs.groupBy(F.col("b")).agg(F.max(F.struct("estimate", -F.col("a"))).alias("best"))
     best = best.select((-F.col("best.col2")).alias("a"), "b")
@@ -341,7 +389,8 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = SKETCH) -> DataFrame:
     parts = materialize(spark, components(links))
     links, parts = _settle(docs, reps, _crossing(pairs, parts), links, parts, sketch)
 
-    links, parts = _work_off(docs, reps, members.filter(F.col("size") > sketch.pivots), links, parts, sketch)
+    large = members.filter(F.col("size") > max(sketch.pivots, sketch.whole))
+    parts = _work_off(docs, reps, large, links, parts, sketch)
 
     home = reps.select("text_key", F.col("id").alias("_rep"))
     labels = parts.select(F.col("id").alias("_rep"), F.col("component").alias("_part"))
@@ -376,31 +425,39 @@ def _settle(docs, reps, pairs, links, parts, sketch: Sketch) -> tuple[DataFrame,
     return links, materialize(spark, components(links))
 
 
-def _work_off(docs, reps, large: DataFrame, links, parts, sketch: Sketch) -> tuple[DataFrame, DataFrame]:
-    """Compare what is left of buckets with more members than pivots.
+def _work_off(docs, reps, large: DataFrame, links, parts, sketch: Sketch) -> DataFrame:
+    """Components after comparing what is left of large buckets.
 
-    A bucket that lies in one component is done. In others, members outside the largest component that
-    were not pivots yet become pivots, until none is left. Shingles that only one of all these members
-    has bound what a pair can share; most comparisons end there without a set.
+    A bucket that lies in one component is done. In others, each member outside the largest component
+    meets every member. Both come in blocks, chosen by hash and of about ``block_bytes`` of shingles, so
+    no bucket is gathered and a tile of two blocks is one row, whatever the number of its pairs.
     """
     spark = docs.sparkSession
-    done = large.filter(F.col("turn") <= sketch.pivots).select("key", "id")
-    large, count = materialize_counted(spark, _spanning(large, parts).drop("part", "main"))
+    large, count = materialize_counted(spark, _spanning(large, parts))
     if not count:
-        return links, parts
-    ids = sized_side(reps.select("id", "text_key", "n").join(large.select("id").distinct(), "id", "left_semi"))
-    large = materialize(spark, large.join(shared_shingles(docs, ids, sketch), "id"))
-    able = _fits(F.col("n"), F.col("shared"), F.col("shared"), sketch)
-    while True:
-        named = materialize(spark, _spanning(large, parts))
-        outside = named.filter((F.col("part") != F.col("main")) & able).join(done, ["key", "id"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("turn"))
-        pivots, count = materialize_counted(spark, outside.withColumn("rank", rank).filter(F.col("rank") <= sketch.later_pivots))
-        if not count:
-            return links, parts
-        more = materialize(spark, _later_pairs(pivots, named, sketch))
-        links, parts = _settle(docs, reps, likely(more, reps, sketch), links, parts, sketch)
-        done = materialize(spark, done.unionByName(pivots.select("key", "id")))
+        return parts
+    ids = sized_side(reps.select("id", "text_key").join(large.select("id").distinct(), "id", "left_semi"))
+    sets = full_sets(docs, ids, sketch).dropDuplicates(["id", "text_key"])
+    sets = materialize(spark, sets.select(F.xxhash64("id", "text_key").alias("set"), "id", "shingles"))
+    outside = (F.col("part") != F.col("main")).alias("outside")
+    placed = materialize(spark, large.select("key", "id", outside).join(able_sets(sets, sketch), "id"))
+    sizes = placed.groupBy("key", "outside").agg(F.sum("bytes").alias("total"))
+    blocks = F.ceil(F.col("total") / sketch.block_bytes)
+    placed = placed.join(sizes, ["key", "outside"]).withColumn("block", F.pmod(F.xxhash64("set"), blocks))
+    marks = placed.groupBy("key", "outside", "block").agg(F.sum("bytes").alias("bytes"))
+    marks = materialize(spark, marks.join(sizes.filter("outside").select("key"), "key", "left_semi"))
+    other = marks.select("key", F.col("outside").alias("outside2"), F.col("block").alias("other"), F.col("bytes").alias("bytes2"))
+    met = marks.filter("outside").join(other, "key").filter("NOT outside2 OR other >= block")
+    met = materialize(spark, met.select("key", "block", "outside2", "other", (F.col("bytes") + F.col("bytes2")).alias("bytes")))
+    tasks = max(1, -(-(met.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
+    members = placed.join(sets.select("set", "shingles"), "set").groupBy("key", "outside", "block")
+    stored = materialize(spark, members.agg(F.collect_list(F.struct("id", "shingles")).alias("members")))
+    left = stored.filter("outside").select("key", "block", F.col("members").alias("left"))
+    right = stored.select("key", F.col("outside").alias("outside2"), F.col("block").alias("other"), F.col("members").alias("right"))
+    tiles = met.drop("bytes").join(left, ["key", "block"]).join(right, ["key", "outside2", "other"])
+    found = block_links(tiles.repartition(tasks, "key", "block", "outside2", "other").select("left", "right"), sketch)
+    found, count = materialize_counted(spark, found.distinct())
+    return materialize(spark, components(links.unionByName(found))) if count else parts
 
 
 def _spanning(large: DataFrame, parts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oreflow.llm.components import components
+from oreflow.llm.components import components, smallest_reached
 from oreflow.session import materialize
 
 BLOCK_ROWS = 4096
@@ -160,17 +160,6 @@ def linked_pairs(one: np.ndarray, two: np.ndarray, threshold: float):
         yield i[good] + at, j[good]
 
 
-def _labels(size: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Smallest id that each place reaches over the pairs."""
-    label = ids.copy()
-    while True:
-        before = label.copy()
-        np.minimum.at(label, i, label[j])
-        np.minimum.at(label, j, label[i])
-        if (label == before).all():
-            return label
-
-
 def tile_links(tiles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per tile and linked row: (block, place, n, a, b) with its links in the tile, its id and the
     smallest id it reaches there."""
@@ -208,7 +197,7 @@ def tile_links(tiles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels after merging the groups that the pairs connect; equal labels are one group."""
     names, group = np.unique(label, return_inverse=True)
-    merged = _labels(len(names), group[i], group[j], names)
+    merged = smallest_reached(group[i], group[j], names)
     return merged[group]
 
 

@@ -77,7 +77,7 @@ def test_near_duplicates_equal_all_pairs(spark):
         texts[len(texts)] = extra
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = plain_dedup(texts)
-    for sketch in (near_dup.SKETCH, replace(near_dup.SKETCH, pivots=1, later_pivots=2)):
+    for sketch in (near_dup.SKETCH, replace(near_dup.SKETCH, pivots=1, whole=1, block_bytes=4096)):
         assert {tuple(r) for r in near_dup.near_duplicates(frame, sketch).collect()} == want
 
 
