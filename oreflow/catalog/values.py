@@ -85,8 +85,7 @@ SELECT CAST(x AS INTEGER) AS number, {roman('x')} AS numeral, count(*) AS reques
 )
 def range_expand(spark, folder):
     """Every number of every valid range, counted per number."""
-    rows = ranges.expand_ranges(bindings.range_requests(spark, folder))
-    return rows.groupBy("number", "numeral").agg(F.count("*").alias("requests"))
+    return ranges.count_numbers(bindings.range_requests(spark, folder))
 
 
 @query(
@@ -98,6 +97,18 @@ def page_rows(spark, folder):
     return paging.page_rows(rows, ["o_orderkey"], 1200, 700)
 
 
+@query(
+    "page_rows_deep",
+    """
+SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber
+LIMIT 500 OFFSET (SELECT count(*) // 2 FROM lineitem)""",
+)
+def page_rows_deep(spark, folder):
+    """The page in the middle of the table."""
+    rows = bindings.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return paging.page_rows(rows, ["l_orderkey", "l_linenumber"], rows.count() // 2, 500)
+
+
 @query(
     "page_info",
     """

@@ -11,9 +11,6 @@ from oreflow.operators.ordered import global_position
 DEFAULT_PAGE = 100
 MAX_PAGE = 500
 
-# Up to this offset a page is cheaper as a distributed top-k.
-SHALLOW_OFFSET = 100_000
-
 
 def page_bounds(total: int, offset: int | None = None, limit: int | None = None) -> tuple[int, int]:
     """Offset and limit after clamping; an offset past the end restarts at 0."""
@@ -30,14 +27,23 @@ def needs_paging(total: int, offset: int | None, limit: int | None) -> bool:
 def page_rows(df: DataFrame, order: list[str], offset: int | None = None, limit: int | None = None) -> DataFrame:
     """One page of the table under a total order.
 
-    A deep page is cut by global row position, so no task has to hold all rows
-    before it.
+    ``order`` must be total: append the key to other columns. Only the order
+    columns are sorted and numbered; the rows come from a scan between the page's
+    first and last order values, so no task holds the rows before the page,
+    however deep it is.
     """
     start, size = page_bounds(df.count(), offset, limit)
-    if start <= SHALLOW_OFFSET:
-        return df.orderBy(*order).offset(start).limit(size)
-    placed = global_position(df, order, "_position")
-    return placed.filter(F.col("_position").between(start, start + size - 1)).drop("_position").orderBy(*order)
+    placed = global_position(df.select(*order), order, "_position")
+    page = placed.filter(F.col("_position").between(start, start + size - 1))
+    at = F.struct(*order)
+    first, last = page.agg(F.min(at), F.max(at)).first()
+    if first is None:
+        return df.limit(0)
+    bounds = [F.struct(*[F.lit(row[c]).cast(df.schema[c].dataType).alias(c) for c in order]) for row in (first, last)]
+    within = at.between(*bounds)
+    if first[0] is not None:  # a plain range of the leading column reaches the scan
+        within &= F.col(order[0]).between(first[0], last[0])
+    return df.filter(within).orderBy(*order).limit(size)
 
 
 def page_info(df: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:

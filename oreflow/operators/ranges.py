@@ -21,3 +21,14 @@ def expand_ranges(requests: DataFrame, low: str = "range_min", high: str = "rang
     valid = check_ranges(requests, low, high).filter(F.col("reject_reason").isNull()).drop("reject_reason")
     rows = valid.withColumn("number", F.explode(F.sequence(F.col(low), F.col(high))))
     return rows.withColumn("numeral", to_roman(F.col("number")))
+
+
+def count_numbers(requests: DataFrame, low: str = "range_min", high: str = "range_max") -> DataFrame:
+    """How many valid ranges hold each number.
+
+    Equal ranges are counted before they are expanded, and numerals are made for at most 3,999 numbers.
+    """
+    valid = check_ranges(requests, low, high).filter(F.col("reject_reason").isNull())
+    ranges = valid.groupBy(low, high).agg(F.count("*").alias("_requests"))
+    numbers = ranges.select(F.explode(F.sequence(F.col(low), F.col(high))).alias("number"), "_requests")
+    return numbers.groupBy("number").agg(F.sum("_requests").alias("requests")).withColumn("numeral", to_roman(F.col("number")))

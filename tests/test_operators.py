@@ -12,7 +12,6 @@ from oreflow.operators.lookups import match_logs_to_events, validate_keys
 from oreflow.operators.merge import DuplicateKeys, new_rows, require_unique, upsert
 from oreflow.operators.quantiles import exact_percentiles
 from oreflow.operators.rate import rolling_audit
-from oreflow.plans import demo
 from oreflow.sources.tables import SnapshotTable
 
 
@@ -252,13 +251,3 @@ def test_cycle_ends(spark):
     graph = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     got = {r["node"]: r["hops"] for r in lineage.impact(graph, spark.createDataFrame([("a",)], "node string")).collect()}
     assert got == {"a": 0, "b": 1, "c": 2}
-
-
-def test_demo_flow(spark):
-    facts = demo.silver(demo.sample_bronze(spark, "2024-12-27"), "2024-12-27")
-    assert facts.count() == 7
-    assert facts.agg(F.sum("conversion_count")).first()[0] == 107
-    tables = demo.gold(facts)
-    day = tables["daily"].first()
-    assert (day["total_conversions"], day["single_conversions"], day["range_conversions"]) == (7, 6, 1)
-    assert tables["popular"].count() == 6 and tables["users"].count() == 3

@@ -85,11 +85,18 @@ def test_page_info(spark):
     assert (last["offset"], last["has_next"], last["first_key"], last["last_key"]) == (900, False, 901, 1000)
 
 
-def test_deep_page_equals_shallow_page(spark, monkeypatch):
-    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"))
-    shallow = [r["k"] for r in paging.page_rows(rows, ["k"], 4000, 50).collect()]
-    monkeypatch.setattr(paging, "SHALLOW_OFFSET", 10)
-    assert [r["k"] for r in paging.page_rows(rows, ["k"], 4000, 50).collect()] == shallow == list(range(4000, 4050))
+def test_pages_at_any_depth(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("x").alias("wide"))
+    for start in (0, 10, 4000, 4980):
+        assert [r["k"] for r in paging.page_rows(rows, ["k"], start, 50).collect()] == list(range(start, min(start + 50, 5000)))
+    assert paging.page_rows(rows.filter("k < 0"), ["k"], 0, 50).count() == 0
+
+
+def test_pages_of_ordered_pairs_with_nulls(spark):
+    pairs = [(a, b) for a in (None, 1, 2) for b in range(40)]
+    rows = spark.createDataFrame(pairs, "a int, b int")
+    found = [tuple(r) for start in range(0, 120, 30) for r in paging.page_rows(rows, ["a", "b"], start, 30).collect()]
+    assert found == pairs
 
 
 def test_request_fields(spark):
