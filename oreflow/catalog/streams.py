@@ -41,11 +41,9 @@ def _state_per_core(spark):
         spark.conf.set(name, before)
 
 
-def _feed(spark, folder, run, only=None):
+def _feed(spark, folder, run):
     """Write one segment after another and run the stream on what is new."""
     records = stored(spark, folder, "segments", bindings.segmented_topic, "segment")
-    if only is not None:
-        records = records.filter(only)
     path = work_path(spark, "topic")
     for segment in range(SEGMENT_COUNT):
         append_log(records.filter(F.col("segment") == segment), path)
@@ -55,11 +53,11 @@ def _feed(spark, folder, run, only=None):
 _RUNS: dict[tuple, job.StreamTables] = {}
 
 
-def _bronze_run(spark, folder, ttl=None, lateness=None) -> job.StreamTables:
-    key = (spark.sparkContext.applicationId, folder, ttl, lateness)
+def _bronze_run(spark, folder, ttl=None) -> job.StreamTables:
+    key = (spark.sparkContext.applicationId, folder, ttl)
     if key not in _RUNS:
         tables = job.StreamTables.under(spark, work_path(spark, "stream"))
-        step = job.BronzeStream(tables, ttl, lateness, _clock)
+        step = job.BronzeStream(tables, ttl, None, _clock)
         checkpoint = work_path(spark, "checkpoint")
         _feed(spark, folder, lambda stream: job.start(stream, step, checkpoint, available_now=True))
         _RUNS[key] = tables
@@ -130,7 +128,7 @@ def stream_counters(spark, folder):
 )
 def stream_allowed_lateness(spark, folder):
     """Rows at most one hour late are accepted, later ones are routed away."""
-    tables = _bronze_run(spark, folder, lateness=timedelta(hours=1))
+    tables = _hourly_run(spark, folder)[0]
     kept = tables.bronze.read().select("event_id", F.when(F.col("is_late_arrival"), "LATE").otherwise("ON_TIME").alias("route"))
     return kept.unionByName(tables.too_late.read().select("event_id", F.lit("TOO_LATE").alias("route")))
 
@@ -158,19 +156,41 @@ def stream_append(spark, folder):
     return spark.read.parquet(path).select(*COLUMNS)
 
 
-FIRST_COPIES = f"offset % {bindings.KINDS} = {bindings.FIRST}"
+_HOURLY_RUNS: dict[tuple, tuple] = {}
+
 
+def _hourly_run(spark, folder) -> tuple[job.StreamTables, SnapshotTable]:
+    """The whole topic with one hour of allowed lateness: bronze outputs and hourly sums."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _HOURLY_RUNS:
+        tables = job.StreamTables.under(spark, work_path(spark, "stream"))
+        partials = hourly.partial_table(spark, work_path(spark, "hourly"))
+        step = hourly.HourlyStream(job.BronzeStream(tables, None, timedelta(hours=1), _clock), partials)
+        checkpoint = work_path(spark, "checkpoint")
+        _feed(spark, folder, lambda stream: job.start(stream, step, checkpoint, available_now=True))
+        _HOURLY_RUNS[key] = tables, partials
+    return _HOURLY_RUNS[key]
 
-@query("stream_hourly", with_events(HOURLY_SQL.format(table="ev")))
+
+@query("stream_hourly", with_events(HOURLY_SQL.format(table="flagged WHERE NOT too_late"), STREAM_SQL))
 def stream_hourly(spark, folder):
-    """Hourly metrics of first copies; late rows are within the allowed day."""
-    table = SnapshotTable(spark, work_path(spark, "hourly"), hourly.HOURLY_SCHEMA, "hour_date", ("hour_key",), True)
-    checkpoint = work_path(spark, "checkpoint")
-    with _state_per_core(spark):
-        _feed(
-            spark, folder, lambda stream: hourly.start(stream, table, checkpoint, "40 days", available_now=True), FIRST_COPIES
-        )
-    return table.read().drop("hour_date")
+    """Hourly metrics of first copies that come at most one hour late."""
+    return hourly.hourly(_hourly_run(spark, folder)[1].read())
+
+
+@query(
+    "stream_hourly_late",
+    with_events(
+        "SELECT date_trunc('hour', event_time) AS hour_key, count(*) AS late_requests FROM flagged WHERE too_late GROUP BY 1",
+        STREAM_SQL,
+    ),
+)
+def stream_hourly_late(spark, folder):
+    """The rest: first copies that came later than that, per hour."""
+    return hourly.late_by_hour(_hourly_run(spark, folder)[0].too_late.read())
+
+
+FIRST_COPIES = f"offset % {bindings.KINDS} = {bindings.FIRST}"
 
 
 @query(

@@ -91,6 +91,10 @@ class BronzeStream:
         return table.read_since(since).filter(F.col("ingested_at") > F.lit(since))
 
     def __call__(self, records: DataFrame, batch_id: int) -> None:
+        self.run(records, batch_id)
+
+    def run(self, records: DataFrame, batch_id: int) -> DataFrame:
+        """Publish a batch; returns its new rows that were not too late."""
         spark = records.sparkSession
         now = self.clock(batch_id)
         mark = self.watermark(batch_id)
@@ -140,9 +144,10 @@ class BronzeStream:
         row = [F.lit(value).cast("long").alias(name) for name, value in counts.items()]
         newest = F.lit(seen["newest"]).cast("timestamp").alias("max_event_time")
         tables.counters.append_once(spark.range(1).select(*row, newest), tag)
+        return accepted
 
 
-def start(stream: DataFrame, step: BronzeStream, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+def start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Run the step on a topic stream; offsets and progress live in ``checkpoint``."""
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=TRIGGER)

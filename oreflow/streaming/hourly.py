@@ -1,37 +1,69 @@
-"""Hourly metrics on the stream."""
+"""Hourly metrics on the stream.
+
+Every micro-batch adds one row of sums per hour of its new events, once; readers add the rows up. The
+sums are mergeable, so no state is kept and no hour is ever read again. Events beyond the allowed
+lateness are not lost: the bronze step writes them to its ``too_late`` table and counts them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from oreflow.functions.events import parse_events
-from oreflow.operators.metrics import hourly_aggregates
+from oreflow.functions.events import nanos_to_millis
 from oreflow.sources.tables import SnapshotTable
+from oreflow.streaming.bronze import BronzeStream
 
-HOURLY_SCHEMA = (
-    "hour_key timestamp, total_requests bigint, success_count bigint, error_count bigint, avg_response_time_ms double, "
-    "max_response_time_ms double, hour_date date"
+PARTIAL_SCHEMA = (
+    "hour_key timestamp, total_requests bigint, success_count bigint, error_count bigint, timed bigint, "
+    "sum_nanos bigint, max_nanos bigint, batch_id bigint"
 )
 
 
-def hourly_stream(topic: DataFrame, allowed_lateness: str = "1 hour") -> DataFrame:
-    """Tumbling hours; state of an hour is dropped once the watermark passes it,
-    so rows later than the allowed lateness are left to the batch job."""
-    events = parse_events(topic, F.col("kafka_timestamp")).withWatermark("event_time", allowed_lateness)
-    hours = events.groupBy(F.window("event_time", "1 hour").alias("_w")).agg(*hourly_aggregates())
-    return hours.withColumn("hour_key", F.col("_w.start")).drop("_w")
+def partial_table(spark: SparkSession, path: str) -> SnapshotTable:
+    return SnapshotTable(spark, path, PARTIAL_SCHEMA, "batch_id", ("hour_key", "batch_id"))
+
 
+def by_hour(events: DataFrame) -> DataFrame:
+    return events.groupBy(F.date_trunc("hour", "event_time").alias("hour_key"))
 
-def start(topic: DataFrame, table: SnapshotTable, checkpoint: str, allowed_lateness: str = "1 hour", available_now=False) -> StreamingQuery:
-    """Upsert the hours each batch changed; repeating a batch changes nothing."""
 
-    def step(hours: DataFrame, batch_id: int) -> None:
-        table.merge(hours.withColumn("hour_date", F.to_date("hour_key")), check=False)
+def partial_sums(events: DataFrame, batch_id: int) -> DataFrame:
+    nanos = F.col("response_time_nanos")
+    return by_hour(events).agg(
+        F.count("*").alias("total_requests"),
+        F.count_if(F.col("status") == "SUCCESS").alias("success_count"),
+        F.count_if(F.col("status") != "SUCCESS").alias("error_count"),
+        F.count(nanos).alias("timed"),
+        F.sum(nanos).alias("sum_nanos"),
+        F.max(nanos).alias("max_nanos"),
+    ).withColumn("batch_id", F.lit(batch_id).cast("long"))
 
-    writer = (
-        hourly_stream(topic, allowed_lateness).writeStream.outputMode("update").foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
+
+def hourly(partials: DataFrame) -> DataFrame:
+    """The metrics of all batches so far, one row per hour."""
+    counts = ("total_requests", "success_count", "error_count")
+    return partials.groupBy("hour_key").agg(
+        *[F.sum(name).alias(name) for name in counts],
+        nanos_to_millis(F.try_divide(F.sum("sum_nanos"), F.sum("timed"))).alias("avg_response_time_ms"),
+        nanos_to_millis(F.max("max_nanos")).alias("max_response_time_ms"),
     )
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
+
+
+def late_by_hour(too_late: DataFrame) -> DataFrame:
+    """How many events of each hour came too late to be counted in it."""
+    return by_hour(too_late).agg(F.count("*").alias("late_requests"))
+
+
+@dataclass
+class HourlyStream:
+    """The ``foreachBatch`` step: ingest into bronze, then the sums of the rows that were new and in time."""
+
+    ingest: BronzeStream
+    partials: SnapshotTable
+
+    def __call__(self, records: DataFrame, batch_id: int) -> None:
+        accepted = self.ingest.run(records, batch_id)
+        self.partials.append_once(partial_sums(accepted, batch_id), f"batch-{batch_id}")

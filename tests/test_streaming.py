@@ -11,7 +11,7 @@ from oreflow.schemas import TOPIC
 from oreflow.session import work_path
 from oreflow.sources.topic import append_log, stream_log
 from oreflow.streaming import bronze as job
-from oreflow.streaming import state
+from oreflow.streaming import hourly, state
 
 START = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
 
@@ -69,6 +69,18 @@ def test_allowed_lateness(spark, root):
     assert "f" not in {r["event_id"] for r in tables.bronze.read().collect()}
 
 
+def test_hours_and_late_rows_are_all_rows(spark, root):
+    tables, partials = job.StreamTables.under(spark, root), hourly.partial_table(spark, f"{root}/hourly")
+    ingest = job.BronzeStream(tables, allowed_lateness=timedelta(hours=1), clock=lambda i: START)
+    step = hourly.HourlyStream(ingest, partials)
+    for i, rows in enumerate(FILES):
+        step(spark.createDataFrame(rows, TOPIC), i)
+    step(spark.createDataFrame(FILES[-1], TOPIC), len(FILES) - 1)  # as after a failure
+    hours = {r["hour_key"].hour: r["total_requests"] for r in hourly.hourly(partials.read()).collect()}
+    late = {r["hour_key"].hour: r["late_requests"] for r in hourly.late_by_hour(tables.too_late.read()).collect()}
+    assert hours == {12: 2, 13: 1, 14: 2} and late == {12: 1}
+
+
 def test_keyed_state_keeps_late_rows(spark):
     """The continuous dedup runs until stopped; late rows are kept and flagged."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
