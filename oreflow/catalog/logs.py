@@ -7,14 +7,30 @@ from oreflow.catalog.inputs import bronze, stored
 from oreflow.catalog.registry import query
 from oreflow.functions.logs import parse_container_logs
 from oreflow.operators import lookups, metrics
+from oreflow.session import work_path
 from oreflow.sources import bindings
+from oreflow.sources.files import read_log_lines
 from pyspark.sql import functions as F
 
 WITH_LOGS = "WITH " + LOGS
 
 
+_FILES: dict[tuple, str] = {}
+
+
+def log_files(spark, folder) -> str:
+    """The lines as text files below one folder per container; returns the pattern of their paths."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _FILES:
+        root, lines = work_path(spark, "logs"), stored(spark, folder, "logs", bindings.container_logs)
+        for (path,) in lines.select("file_path").distinct().collect():  # the fixture has five containers
+            lines.filter(F.col("file_path") == path).select("value").write.text(root + path)
+        _FILES[key] = f"{root}/var/lib/docker/containers/*/*.log"
+    return _FILES[key]
+
+
 def access(spark, folder):
-    return parse_container_logs(stored(spark, folder, "logs", bindings.container_logs))
+    return parse_container_logs(read_log_lines(spark, log_files(spark, folder)))
 
 
 @query("access_log_parse", WITH_LOGS + "SELECT * FROM access")
