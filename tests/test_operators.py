@@ -1,13 +1,14 @@
 """Properties of merges, ordered helpers, percentiles, quality and lineage."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from oreflow.functions.events import dead_letters, parse_events
 from oreflow.functions.logs import container_id, parse_container_logs
-from oreflow.operators import dedup, lineage, ordered, quality, scd2
+from oreflow.operators import dedup, lineage, metrics, ordered, quality, scd2
 from oreflow.operators.lookups import match_logs_to_events, validate_keys
 from oreflow.operators.merge import DuplicateKeys, new_rows, require_unique, upsert
 from oreflow.operators.quantiles import exact_percentiles
@@ -251,3 +252,11 @@ def test_cycle_ends(spark):
     graph = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
     got = {r["node"]: r["hops"] for r in lineage.impact(graph, spark.createDataFrame([("a",)], "node string")).collect()}
     assert got == {"a": 0, "b": 1, "c": 2}
+
+
+def test_minute_report_with_and_without_durations(spark):
+    rows = [(datetime(2024, 1, 1), 200, d) for d in (1, 2, 3, 10, None)] + [(datetime(2024, 1, 1, 0, 1), 500, None)]
+    report = metrics.requests_per_minute(spark.createDataFrame(rows, "logged_at timestamp, status int, duration_ms int"))
+    got = {r["minute"].minute: (r["requests"], r["ok_2xx"], r["server_5xx"], r["p95_ms"]) for r in report.collect()}
+    assert got[0][:3] == (5, 5, 0) and abs(got[0][3] - 8.95) < 1e-9
+    assert got[1] == (1, 0, 1, None)
