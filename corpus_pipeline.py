@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
 from oreflow.llm import mixing, near_dup, packing, quality, secret_scan
@@ -9,6 +11,10 @@ from oreflow.llm.common import table
 from oreflow.session import materialize, prepare
 
 
+SIMILAR = replace(near_dup.SKETCH, percent=80)
+"""The corpus drops copies from a similarity of 0.8 on; op4's own threshold is that of its query."""
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps."""
     marks = quality.classify(docs, table(prepare(spark), sf_dir, "labels"))
@@ -18,7 +24,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id; repeated ids once.
     Documents without an id stay."""
-    kept = near_dup.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = near_dup.near_duplicates(docs, SIMILAR).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 

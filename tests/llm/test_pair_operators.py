@@ -284,3 +284,15 @@ def test_pipeline_of_odd_rows(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, folder)
     assert empty.count() == 0
+
+
+def test_pipeline_drops_near_copies_from_80_percent(spark, folder):
+    base = [f"v{i}" for i in range(204)]
+    at = lambda place, changes: " ".join(base[:place] + [f"n{place + i}" for i in range(changes)] + base[place + changes :])
+    texts = {1: " ".join(base), 2: at(100, 16), 3: at(20, 30)}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    share = lambda i: len(sets[1] & sets[i]) / len(sets[1] | sets[i])
+    assert 0.80 <= share(2) < 0.85 and share(3) < 0.80
+    frame = docs(spark, [(i, t, "en", "a") for i, t in texts.items()])
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, folder).collect()} == {1, 3}
+    assert all(r.kept for r in near_dup.near_duplicates(frame).collect())
