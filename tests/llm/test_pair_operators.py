@@ -252,6 +252,17 @@ def test_quality_of_odd_rows(spark):
     assert quality.classify(docs(spark, []), labels).count() == 0
 
 
+def test_limits_hold_for_few_trusted_rows(spark):
+    draw = np.random.default_rng(12)
+    prose = lambda n: " ".join(draw.choice("the old cat sat on a mat and saw it run".split(), n))
+    rows = [(i, prose(80), "en" if i < 24 else "xx", "a") for i in range(30)]
+    rows += [(100, " ".join(f"X{i}9##" for i in range(200)), "en", "a"), (101, " ".join(f"X{i}9##" for i in range(200)), "xx", "a")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in quality.classify(docs(spark, rows), labels).collect()}
+    assert not found[100].kept and not found[101].kept and all(found[i].kept for i in range(30))
+    assert found[0].highest != found[25].highest
+
+
 # queries and the pipeline ---------------------------------------------------------------------
 
 
