@@ -118,8 +118,9 @@ def permutations(sketch: Sketch) -> tuple[np.ndarray, np.ndarray]:
     return multiply, seeds.integers(0, 1 << 32, sketch.size, dtype=np.uint32)
 
 
-def sketches(docs: DataFrame, sketch: Sketch = SKETCH) -> DataFrame:
-    """(doc_id, n_shingles, text_key, registers) of every row, from whole texts."""
+def sketches(docs: DataFrame, sketch: Sketch = SKETCH, carry: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, text_key, registers) of every row, from whole texts, and the binary column ``carry``."""
+    carried = [carry] if carry else []
 
     def make():
         shingler, (multiply, add) = Shingler(sketch.width), permutations(sketch)
@@ -138,12 +139,14 @@ def sketches(docs: DataFrame, sketch: Sketch = SKETCH) -> DataFrame:
                 "n_shingles": sizes,
                 "text_key": keys,
                 "registers": [v.tobytes() if n else None for v, n in zip(values, sizes)],
+                **{c: part.column(c) for c in carried},
             }
 
         return work
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_texts(rows, "doc_id long, n_shingles long, text_key binary, registers binary", make)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carried)
+    schema = ", ".join(["doc_id long, n_shingles long, text_key binary, registers binary", *(f"{c} binary" for c in carried)])
+    return map_texts(rows, schema, make)
 
 
 def band_rows(reps: DataFrame, sketch: Sketch) -> DataFrame:
@@ -348,7 +351,7 @@ def block_links(tiles: DataFrame, sketch: Sketch) -> DataFrame:
     return tiles.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, sketch: Sketch = SKETCH) -> DataFrame:
+def near_duplicates(docs: DataFrame, sketch: Sketch = SKETCH, carry: str | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept.
 
     Equal texts meet first by a 128-bit key, so copies cost one narrow row each. One representative
@@ -363,10 +366,12 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = SKETCH) -> DataFrame:
     Null, empty or word-less text: n_shingles 0, alone. Repeated rows: each gets its row; equal ids
     and texts share a component as copies do. Two different texts under one id stay one document of
     its own each, but share the id's links. Null doc_id: component null, kept true. Extra columns
-    are ignored. An empty table gives no rows.
+    are ignored. An empty table gives no rows. With ``carry``, a binary column of ``docs``, the result also
+    has that column and text_key, the key of the normalised text.
     """
     spark = docs.sparkSession
-    made = materialize(spark, sketches(docs, sketch))
+    carried = ["text_key", carry] if carry else []
+    made = materialize(spark, sketches(docs, sketch, carry))
     some = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = some.groupBy("text_key").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")
@@ -394,13 +399,14 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = SKETCH) -> DataFrame:
 
     home = reps.select("text_key", F.col("id").alias("_rep"))
     labels = parts.select(F.col("id").alias("_rep"), F.col("component").alias("_part"))
-    out = made.select("doc_id", "n_shingles", "text_key").join(home, "text_key", "left").join(labels, "_rep", "left")
+    out = made.select("doc_id", "n_shingles", *(carried or ["text_key"])).join(home, "text_key", "left").join(labels, "_rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("_part", "_rep", "doc_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        *carried,
     )
 
 

@@ -307,3 +307,18 @@ def test_pipeline_drops_near_copies_from_80_percent(spark, folder):
     frame = docs(spark, [(i, t, "en", "a") for i, t in texts.items()])
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, folder).collect()} == {1, 3}
     assert all(r.kept for r in near_dup.near_duplicates(frame).collect())
+
+
+def test_pipeline_judges_rows_not_ids(spark, folder):
+    prose = "the house and the garden are of a long time and the people in it were with a book for the day "
+    odd = " ".join(f"X{i}9##" for i in range(300))
+    given = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source")
+    labelled = given.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("toxic = 0 AND lang = 'en'")
+    good, bad = (labelled.filter(f"quality = {k}").orderBy("doc_id").first() for k in (1, 0))
+    rows = [(None, good.text, "en", "a"), (900_001, good.text, "en", "a"), (900_001, bad.text, "en", "a")]
+    frame = given.union(docs(spark, rows).select("doc_id", "text", "lang", "source"))
+    kept = corpus_pipeline.quality_filter(spark, frame, folder).filter("doc_id IS NULL OR doc_id > 900000").collect()
+    assert sorted((r.doc_id is None, r.text) for r in kept) == [(False, good.text), (True, good.text)]
+    rows = [(1, prose, "en", "a"), (1, odd, "en", "a"), (1, prose.upper(), "en", "a"), (2, odd + " y", "en", "a"), (0, odd, "en", "a")]
+    left = corpus_pipeline.near_duplicates(spark, docs(spark, rows), folder).collect()
+    assert {(r.doc_id, r.text.lower()) for r in left} == {(1, prose), (0, odd.lower())} and len(left) == 2
