@@ -27,13 +27,19 @@ ENDS_ITSELF = {
     "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
 }
 ROLES = frozenset("navigation banner contentinfo search complementary dialog alert alertdialog menu".split())
-PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|modal|sidebar|menu|nav|navbar|"
+_PART = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|modal|sidebar|menu|nav|navbar|"
     r"navigation|breadcrumbs?|footer|comments?|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login)"
-    r"(?:$|[\s_-])",
-    re.I,
 )
-TOP_PARTS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
+_WITH = (
+    r"(?:site|page|main|top|bottom|left|right|primary|secondary|global|mobile|desktop|post|article|links?|lists?|items?|bar|box|block|"
+    r"buttons?|icons?|media|widgets?|area|section|form|reply|posts|articles|stories|content|slot|unit|policy|\d+)"
+)
+PARTS = re.compile(rf"(?:^|\s)(?:{_WITH}[_-]+)*{_PART}(?:[_-]+(?:{_PART}|{_WITH}))*(?:$|\s)", re.I)
+TOP_PARTS = re.compile(rf"(?:^|\s)(?:{_WITH}[_-]+)*(?:header|masthead|topbar)(?:[_-]+{_WITH})*(?:$|\s)", re.I)
+COMMENTS = re.compile(r"(?:^|\s)(?:comments?|respond)(?:$|[\s_-])", re.I)
+CONTAINERS = frozenset("div section aside ul ol dl table details figure header footer nav form".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 HIDDEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|object|canvas|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)",
     re.I | re.S,
@@ -43,59 +49,79 @@ NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", r
 
 COPY_SHARE = 0.8
 LINK_SHARE = 0.5
+TEXT_SHARE = 0.5
 
 
 @dataclass(frozen=True)
 class Line:
-    """One block of text: whether it stands in an article, and the share of its characters in links."""
+    """One block of text: whether it stands in an article, the share of its characters in links, and whether
+    it is a paragraph or heading."""
 
     text: str
     inside: bool
     linked: float
+    prose: bool = False
+
+
+@dataclass
+class Part:
+    """An element that looks like a page part: the part around it, whether it may turn out to hold the page's
+    text, whether it is in an article, and what it holds: a main element, characters of articles, characters."""
+
+    outer: Part | None
+    loose: bool
+    inside: bool
+    main: bool = False
+    article: int = 0
+    size: int = 0
+
 
+def _is_part(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the element is a menu, header, footer, sidebar, notice, advert, form or comment list, and
+    whether that rests on a name or a form, so that it may be the wrapper of the whole page.
 
-def _is_part(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether the element is a menu, header, footer, sidebar, notice, advert, form or comment list."""
+    Names are whole class tokens, made of part names and words that go with them; in an article they count
+    on containers only.
+    """
     if tag in CHROME or (tag == "header" and not inside):
-        return True
+        return True, tag in ("form", "fieldset")
     if "=" not in attributes or tag in ("html", "body", "main", "article"):
-        return False
+        return False, False
     for name, value in NAMES.findall(attributes):
         value = value.strip("\"'")
         if name.lower() == "role":
             if value.lower() in ROLES:
-                return True
+                return True, False
+        elif inside and tag not in CONTAINERS:
+            continue
         elif PARTS.search(value) or (not inside and TOP_PARTS.search(value)):
-            return True
-    return False
+            return True, not COMMENTS.search(value)
+    return False, False
 
 
 def lines_of(page: str | None) -> list[Line]:
-    """Blocks of the page in order, without hidden elements and without page parts.
+    """Blocks of the page in order, without hidden elements and without page parts. An element that holds
+    main, most of the text of articles, or by its name alone most of the page's text, is no page part.
 
     White space in a block becomes one space, character references are decoded, a line break is white
     space. Elements that are not closed end with the element around them, a paragraph or list item with the next one.
     """
     page = HIDDEN.sub(" ", page or "")
-    out: list[Line] = []
-    words: list[str] = []
-    state = {"links": 0}
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, inside an article, in a link
+    found: list[tuple[list, bool, bool]] = []  # pieces of a block (text, innermost page part, in a link), inside an article, prose
+    words: list[tuple[str, Part | None, bool]] = []
+    stack: list[tuple[str, Part | None, bool, bool]] = []  # tag, innermost page part, inside an article, in a link
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(words)).split())
-        if text:
-            inside = stack[-1][2] if stack else False
-            out.append(Line(text, inside, state["links"] / len(text)))
+        if words:
+            tag, _, inside, _ = stack[-1] if stack else ("", None, False, False)
+            prose = next((t for t, *_ in reversed(stack) if t in BLOCKS), tag) in PROSE
+            found.append((words.copy(), inside, prose))
         words.clear()
-        state["links"] = 0
 
     def add(text: str) -> None:
-        if not text or (stack and stack[-1][1]):
-            return
-        words.append(text)
-        if stack and stack[-1][3]:
-            state["links"] += len(text.strip())
+        if text:
+            _, part, _, linked = stack[-1] if stack else ("", None, False, False)
+            words.append((text, part, linked))
 
     at = 0
     for m in TAG.finditer(page):
@@ -129,14 +155,48 @@ def lines_of(page: str | None) -> list[Line]:
                     break
                 if stack[depth][0] in BLOCKS:
                     break
-        _, dropped, inside, linked = stack[-1] if stack else ("", False, False, False)
-        dropped = dropped or _is_part(tag, attributes, inside)
-        stack.append((tag, dropped, inside or tag in ("article", "main"), linked or tag == "a"))
+        _, part, inside, linked = stack[-1] if stack else ("", None, False, False)
+        named, loose = _is_part(tag, attributes, inside)
+        if named:
+            part = Part(part, loose, inside)
+        if tag == "main":
+            for outer in _around(part):
+                outer.main = True
+        stack.append((tag, part, inside or tag in ("article", "main"), linked or tag == "a"))
     add(page[at:])
     flush()
+    size = article = 0
+    for pieces, inside, _ in found:
+        for text, part, _ in pieces:
+            n = len(text.strip())
+            size += n
+            article += n * inside
+            for outer in _around(part):
+                outer.size += n
+                outer.article += n * (inside and not outer.inside)
+
+    def dropped(part: Part) -> bool:
+        if part.main or (article and part.article > TEXT_SHARE * article):
+            return False
+        return not (part.loose and part.size > TEXT_SHARE * size)
+
+    out: list[Line] = []
+    for pieces, inside, prose in found:
+        left = [(text, linked) for text, part, linked in pieces if not any(map(dropped, _around(part)))]
+        text = " ".join(html.unescape("".join(t for t, _ in left)).split())
+        if text:
+            links = sum(len(t.strip()) for t, linked in left if linked)
+            out.append(Line(text, inside, links / len(text), prose))
     return out
 
 
+def _around(part: Part | None) -> Iterator[Part]:
+    """The part and those around it."""
+    while part:
+        yield part
+        part = part.outer
+
+
 def common(one: list, two: list) -> set[int]:
     """Places in ``one`` of a longest common subsequence with ``two``.
 
@@ -188,7 +248,7 @@ def main_text(lines: list[Line], neighbour: list[Line] | None) -> str:
         links = line.linked > LINK_SHARE
         if inside and (not line.inside or (links and i in shared)):
             continue
-        if not inside and (links or i in shared):
+        if not inside and ((links and not line.prose) or i in shared):
             continue
         kept.append(line.text)
     return "\n\n".join(kept)

@@ -211,6 +211,23 @@ def test_pages_without_an_article_lose_shared_lines(spark):
     assert pages.extract(frame.limit(0)).count() == 0
 
 
+def test_wrappers_and_names_keep_the_text():
+    def text(body):
+        return pages.main_text(pages.lines_of(page(body)), None)
+
+    for wrap in ("div class='content-sidebar-wrap'", "div class='has-sidebar'", "div class='no-sidebar'", "div id=menu-open", "form", "div class=sidebar"):
+        close = wrap.split()[0]
+        assert text(f"<nav>Menu</nav><{wrap}><main><p>Long own text</p></main></{close}><footer>F</footer>") == "Long own text"
+        assert text(f"<{wrap}><article><p>Long own text</p></article><div class=related>R</div></{close}>") == "Long own text"
+        assert text(f"<{wrap}><p>Long own text of the page</p></{close}><footer>Foot</footer>") == "Long own text of the page"
+    inner = "<h2 id='related-work'>Related work</h2><p id='social-impact'>Impact</p><h2 id=navigation>Navigation</h2>"
+    assert text(f"<article>{inner}<div class='cookie-notice'>C</div></article>") == "Related work\n\nImpact\n\nNavigation"
+    assert text("<p><a href=x>Sources of the text</a> all</p><ul><li><a href=y>Home</a></li></ul>") == "Sources of the text all"
+    assert text("<p>Own <span class=ad>buy</span> text</p><p>More of it</p>") == "Own text\n\nMore of it"
+    teaser = "<aside><article><p>Teaser</p></article></aside><div class=comments><p>Long words of others</p></div>"
+    assert text(f"<article><p>Own text of this page</p></article>{teaser}") == "Own text of this page"
+
+
 def test_common_is_a_longest_common_subsequence():
     draw = np.random.default_rng(6)
     for _ in range(200):
