@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oreflow.llm import language, mixing, near_dup, packing, pages, quality, secret_scan, token_counts, topk, vectors
+from oreflow.llm import (
+    language,
+    mixing,
+    near_dup,
+    packing,
+    pages,
+    quality,
+    runs,
+    secret_scan,
+    suffixes,
+    token_counts,
+    topk,
+    vectors,
+    whitening,
+)
 from oreflow.llm.common import table
 from oreflow.llm.sql import SQL
 from oreflow.session import prepare
@@ -56,6 +70,18 @@ def op10_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(rows.filter(F.col("vec_id") % 20 == 0), rows)
 
 
+def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digest(suffixes.remove_repeats(table(prepare(spark), folder, "documents")))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(prepare(spark), folder, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(table(prepare(spark), folder, "documents"), plant=True))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -73,6 +99,9 @@ QUERIES = {
         op8_embedding_dedup,
         op9_secret_scan,
         op10_exact_top_k,
+        op11_suffix_dedup,
+        op12_whitening,
+        op13_periodic_runs,
         pipeline,
     )
 }

@@ -1,6 +1,7 @@
 """The operators' results as DuckDB SQL, where SQL can say them."""
 
 from oreflow.llm.mixing import BLOCK_WORDS, MOST_REPEATS, SEED, SHARD_WORDS, WEIGHTS
+from oreflow.llm.suffixes import LENGTH
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -101,4 +102,53 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM scored QUALIFY rank <= 20
 """
 
-SQL = {"op2_source_mix": OP2, "op4_minhash_dedup": OP4, "op8_embedding_dedup": OP8, "op10_exact_top_k": OP10}
+OP11 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, hex(coalesce(text, '')) AS x FROM documents),
+pos AS (SELECT r, x, unnest(range(0, len(x) // 2 - {LENGTH - 1})) AS i FROM d),
+named AS (SELECT r, i, md5(substr(x, 2 * i + 1, {2 * LENGTH})) AS k FROM pos),
+again AS (SELECT r, i FROM named QUALIFY count(*) OVER (PARTITION BY k) > 1),
+edges AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > {LENGTH}, true)::INT AS fresh FROM again),
+numbered AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM edges),
+spans AS (SELECT r, min(i) AS a, max(i) + {LENGTH} AS b FROM numbered GROUP BY r, g),
+before AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS free FROM spans),
+joined AS (SELECT r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last,
+    string_agg(substr(x, 2 * free + 1, 2 * (a - free)), '' ORDER BY a) AS kept
+  FROM before JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(x, 2 * last + 1), x))) AS kept_sha256
+FROM d LEFT JOIN joined USING (r)
+"""
+
+_CRC = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: xor(v >> 1, (v & 1) * 3988292384))"
+
+OP13 = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_extract_all(coalesce(text, ''), '{_WORD}'), lambda x: x <> '') AS w,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+      lambda c, b: {_CRC})) AS h FROM documents),
+draws AS (SELECT doc_id, r, w, len(w)::BIGINT AS n, h, h // 10 AS g FROM d),
+tails AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM draws),
+periods AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM tails),
+places AS (SELECT r, n, w, a, p, unnest(range(0, n)) AS i FROM periods),
+words AS (SELECT r, n, i, w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] AS word FROM places),
+pairs AS (SELECT x.r, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM pairs),
+stretches AS (SELECT r, q, min(i) AS s, count(*) + q AS len FROM islands GROUP BY r, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT r, s, len, min(q) AS q FROM stretches GROUP BY r, s, len),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+    min({{'l': -len, 's': s, 'q': q}}) AS top FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + len)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, -top.l AS length, top.q AS period,
+  (-top.l * 1000) // top.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+"""
+
+SQL = {
+    "op2_source_mix": OP2,
+    "op4_minhash_dedup": OP4,
+    "op8_embedding_dedup": OP8,
+    "op10_exact_top_k": OP10,
+    "op11_suffix_dedup": OP11,
+    "op13_periodic_runs": OP13,
+}
