@@ -266,7 +266,10 @@ def test_quality_of_odd_rows(spark):
     found = quality.classify(docs(spark, ODD), labels).collect()
     assert len(found) == len(ODD)
     assert {r.doc_id for r in found if not r.kept} == {1, 2, 3}
-    assert quality.classify(docs(spark, []), labels).count() == 0
+    assert quality.classify(docs(spark, []), labels).collect() == []
+    for none in (labels.limit(0), labels.filter("quality IS NULL")):
+        found = quality.classify(docs(spark, ODD), none).collect()
+        assert len(found) == len(ODD) and all(r.kept == bool(r.n_words) and r.lowest is None for r in found)
 
 
 def test_limits_hold_for_few_trusted_rows(spark):
@@ -311,7 +314,7 @@ def test_pipeline_of_odd_rows(spark, folder):
     empty = docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, folder)
-    assert empty.count() == 0
+    assert empty.collect() == []
 
 
 def test_pipeline_drops_near_copies_from_80_percent(spark, folder):
