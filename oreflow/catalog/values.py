@@ -9,6 +9,7 @@ from oreflow.catalog.inputs import parsed
 from oreflow.catalog.registry import query
 from oreflow.functions.roman import audit_reason, to_roman
 from oreflow.operators import lineage, lookups, paging, ranges
+from oreflow.session import work_path
 from oreflow.sources import bindings
 
 LINE_NUMBER = "CAST((l_orderkey * 31 + l_partkey * 7 + l_linenumber) % 4200 AS INTEGER)"
@@ -97,18 +98,28 @@ def page_rows(spark, folder):
     return paging.page_rows(rows, ["o_orderkey"], 1200, 700)
 
 
-@query(
-    "page_rows_deep",
-    """
-SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber
-LIMIT 500 OFFSET (SELECT count(*) // 2 FROM lineitem)""",
-)
+DEEP = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
+DEEP_SQL = f"SELECT {DEEP} FROM lineitem ORDER BY {DEEP} LIMIT 500 OFFSET (SELECT count(*) // 2 FROM lineitem)"
+
+
+def _lines(spark, folder):
+    return bindings.table(spark, folder, "lineitem").select(*DEEP.split(", "))
+
+
+@query("page_rows_deep", DEEP_SQL)
 def page_rows_deep(spark, folder):
-    """The page in the middle of the table."""
-    rows = bindings.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    """The page in the middle of the table; the order alone leaves ties."""
+    rows = _lines(spark, folder)
     return paging.page_rows(rows, ["l_orderkey", "l_linenumber"], rows.count() // 2, 500)
 
 
+@query("page_index_rows", DEEP_SQL)
+def page_index_rows(spark, folder):
+    """The same page from a kept index."""
+    index = paging.PageIndex.build(_lines(spark, folder), ["l_orderkey", "l_linenumber"], work_path(spark, "pages"), 10_000)
+    return index.page(index.total // 2, 500)
+
+
 @query(
     "page_info",
     """

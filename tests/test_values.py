@@ -153,3 +153,19 @@ def test_pause_splits_a_client(spark):
         last = s
         want.append((s, allowed))
     assert got == want
+
+
+def test_pages_of_ties(spark, root):
+    """A thousand equal order values lie over both borders of the page; pages neither overlap nor miss a row."""
+    rows = spark.range(3000).select(
+        (F.col("id") / 1000).cast("int").alias("k"), (F.col("id") % 7).alias("v"), F.when(F.col("id") % 3 > 0, "x").alias("w")
+    )
+    whole = sorted(map(tuple, rows.collect()), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or ""))
+    assert sorted(map(tuple, paging.page_rows(rows, ["k"], 900, 500).collect()), key=str) == sorted(whole[900:1400], key=str)
+    index = paging.PageIndex.build(rows, ["k"], root, 700)
+    pages = [list(map(tuple, index.page(start, 500).collect())) for start in range(0, 3000, 500)]
+    assert [sorted(p, key=str) for p in pages] == [sorted(whole[i : i + 500], key=str) for i in range(0, 3000, 500)]
+    assert sorted(map(tuple, index.page(9999, 500).collect()), key=str) == sorted(whole[:500], key=str)
+    plan = index.page(1500, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_range" in plan and "GreaterThanOrEqual(_position,1500)" in plan
+    assert paging.PageIndex.build(rows.limit(0), ["k"], root + "-none").page(0, 10).count() == 0
