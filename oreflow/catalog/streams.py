@@ -16,7 +16,7 @@ from oreflow.functions.events import parse_events
 from oreflow.schemas import BRONZE_COLUMNS as COLUMNS
 from oreflow.session import work_path
 from oreflow.sources import bindings
-from oreflow.sources.tables import SnapshotTable
+from oreflow.sources.batches import BatchTable
 from oreflow.sources.topic import append_log, stream_log
 from oreflow.streaming import bronze as job
 from oreflow.streaming import hourly, state
@@ -148,6 +148,58 @@ def stream_dedup_ttl(spark, folder):
     return _bronze_run(spark, folder, ttl=timedelta(hours=18)).bronze.read().select("event_id", "batch_id")
 
 
+STATE_DELAY = "24 hours"
+STATE_SQL = (
+    SEGMENTS
+    + """
+, marks AS (
+  SELECT s.seg, date_trunc('millisecond', max(g.event_time)) - INTERVAL 24 HOUR AS mark
+  FROM generate_series(0, 2) AS s(seg) LEFT JOIN seg_good g ON g.seg < s.seg GROUP BY 1),
+placed AS (SELECT g.*, coalesce(event_time <= mark, false) AS behind FROM seg_good g JOIN marks m ON m.seg = g.seg)
+"""
+)
+
+_STATE_RUNS: dict[tuple, tuple] = {}
+
+
+def _state_run(spark, folder) -> tuple[str, list]:
+    """Path of the unique events, and what each segment's query told of its state."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STATE_RUNS:
+        path, checkpoint, told = work_path(spark, "unique"), work_path(spark, "checkpoint"), []
+
+        def run(stream):
+            with _state_per_core(spark):
+                query = state.start_unique(stream, path, checkpoint, STATE_DELAY, available_now=True)
+                query.awaitTermination()
+            told.append(state.progress_of(query))
+            return query
+
+        _feed(spark, folder, run)
+        _STATE_RUNS[key] = path, told
+    return _STATE_RUNS[key]
+
+
+PAYLOAD_SQL = ", ".join(state.PAYLOAD)
+
+
+@query("stream_state_dedup", with_events(f"SELECT DISTINCT {PAYLOAD_SQL} FROM placed WHERE NOT behind", STATE_SQL))
+def stream_state_dedup(spark, folder):
+    """Each event once, by state that expires with the watermark; no output is read back."""
+    return spark.read.parquet(_state_run(spark, folder)[0]).select(*state.PAYLOAD)
+
+
+@query(
+    "stream_state_dropped",
+    with_events("SELECT CAST(seg AS BIGINT) AS segment, count(*) FILTER (behind) AS dropped FROM placed GROUP BY 1", STATE_SQL),
+)
+def stream_state_dropped(spark, folder):
+    """Rows that came behind the watermark, per segment, as the stream itself counted them."""
+    told = _state_run(spark, folder)[1]
+    rows = [(segment, sum(p["dropped"] for p in progress)) for segment, progress in enumerate(told)]
+    return spark.createDataFrame(rows, "segment long, dropped long")
+
+
 @query("stream_append", with_events(f"SELECT {BRONZE_COLUMNS} FROM (SELECT *, arrival AS ingested_at FROM delivered)"))
 def stream_append(spark, folder):
     """Plain parse-and-append ingest, duplicates included."""
@@ -159,7 +211,7 @@ def stream_append(spark, folder):
 _HOURLY_RUNS: dict[tuple, tuple] = {}
 
 
-def _hourly_run(spark, folder) -> tuple[job.StreamTables, SnapshotTable]:
+def _hourly_run(spark, folder) -> tuple[job.StreamTables, BatchTable]:
     """The whole topic with one hour of allowed lateness: bronze outputs and hourly sums."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _HOURLY_RUNS:

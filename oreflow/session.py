@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +65,46 @@ def work_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "oreflow", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def _store(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it knows it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, place = _store(spark, path)
+    return store.exists(place)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly below a folder; none if it is missing."""
+    store, place = _store(spark, path)
+    return [s.getPath().getName() for s in store.listStatus(place)] if store.exists(place) else []
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this job has written."""
+    store, place = _store(spark, path)
+    store.delete(place, True)
+
+
+_SCOPES = threading.local()
+
+
+@contextmanager
+def steps_removed(spark: SparkSession) -> Iterator[None]:
+    """Steps that are materialized inside are removed at the end, failed or not: what a micro-batch
+    leaves in the shared folder must not grow with the number of batches."""
+    outer = getattr(_SCOPES, "paths", None)
+    _SCOPES.paths = []
+    try:
+        yield
+    finally:
+        for path in _SCOPES.paths:
+            discard(spark, path)
+        _SCOPES.paths = outer
+
+
 def materialize_counted(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, int]:
     """Compute once into a Parquet table in the shared folder; returns the
     table and its row count, taken while writing.
@@ -70,6 +113,8 @@ def materialize_counted(spark: SparkSession, df: DataFrame) -> tuple[DataFrame,
     read only their columns, and Spark knows the real size when it joins.
     """
     path = work_path(spark, "step")
+    if getattr(_SCOPES, "paths", None) is not None:
+        _SCOPES.paths.append(path)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]

@@ -160,19 +160,6 @@ class SnapshotTable:
     def append(self, df: DataFrame, committed_at: datetime | None = None, operation: str = "append") -> int:
         return self._commit(operation, committed_at, self._write(df))
 
-    def append_once(self, df: DataFrame, tag: str, committed_at: datetime | None = None) -> int:
-        """Append unless a publish with this tag is there already; returns the
-        rows of that publish. A publish is all or nothing, so a step that runs
-        again after a failure adds nothing twice."""
-        published = [e for e in self._entries() if e["operation"] == tag]
-        if not published:
-            token = self._write(df)
-            if token is None:
-                return 0
-            self._commit(tag, committed_at, token)
-            published = [e for e in self._entries() if e["operation"] == tag]
-        return sum(e["rows"] for e in published if e["action"] == "append")
-
     def overwrite(self, df: DataFrame, committed_at: datetime | None = None) -> int:
         """Replace all rows in one publish: readers never see an empty table."""
         return self._commit("overwrite", committed_at, self._write(df), reset=True)
@@ -266,14 +253,6 @@ class SnapshotTable:
         live = self._live()
         return self._scan({v: live[v] for v in values if v in live}).drop("part_key")
 
-    def read_since(self, moment: datetime | str) -> DataFrame:
-        """Current rows from files published after the moment; no other file
-        is opened."""
-        recent = self.manifest().filter(F.col("committed_at") > F.lit(moment).cast("timestamp"))
-        tokens = {row[0] for row in recent.select("token").distinct().collect()}
-        live = {value: {t: n for t, n in held.items() if t in tokens} for value, held in self._live().items()}
-        return self._scan({value: held for value, held in live.items() if held}).drop("part_key")
-
     def snapshot_at(self, moment: datetime | str) -> int:
         """Newest snapshot committed at or before the moment (0 if none)."""
         before = self.manifest().filter(F.col("committed_at") <= F.lit(moment).cast("timestamp"))

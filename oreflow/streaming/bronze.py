@@ -1,8 +1,8 @@
 """Streaming bronze ingest with lateness, dead letters and counters.
 
-Each micro-batch is parsed, deduplicated (first copy wins) and published to
-snapshot tables. Every publish carries its batch number and happens once, so a
-batch that is run again after a failure adds nothing twice.
+Each micro-batch is parsed, deduplicated (first copy wins) and written to its own folder in every output table, so a
+batch that is run again after a failure adds nothing twice. What a batch must know of the past is in the counters of
+the batch before it: its work does not grow with the number of batches.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from oreflow.functions.events import dead_letters, parse_events
 from oreflow.operators.dedup import first_arrived
 from oreflow.operators.merge import new_rows
 from oreflow.plans.layers import BRONZE_SCHEMA, with_event_date
-from oreflow.session import materialize
-from oreflow.sources.tables import SnapshotTable
+from oreflow.session import materialize, steps_removed
+from oreflow.sources.batches import BatchTable
 
 # Out-of-orderness, state time-to-live and trigger of the stream.
 WATERMARK_DELAY = timedelta(minutes=5)
@@ -34,7 +34,7 @@ DEAD_SCHEMA = (
 )
 COUNTER_SCHEMA = (
     "batch_id bigint, received bigint, malformed bigint, processed bigint, duplicates bigint, late bigint, too_late bigint, "
-    "max_event_time timestamp"
+    "max_event_time timestamp, live array<struct<block: bigint, started: timestamp>>"
 )
 
 
@@ -42,25 +42,37 @@ COUNTER_SCHEMA = (
 class StreamTables:
     """Outputs of the stream below one root."""
 
-    bronze: SnapshotTable
-    late: SnapshotTable
-    too_late: SnapshotTable
-    dead: SnapshotTable
-    counters: SnapshotTable
+    bronze: BatchTable
+    late: BatchTable
+    too_late: BatchTable
+    dead: BatchTable
+    counters: BatchTable
 
     @classmethod
-    def under(cls, spark: SparkSession, root: str) -> "StreamTables":
-        make = lambda name, ddl, part, key: SnapshotTable(
-            spark, f"{root}/{name}", ddl, part, key
-        )
+    def under(cls, spark: SparkSession, root: str, **layout) -> "StreamTables":
+        make = lambda name, ddl, order=None: BatchTable(spark, f"{root}/{name}", ddl, order, **layout)
         return cls(
-            make("bronze", STREAM_SCHEMA, "event_date", ("event_id",)),
-            make("late", STREAM_SCHEMA, "batch_id", ("event_id",)),
-            make("too_late", STREAM_SCHEMA, "batch_id", ("event_id",)),
-            make("dead_letters", DEAD_SCHEMA, "batch_id", ()),
-            make("counters", COUNTER_SCHEMA, "batch_id", ("batch_id",)),
+            make("bronze", STREAM_SCHEMA, "event_time"),
+            make("late", STREAM_SCHEMA, "event_time"),
+            make("too_late", STREAM_SCHEMA, "event_time"),
+            make("dead_letters", DEAD_SCHEMA),
+            make("counters", COUNTER_SCHEMA),
         )
 
+    def close(self, number: int) -> None:
+        """Rewrite a block of all outputs into few files."""
+        for table in (self.bronze, self.late, self.too_late, self.dead, self.counters):
+            table.close(number)
+
+
+@dataclass
+class Past:
+    """What is known of the batches before one: the newest event time, and the first moment of each block of
+    batches that may hold ids still counting as seen."""
+
+    newest: datetime | None
+    live: list[tuple[int, datetime]]
+
 
 @dataclass
 class BronzeStream:
@@ -77,27 +89,35 @@ class BronzeStream:
     allowed_lateness: timedelta | None = None
     clock: Callable[[int], datetime] = lambda batch_id: datetime.now(timezone.utc)
 
-    def watermark(self, batch_id: int) -> datetime | None:
-        """Newest event time of earlier batches less the delay; one small read."""
-        earlier = self.tables.counters.read().filter(F.col("batch_id") < batch_id)
-        newest = earlier.agg(F.max("max_event_time")).first()[0]
-        return newest - WATERMARK_DELAY if newest else None
-
-    def _written(self, table: SnapshotTable, now: datetime) -> DataFrame:
-        """Rows whose ids still count as seen; only files young enough are read."""
-        if self.ttl is None:
-            return table.read()
-        since = now - self.ttl
-        return table.read_since(since).filter(F.col("ingested_at") > F.lit(since))
+    def past(self, batch_id: int, now: datetime) -> Past:
+        """From the one counters row of the batch before; blocks that ended before the time-to-live are left out."""
+        before = self.tables.counters.batch(batch_id - 1).select(
+            "max_event_time", F.transform("live", lambda b: F.struct(b.block, F.unix_micros(b.started).alias("at"))).alias("live")
+        )
+        row = before.select(F.unix_micros("max_event_time").alias("newest"), "live").first() if batch_id else None
+        if row is None:
+            return Past(None, [])
+        moment = lambda micros: datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=micros)
+        starts = [(b["block"], moment(b["at"])) for b in row["live"]]
+        ends = [start for _, start in starts[1:]] + [None]
+        live = [(b, t) for (b, t), end in zip(starts, ends) if self.ttl is None or end is None or end > now - self.ttl]
+        return Past(None if row["newest"] is None else moment(row["newest"]), live)
+
+    def _written(self, table: BatchTable, past: Past, now: datetime) -> DataFrame:
+        """Rows whose ids still count as seen; only blocks young enough are opened."""
+        rows = table.blocks([block for block, _ in past.live])
+        return rows if self.ttl is None else rows.filter(F.col("ingested_at") > F.lit(now - self.ttl))
 
     def __call__(self, records: DataFrame, batch_id: int) -> None:
-        self.run(records, batch_id)
+        with steps_removed(records.sparkSession):
+            self.run(records, batch_id)
 
     def run(self, records: DataFrame, batch_id: int) -> DataFrame:
-        """Publish a batch; returns its new rows that were not too late."""
+        """Write a batch; returns its new rows that were not too late."""
         spark = records.sparkSession
         now = self.clock(batch_id)
-        mark = self.watermark(batch_id)
+        past = self.past(batch_id, now)
+        mark = past.newest - WATERMARK_DELAY if past.newest else None
         time = F.col("event_time")
         late = F.lit(False) if mark is None else F.coalesce(time < F.lit(mark), F.lit(False))
         too_late = F.lit(False)
@@ -108,12 +128,12 @@ class BronzeStream:
             {"is_late_arrival": late, "batch_id": F.lit(batch_id).cast("long"), "_too_late": too_late}
         )
         # Counted on the way to the first and the second written step.
-        read, taken = Observation(), Observation()
-        parsed = parsed.observe(read, F.count(F.lit(1)).alias("good"), F.max("event_time").alias("newest"))
+        read, taken, bad = Observation(), Observation(), Observation()
+        parsed = parsed.observe(read, F.count(F.lit(1)).alias("good"), F.unix_micros(F.max("event_time")).alias("newest"))
         unique = materialize(spark, first_arrived(parsed))
-        known = self._written(self.tables.bronze, now)
+        known = self._written(self.tables.bronze, past, now)
         if self.allowed_lateness is not None:
-            known = known.unionByName(self._written(self.tables.too_late, now))
+            known = known.unionByName(self._written(self.tables.too_late, past, now))
         known = known.filter(F.col("batch_id") < batch_id)
         fresh = new_rows(unique, known, ["event_id"]).observe(
             taken, F.count(F.lit(1)).alias("fresh"), F.count_if("is_late_arrival").alias("late"),
@@ -123,17 +143,17 @@ class BronzeStream:
         accepted = fresh.filter(~F.col("_too_late")).drop("_too_late")
         seen, new = read.get, taken.get
 
-        tag, tables = f"batch-{batch_id}", self.tables
-        tables.bronze.append_once(accepted, tag, now)
+        tables = self.tables
+        tables.bronze.write(accepted, batch_id)
         if new["late"] > new["too_late"]:
-            tables.late.append_once(accepted.filter("is_late_arrival"), tag)
+            tables.late.write(accepted.filter("is_late_arrival"), batch_id)
         if new["too_late"]:
-            tables.too_late.append_once(fresh.filter("_too_late").drop("_too_late"), tag, now)
-        dead = dead_letters(records, now).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        malformed = tables.dead.append_once(dead, tag)
-        # Last: the next batch takes its watermark from the counters.
+            tables.too_late.write(fresh.filter("_too_late").drop("_too_late"), batch_id)
+        dead = dead_letters(records, now).observe(bad, F.count(F.lit(1)).alias("rows"))
+        tables.dead.write(dead, batch_id)
+        malformed = bad.get["rows"]
+        # Last: the next batch takes what it must know from the counters.
         counts = {
-            "batch_id": batch_id,
             "received": seen["good"] + malformed,
             "malformed": malformed,
             "processed": new["fresh"] - new["too_late"],
@@ -142,8 +162,14 @@ class BronzeStream:
             "too_late": new["too_late"],
         }
         row = [F.lit(value).cast("long").alias(name) for name, value in counts.items()]
-        newest = F.lit(seen["newest"]).cast("timestamp").alias("max_event_time")
-        tables.counters.append_once(spark.range(1).select(*row, newest), tag)
+        before = None if past.newest is None else F.lit(past.newest)
+        newest = F.greatest(before if before is not None else F.lit(None).cast("timestamp"), F.timestamp_micros(F.lit(seen["newest"]).cast("long")))
+        block = batch_id // tables.bronze.block
+        live = past.live if any(b == block for b, _ in past.live) else [*past.live, (block, now)]
+        known_blocks = F.array(*[F.struct(F.lit(b).cast("long").alias("block"), F.lit(t).cast("timestamp").alias("started")) for b, t in live])
+        tables.counters.write(spark.range(1).select(*row, newest.alias("max_event_time"), known_blocks.alias("live")), batch_id)
+        if tables.bronze.closes(batch_id):
+            tables.close(block - 1)
         return accepted
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreflow.functions.events import nanos_to_millis
-from oreflow.sources.tables import SnapshotTable
+from oreflow.session import steps_removed
+from oreflow.sources.batches import BatchTable
 from oreflow.streaming.bronze import BronzeStream
 
 PARTIAL_SCHEMA = (
@@ -22,8 +23,8 @@ PARTIAL_SCHEMA = (
 )
 
 
-def partial_table(spark: SparkSession, path: str) -> SnapshotTable:
-    return SnapshotTable(spark, path, PARTIAL_SCHEMA, "batch_id", ("hour_key", "batch_id"))
+def partial_table(spark: SparkSession, path: str, **layout) -> BatchTable:
+    return BatchTable(spark, path, PARTIAL_SCHEMA, "hour_key", **layout)
 
 
 def by_hour(events: DataFrame) -> DataFrame:
@@ -62,8 +63,11 @@ class HourlyStream:
     """The ``foreachBatch`` step: ingest into bronze, then the sums of the rows that were new and in time."""
 
     ingest: BronzeStream
-    partials: SnapshotTable
+    partials: BatchTable
 
     def __call__(self, records: DataFrame, batch_id: int) -> None:
-        accepted = self.ingest.run(records, batch_id)
-        self.partials.append_once(partial_sums(accepted, batch_id), f"batch-{batch_id}")
+        with steps_removed(records.sparkSession):
+            accepted = self.ingest.run(records, batch_id)
+            self.partials.write(partial_sums(accepted, batch_id), batch_id)
+            if self.partials.closes(batch_id):
+                self.partials.close(batch_id // self.partials.block - 1)

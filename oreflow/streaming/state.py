@@ -1,8 +1,8 @@
-"""Keyed state on the stream: first-copy dedup with expiry, token buckets.
+"""State on the stream: dedup that expires with event time, token buckets.
 
-Both need the RocksDB state store:
+The token buckets need the RocksDB state store:
 ``spark.sql.streaming.stateStore.providerClass`` =
-``org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider``.
+``org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider``; the dedup runs on either store.
 """
 
 from __future__ import annotations
@@ -13,51 +13,50 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from oreflow.functions.events import parse_events
 from oreflow.operators.rate import REPLAY_SCHEMA, spend
+from oreflow.plans.layers import with_event_date
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# Fixed value: columns that all copies of an event share; which copy passes is not decided by more than arrival.
+PAYLOAD = (
+    "event_id event_time event_type user_id api_key_prefix client_ip correlation_id input_number output_roman range_min range_max "
+    "result_count page_offset page_limit response_time_nanos status"
+).split()
 
-class FirstCopy(StatefulProcessor):
-    """Emit the first copy of each id and flag it when behind the watermark."""
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+def unique_events(records: DataFrame, delay: str = "24 hours") -> DataFrame:
+    """Events of a topic stream, each id once, by Spark's own event-time state.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "flag boolean", self.ttl_ms)
+    An id is held until the watermark, the newest event time less ``delay``, has passed its event time by
+    ``delay`` again, and is then forgotten: the state is bounded by the events of twice that time, and no output
+    is ever read back. Copies carry the event's own time, so within the delay none passes twice. Rows behind the
+    watermark are dropped and counted by Spark (``dropped_behind_watermark``). Rows without an event time cannot be
+    placed and are left to the dead letters.
+    """
+    events = parse_events(records, F.col("kafka_timestamp")).filter(F.col("event_time").isNotNull())
+    kept = events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
+    return with_event_date(kept.select(*PAYLOAD))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            return
-        first = None
-        for part in rows:  # keep one row whatever the number of copies
-            best = part.nsmallest(1, "kafka_offset")
-            if first is None or best["kafka_offset"].iloc[0] < first["kafka_offset"].iloc[0]:
-                first = best
-        if first is None:
-            return
-        self.seen.update((True,))
-        mark = timerValues.getCurrentWatermarkInMs()
-        behind = first["event_time"].astype("int64") // 1_000_000 < mark
-        first["event_time"] = first["event_time"].dt.tz_localize(None)
-        yield first.assign(is_late_arrival=behind)[["event_id", "event_time", "kafka_offset", "is_late_arrival"]]
 
-    def close(self) -> None:
-        pass
+def start_unique(records: DataFrame, path: str, checkpoint: str, delay: str = "24 hours", available_now: bool = False) -> StreamingQuery:
+    """Write the unique events as Parquet by day. Spark's file sink commits a batch once, repeated or not."""
+    writer = (
+        unique_events(records, delay).writeStream.format("parquet").outputMode("append").partitionBy("event_date")
+        .option("path", path).option("checkpointLocation", checkpoint)
+    )
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")).start()
 
 
-def first_copies(events: DataFrame, ttl_ms: int) -> DataFrame:
-    """Continuous form of the dedup; runs until it is stopped."""
-    rows = events.select("event_id", F.col("event_time").cast("timestamp"), "kafka_offset").withWatermark("event_time", "5 minutes")
-    return rows.groupBy("event_id").transformWithStateInPandas(
-        statefulProcessor=FirstCopy(ttl_ms),
-        outputStructType="event_id string, event_time timestamp, kafka_offset long, is_late_arrival boolean",
-        outputMode="append",
-        timeMode="ProcessingTime",
-    )
+def progress_of(query: StreamingQuery) -> list[dict]:
+    """(batch, ids held, rows dropped behind the watermark) of the batches of a query that progress is kept of."""
+    return [
+        {"batch_id": p["batchId"], "held": s["numRowsTotal"], "dropped": s["numRowsDroppedByWatermark"]}
+        for p in query.recentProgress for s in p["stateOperators"][:1]
+    ]
 
 
 class TokenBucket(StatefulProcessor):

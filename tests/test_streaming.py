@@ -4,11 +4,9 @@ import json
 import time
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import functions as F
-
-from oreflow.functions.events import parse_events
 from oreflow.schemas import TOPIC
-from oreflow.session import work_path
+from oreflow.session import shared_dir, subfolders, work_path
+from oreflow.sources.batches import BatchTable
 from oreflow.sources.topic import append_log, stream_log
 from oreflow.streaming import bronze as job
 from oreflow.streaming import hourly, state
@@ -81,28 +79,67 @@ def test_hours_and_late_rows_are_all_rows(spark, root):
     assert hours == {12: 2, 13: 1, 14: 2} and late == {12: 1}
 
 
-def test_keyed_state_keeps_late_rows(spark):
-    """The continuous dedup runs until stopped; late rows are kept and flagged."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
+def test_state_holds_no_more_than_the_delay(spark, root):
+    """Ids leave the state as the watermark passes; a copy within the delay is caught, a row behind it counted."""
     path, checkpoint = work_path(spark, "topic"), work_path(spark, "checkpoint")
+    held, dropped = [], []
+
+    def feed(rows):
+        append_log(spark.createDataFrame(rows, TOPIC), path)
+        query = state.start_unique(stream_log(spark, path), root, checkpoint, "60 minutes", available_now=True)
+        query.awaitTermination()
+        held.append(state.progress_of(query)[-1]["held"])
+        dropped.append(sum(p["dropped"] for p in state.progress_of(query)))
+
+    for hour in range(6):
+        rows = [record(f"{hour}-{i}", 60 * hour + i, 100 * hour + i) for i in range(40)]
+        feed(rows + [record(f"{hour}-0", 60 * hour, 100 * hour + 90)] + ([record(f"{hour - 1}-39", 60 * hour - 21, 0)] if hour else []))
+    feed([record("old", 0, 999)])
+    assert spark.read.parquet(root).count() == 240
+    assert max(held) <= 130 and dropped == [0] * 6 + [1]
+
+
+def test_batches_are_written_once_and_closed(spark, root):
+    table = BatchTable(spark, root, "k int, batch_id bigint", "k", block=3)
+    rows = lambda *values: spark.createDataFrame([(v,) for v in values], "k int")
+    assert table.read().collect() == [] and table.batch(0).collect() == []
+    for i in range(5):
+        table.write(rows(i, 10 * i), i)
+    table.write(rows(4, 44), 4)  # as after a failure
+    whole = sorted(map(tuple, table.read().collect()))
+    assert whole == [(0, 0), (0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (10, 1), (20, 2), (30, 3), (44, 4)]
+    assert [i for i in range(9) if table.closes(i)] == [4, 7]
+    assert table.close(0) and not table.close(0)
+    assert sorted(map(tuple, table.read().collect())) == whole
+    assert subfolders(spark, f"{root}/open") == ["block=1"]
+    assert table.blocks([0]).count() == 6 and table.blocks([1]).count() == 4 and table.blocks([7]).count() == 0
+    assert table.batch(4).count() == 2
+
+
+def test_work_of_a_batch_does_not_grow(spark, root):
+    """Twelve batches in blocks of two: steps are removed, old blocks are few files and are not opened again."""
+    tables = job.StreamTables.under(spark, root, block=2)
+    step = job.BronzeStream(tables, ttl=timedelta(minutes=5), clock=lambda i: START + timedelta(minutes=i))
+    steps = lambda: [n for n in subfolders(spark, f"{shared_dir(spark)}/oreflow") if n.startswith("step-")]
+    before = len(steps())
+    for i in range(12):
+        step(spark.createDataFrame([record("same", 0, 100), record(f"e{i}", i, 100 + i)], TOPIC), i)
+    assert len(steps()) == before
+    assert sorted(subfolders(spark, f"{root}/bronze/open")) == ["block=5"]
+    live = tables.counters.batch(11).first()["live"]
+    assert [b["block"] for b in live] == [3, 4, 5]
+    counts = [tuple(r) for r in tables.counters.read().orderBy("batch_id").select("batch_id", "received", "processed").collect()]
+    # "same" passes in batches 0, 5 and 10: each time five minutes have gone by
+    assert counts == [(i, 2, 2 if i % 5 == 0 else 1) for i in range(12)]
+    assert tables.bronze.read().count() == 15
+
+
+def test_parsed_events_are_printed(spark, capfd):
+    path = work_path(spark, "topic")
     append_log(spark.createDataFrame(FILES[0], TOPIC), path)
-    events = parse_events(stream_log(spark, path), F.col("kafka_timestamp"))
-    query = (
-        state.first_copies(events, 24 * 3600 * 1000).writeStream.format("memory").queryName("first_copies")
-        .outputMode("append").option("checkpointLocation", checkpoint).start()
-    )
-    try:
-        deadline = time.time() + 180
-
-        def wait(count):
-            while spark.table("first_copies").count() < count and time.time() < deadline:
-                time.sleep(0.5)
-
-        wait(3)
-        for i, rows in enumerate(FILES[1:]):
-            append_log(spark.createDataFrame(rows, TOPIC), path)
-            wait(5 + i)
-        got = {r["event_id"]: r["is_late_arrival"] for r in spark.table("first_copies").collect()}
-    finally:
-        query.stop()
-    assert got == {"a": False, "b": False, "c": False, "d": False, "e": True, "f": True}
+    job.print_events(stream_log(spark, path), work_path(spark, "checkpoint"), available_now=True).awaitTermination()
+    printed, deadline = "", time.time() + 20
+    while printed.count("BRONZE_EVENT: id=") < 3 and time.time() < deadline:  # the console is another process's
+        time.sleep(0.2)
+        printed += capfd.readouterr().out
+    assert printed.count("BRONZE_EVENT: id=") == 3
