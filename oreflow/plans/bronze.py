@@ -46,7 +46,7 @@ def backfill(
     """
     events = parse_events(topic, ingested_at).filter(half_open("event_time", start, end))
     batch, metrics = _collected(with_event_date(highest_offset(events)))
-    missing = new_rows(batch, table.read(), list(table.key))
+    missing = new_rows(batch, table.read_holding(batch), list(table.key))
     token, staged = table.stage(missing)
     passed = gate(validate(staged, "staged", rules), report_only) if rules else True
     snapshot = table.publish(token, committed_at=committed_at)

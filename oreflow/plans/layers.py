@@ -53,19 +53,22 @@ def with_bucket(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", user_bucket())
 
 
-def _table(spark: SparkSession, root: str, name: str, ddl: str, part: str | None, key: tuple, fixed: bool = False) -> SnapshotTable:
-    return SnapshotTable(spark, f"{root}/{name}", ddl, part, key, fixed)
+def _table(
+    spark: SparkSession, root: str, name: str, ddl: str, part: str | None, key: tuple, fixed: bool = False, summary: bool = False
+) -> SnapshotTable:
+    return SnapshotTable(spark, f"{root}/{name}", ddl, part, key, fixed, summary)
 
 
 def bronze(spark: SparkSession, root: str, fixed_time: bool = False) -> SnapshotTable:
     """``fixed_time``: producers never resend an event id with another time, so
-    merges look for known ids in the days of the new rows only."""
-    return _table(spark, root, "bronze/raw_conversion_events", BRONZE_SCHEMA, "event_date", ("event_id",), fixed_time)
+    merges look for known ids in the days of the new rows only. Without it they
+    look in the days whose bitmap of keys meets that of the new rows."""
+    return _table(spark, root, "bronze/raw_conversion_events", BRONZE_SCHEMA, "event_date", ("event_id",), fixed_time, True)
 
 
 def fact(spark: SparkSession, root: str, fixed_time: bool = False) -> SnapshotTable:
     """See :func:`bronze` for ``fixed_time``."""
-    return _table(spark, root, "silver/fact_conversions", FACT_SCHEMA, "event_date", ("event_id",), fixed_time)
+    return _table(spark, root, "silver/fact_conversions", FACT_SCHEMA, "event_date", ("event_id",), fixed_time, True)
 
 
 def user_snapshot(spark: SparkSession, root: str) -> SnapshotTable:

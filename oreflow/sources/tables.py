@@ -14,11 +14,13 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from oreflow.operators.keysets import bits_for, groups_met, key_bitmaps
 from oreflow.operators.merge import new_rows, require_unique, upsert
 from oreflow.operators.sizing import sized_side
 
@@ -52,6 +54,8 @@ class SnapshotTable:
     integers), ``key`` the merge key. Set ``key_fixes_part`` where a key never
     moves to another partition, for instance when the event time of an event id
     never changes: merges then look for keys in the source's partitions only.
+    Elsewhere ``key_summary`` keeps bitmaps of hashed keys beside the data: merges
+    then read the partitions whose bitmap meets the source's, and no others.
     """
 
     spark: SparkSession
@@ -60,12 +64,21 @@ class SnapshotTable:
     part: str | None = None
     key: tuple[str, ...] = ()
     key_fixes_part: bool = False
+    key_summary: bool = False
 
     # ----------------------------------------------------------- manifest
     @property
     def _data(self) -> str:
         return f"{self.path}/data"
 
+    @property
+    def _keys(self) -> str:
+        return f"{self.path}/keys"
+
+    @property
+    def _summarized(self) -> bool:
+        return bool(self.key_summary and self.part and self.key and not self.key_fixes_part and list(self.key) != [self.part])
+
     def __post_init__(self) -> None:
         """Create the table if it is missing."""
         if isinstance(self.schema, str):
@@ -141,12 +154,18 @@ class SnapshotTable:
         (
             placed.withColumn("token", F.lit(token))
             .hint("rebalance", "part_key")
-            .observe(seen, F.count(F.lit(1)).alias("rows"))
+            .observe(seen, F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("part_key").alias("parts"))
             .write.mode("append")
             .partitionBy("part_key", "token")
             .parquet(self._data)
         )
-        return token if seen.get["rows"] else None
+        if not seen.get["rows"]:
+            return None
+        if self._summarized:
+            written = self._scan({"*": {token: 0}}).withColumn("token", F.lit(token))
+            bitmaps = key_bitmaps(written, list(self.key), ["part_key", "token"], bits_for(seen.get["rows"] // max(1, seen.get["parts"])))
+            bitmaps.write.mode("append").partitionBy("part_key", "token").parquet(self._keys)
+        return token
 
     def stage(self, df: DataFrame) -> tuple[str | None, DataFrame]:
         """Write rows without publishing them; returns (token, staged rows)."""
@@ -172,12 +191,7 @@ class SnapshotTable:
 
     def insert_new(self, source: DataFrame, committed_at: datetime | None = None) -> int:
         """Insert the rows whose key is not in the table yet."""
-        live = self._live()
-        if self.key_fixes_part:
-            sources = self._parts_of(source)
-            live = {value: tokens for value, tokens in live.items() if value in sources}
-        known = self._scan(live).drop("part_key")
-        return self.append(new_rows(source, known, list(self.key)), committed_at, "insert")
+        return self.append(new_rows(source, self.read_holding(source), list(self.key)), committed_at, "insert")
 
     def merge(self, source: DataFrame, committed_at: datetime | None = None, check: bool = True) -> int:
         """Upsert by key; only partitions with touched keys are rewritten."""
@@ -222,13 +236,36 @@ class SnapshotTable:
             return {"all"} & set(live)
         if (list(self.key) == [self.part] or self.key_fixes_part) and self.part in source.columns:
             return self._parts_of(source) & set(live)
-        holders = self._scan(live).join(keys, list(self.key), "left_semi")
+        holders = self._scan(self._may_hold(keys, source, live)).join(keys, list(self.key), "left_semi")
         return {row[0] for row in holders.select("part_key").distinct().collect()}
 
+    def _may_hold(self, keys: DataFrame, source: DataFrame, live: dict[str, dict[str, int]]) -> dict[str, dict[str, int]]:
+        """The live files that may hold one of these keys: those of the source's partitions where a key fixes its
+        partition, those whose bitmap meets the keys' where bitmaps are kept, else all."""
+        if self.key_fixes_part:
+            sources = self._parts_of(source)
+            return {value: tokens for value, tokens in live.items() if value in sources}
+        if not self._summarized or not live:
+            return live
+        layout = "bits bigint, stretch bigint, bitmap binary, part_key string, token string"
+        paths = self._paths(self._keys, live)
+        kept = self.spark.read.schema(layout).option("basePath", self._keys).parquet(*paths)
+        sizes = [row["bits"] for row in kept.select("bits").distinct().collect()]
+        batch = reduce(DataFrame.unionByName, [key_bitmaps(keys, list(self.key), [], bits) for bits in sizes])
+        met = groups_met(kept, batch, ["part_key", "token"]).collect()
+        found: dict[str, dict[str, int]] = {}
+        for row in met:
+            found.setdefault(row["part_key"], {})[row["token"]] = live[row["part_key"]][row["token"]]
+        return found
+
+    @staticmethod
+    def _paths(base: str, live: dict[str, dict[str, int]]) -> list[str]:
+        return [f"{base}/part_key={_folder(value)}/token={token}" for value in sorted(live) for token in sorted(live[value])]
+
     # --------------------------------------------------------------- read
     def _scan(self, live: dict[str, dict[str, int]]) -> DataFrame:
         """Rows of the given files with their ``part_key``."""
-        paths = [f"{self._data}/part_key={_folder(value)}/token={token}" for value in sorted(live) for token in sorted(live[value])]
+        paths = self._paths(self._data, live)
         if not paths:
             empty = self.spark.createDataFrame([], self.schema)
             return empty.withColumn("part_key", F.lit(None).cast("string"))
@@ -253,6 +290,10 @@ class SnapshotTable:
         live = self._live()
         return self._scan({v: live[v] for v in values if v in live}).drop("part_key")
 
+    def read_holding(self, source: DataFrame) -> DataFrame:
+        """Rows of the files that may hold a key of the source; those with one are all among them."""
+        return self._scan(self._may_hold(source, source, self._live())).drop("part_key")
+
     def snapshot_at(self, moment: datetime | str) -> int:
         """Newest snapshot committed at or before the moment (0 if none)."""
         before = self.manifest().filter(F.col("committed_at") <= F.lit(moment).cast("timestamp"))

@@ -1,14 +1,18 @@
 """Layer jobs: repeated and split runs give the same tables."""
 
+from datetime import date
+
 import pytest
 from pyspark.sql import functions as F
 
 from oreflow.catalog import inputs
+from oreflow.operators import keysets
 from oreflow.operators.quality import ValidationFailed
 from oreflow.plans import bronze, gold, layers, reports, silver, suites
 from oreflow.schemas import FACT_COLUMNS
 from oreflow.session import work_path
 from oreflow.sources.files import list_catalog_tables, read_log_lines
+from oreflow.sources.tables import SnapshotTable
 from oreflow.sources.topic import after_global_mark, after_marks, starting_offsets
 
 RUN_TS = "2024-03-01"
@@ -113,3 +117,32 @@ def test_analytics_pack(spark, folder):
     assert pack["user_activity_summary"].first()["avg_requests_per_user"] == 6.0
     shares = [r["percentage"] for r in pack["number_range_distribution"].collect()]
     assert sum(shares) == pytest.approx(100, abs=0.1)
+
+
+def test_merges_read_the_days_whose_keys_meet(spark, root):
+    """Thirty days of keys; a batch of new ids, one that is known, and one that has moved to another day."""
+    row = "concat('e', id) AS event_id, date_add(DATE'2024-01-01', cast(id % 30 AS int)) AS day, 'old' AS v"
+    table = SnapshotTable(spark, root, "event_id string, day date, v string", "day", ("event_id",), key_summary=True)
+    table.append(spark.sql(f"SELECT {row} FROM range(3000)"))
+    batch = spark.createDataFrame(
+        [(f"n{i}", date(2024, 2, 1), "new") for i in range(50)] + [("e7", date(2024, 1, 8), "new"), ("e3", date(2024, 1, 20), "new")],
+        "event_id string, day date, v string",
+    )
+    days = {r[0] for r in table.read_holding(batch).select("day").distinct().collect()}
+    assert {date(2024, 1, 8), date(2024, 1, 4)} <= days and len(days) <= 6
+    paths = {f.split("part_key=")[1][:10] for f in table.read_holding(batch).inputFiles()}
+    assert paths == {str(d) for d in days}
+    table.insert_new(batch)
+    assert table.read().count() == 3050
+    table.merge(batch)
+    moved = {r["event_id"]: (r["day"], r["v"]) for r in table.read().filter("event_id IN ('e3', 'e7')").collect()}
+    assert moved == {"e3": (date(2024, 1, 20), "new"), "e7": (date(2024, 1, 8), "new")}
+    assert table.read().count() == 3050 and table.read().select("event_id").distinct().count() == 3050
+
+
+def test_bitmaps_miss_no_key(spark):
+    rows = spark.range(5000).select((F.col("id") % 7).alias("part"), F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, "x").alias("w"))
+    for bits in (64, 1 << 20, 1 << 40):
+        met = keysets.groups_met(keysets.key_bitmaps(rows, ["k", "w"], ["part"], bits), keysets.key_bitmaps(rows.filter("k IN (8, 4996)"), ["k", "w"], [], bits), ["part"])
+        found = {r[0] for r in met.collect()}
+        assert {8 % 7, 4996 % 7} <= found and (bits < 100 or len(found) == 2)
