@@ -74,7 +74,21 @@ def gold_daily_runs(spark, folder):
 
 @query("gold_user_runs", with_facts(USER_SQL.format(more="")))
 def gold_user_runs(spark, folder):
-    """The published user table after a full run and an interval run."""
+    """The users' totals after a full run, two interval runs and one of these again."""
+    rows, root = facts(spark, folder), work_path(spark, "gold")
+    days, totals = layers.user_days(spark, root), layers.user_totals(spark, root)
+    processed = F.col("processed_at")
+    until = lambda moment: rows.filter(processed < F.lit(moment).cast("timestamp"))
+    plan.run_user_totals(until(START), days, totals, None, None, RUN_TS)
+    plan.run_user_totals(until("2024-01-22"), days, totals, START, "2024-01-22", RUN_TS)
+    for _ in range(2):
+        plan.run_user_totals(rows, days, totals, "2024-01-22", "2024-03-01", RUN_TS)
+    return metrics.metrics_of_sums(totals.read())
+
+
+@query("gold_user_metrics_runs", with_facts(USER_SQL.format(more="")))
+def gold_user_metrics_runs(spark, folder):
+    """The published user table after a full run and an interval run that reads all facts."""
     rows, table = facts(spark, folder), layers.user_metrics(spark, work_path(spark, "gold"))
     early = rows.filter(F.col("processed_at") < F.lit(START).cast("timestamp"))
     plan.run_user_metrics(early, table, None, None, RUN_TS)

@@ -82,6 +82,68 @@ def user_metrics_of_interval(facts: DataFrame, start, end, generated_at) -> Data
     )
 
 
+def user_day_sums(facts: DataFrame) -> DataFrame:
+    """Mergeable sums per user and day, from which :func:`user_sums` adds up any span of days."""
+    numbers = F.col("input_number")
+    return (
+        facts.filter(F.col("user_id").isNotNull())
+        .groupBy("user_id", "event_date")
+        .agg(
+            F.count("*").alias("requests"),
+            F.sum("conversion_count").alias("numbers"),
+            F.sum(numbers).alias("input_sum"),
+            F.count(numbers).alias("inputs"),
+            F.max("event_time").alias("last_activity"),
+        )
+    )
+
+
+def changed_sums(before: DataFrame, after: DataFrame, totals: DataFrame, days: DataFrame) -> DataFrame:
+    """The new totals of the users whose sums per day changed.
+
+    ``before`` and ``after`` are the sums of the same days, ``totals`` holds the users' sums so far and ``days`` all
+    current sums per day. Counts and sums change by the difference. The last activity is the newer one, unless
+    the days have lost the event that was the last: only such users' other days are read. Users without any
+    request left come with 0 requests.
+    """
+    sums = ["requests", "numbers", "input_sum", "inputs"]
+    signed = lambda rows, sign: rows.select("user_id", *[(F.col(c) * sign).alias(c) for c in sums],
+                                            F.when(F.lit(sign > 0), F.col("last_activity")).alias("_new"),
+                                            F.when(F.lit(sign < 0), F.col("last_activity")).alias("_old"))
+    change = signed(after, 1).unionByName(signed(before, -1)).groupBy("user_id").agg(
+        *[F.sum(c).alias(c) for c in sums], F.max("_new").alias("_new"), F.max("_old").alias("_old")
+    )
+    change = sized_side(change)
+    held = totals.select("user_id", *[F.col(c).alias(f"_{c}") for c in sums], F.col("last_activity").alias("_last"))
+    both = change.join(held, "user_id", "left")
+    added = [(F.coalesce(f"_{c}", F.lit(0)) + F.coalesce(c, F.lit(0))).alias(c) for c in sums]
+    lost = (F.col("_old") == F.col("_last")) & F.coalesce(F.col("_new") < F.col("_last"), F.lit(True))
+    found = both.select("user_id", *added, F.greatest("_last", "_new").alias("last_activity"), F.coalesce(lost, F.lit(False)).alias("_lost"))
+    again = sized_side(found.filter("_lost").select("user_id"))
+    ends = days.join(again, "user_id", "left_semi").groupBy("user_id").agg(F.max("last_activity").alias("_end"))
+    known = found.join(ends, "user_id", "left")
+    last = F.when(F.col("_lost"), F.col("_end")).otherwise(F.col("last_activity"))
+    return known.withColumn("last_activity", last).drop("_lost", "_end")
+
+
+def user_sums(days: DataFrame) -> DataFrame:
+    """Totals per user of the sums per day."""
+    sums = ["requests", "numbers", "input_sum", "inputs"]
+    return days.groupBy("user_id").agg(*[F.sum(c).alias(c) for c in sums], F.max("last_activity").alias("last_activity"))
+
+
+def metrics_of_sums(totals: DataFrame) -> DataFrame:
+    """The user metrics that the totals stand for."""
+    return totals.select(
+        "user_id",
+        F.col("requests").alias("total_requests"),
+        F.col("numbers").alias("total_numbers"),
+        F.try_divide(F.col("input_sum").cast("double"), F.col("inputs")).alias("avg_input_value"),
+        "last_activity",
+        "generated_at",
+    )
+
+
 def popular_numbers(facts: DataFrame, generated_at, limit: int = POPULAR_LIMIT) -> DataFrame:
     """The most requested numbers; ties go to the smaller number."""
     return (

@@ -45,13 +45,41 @@ def build_history(events: DataFrame, key: str, attributes: list[str], time: str,
     )
 
 
+def first_touched(changed: DataFrame, key: str, time: str) -> DataFrame:
+    """(key, _since): the earliest time at which new events touch each key; computed and counted once."""
+    known = changed.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
+    return sized_side(known.groupBy(key).agg(F.min(time).alias("_since")))
+
+
+def splice_history(history: DataFrame, events: DataFrame, touched: DataFrame, key: str, attributes: list[str], time: str, tie: str) -> DataFrame:
+    """History after new events: of each touched key only what lies behind its earliest touched time is rebuilt.
+
+    ``touched`` is of :func:`first_touched`, ``events`` must hold all events of the touched keys from then on, and may
+    hold more. Versions that began before stay; the last of them is where the rebuilt tail goes on: it enters as an
+    event of its own start, so it is closed anew, split by a late event or left open, and its number is what the
+    tail's numbers are shifted by. Events that are older and not new are not needed. An event whose own time
+    moves must be in ``touched`` with its older time too.
+    """
+    mine = history.join(touched, key)
+    head = mine.filter(F.col("valid_from") < F.col("_since"))
+    last = head.groupBy(key).agg(F.max_by(F.struct(*attributes, "valid_from", "version"), "version").alias("_last"))
+    last = materialize(history.sparkSession, last)
+    seeds = last.select(
+        key, *[F.col("_last")[a].alias(a) for a in attributes], F.col("_last.valid_from").alias(time),
+        F.lit("").cast(events.schema[tie].dataType).alias(tie),
+    )
+    tail = events.join(touched, key).filter(F.col(time) >= F.col("_since")).select(key, *attributes, time, tie)
+    rebuilt = build_history(seeds.unionByName(tail), key, attributes, time, tie)
+    shifted = rebuilt.join(last.select(key, F.col("_last.version").alias("_offset")), key, "left")
+    shifted = shifted.withColumn("version", F.col("version") + F.coalesce(F.col("_offset") - 1, F.lit(0))).drop("_offset")
+    settled = head.join(last.select(key, F.col("_last.version").alias("version")), [key, "version"], "left_anti").drop("_since")
+    others = history.join(touched, key, "left_anti")
+    return others.unionByName(settled).unionByName(shifted)
+
+
 def merge_history(history: DataFrame, events: DataFrame, changed: DataFrame, key: str, **build) -> DataFrame:
-    """History after new events: the keys in ``changed`` are rebuilt from all
-    their events, since a late event may split a closed version; all other
-    keys keep their rows."""
-    keys = sized_side(changed.select(key).filter(F.col(key).isNotNull()).distinct())
-    rebuilt = build_history(events.join(keys, key, "left_semi"), key, **build)
-    return history.join(keys, key, "left_anti").unionByName(rebuilt)
+    """History after the events in ``changed``, which are among ``events``; see :func:`splice_history`."""
+    return splice_history(history, events, first_touched(changed, key, build["time"]), key, **build)
 
 
 def as_of(facts: DataFrame, history: DataFrame, key: str, time: str, tie: str, columns: list[str]) -> DataFrame:

@@ -38,6 +38,13 @@ USER_METRICS_SCHEMA = (
     "user_id bigint, total_requests bigint, total_numbers bigint, avg_input_value double, last_activity timestamp, "
     "generated_at timestamp, bucket int"
 )
+USER_DAY_SCHEMA = (
+    "user_id bigint, event_date date, requests bigint, numbers bigint, input_sum bigint, inputs bigint, last_activity timestamp"
+)
+USER_TOTAL_SCHEMA = (
+    "user_id bigint, requests bigint, numbers bigint, input_sum bigint, inputs bigint, last_activity timestamp, "
+    "generated_at timestamp, bucket int"
+)
 POPULAR_SCHEMA = "input_number int, output_roman string, request_count bigint, generated_at timestamp"
 
 
@@ -87,6 +94,14 @@ def user_metrics(spark: SparkSession, root: str) -> SnapshotTable:
     return _table(spark, root, "gold/user_metrics", USER_METRICS_SCHEMA, "bucket", ("user_id",), True)
 
 
+def user_days(spark: SparkSession, root: str) -> SnapshotTable:
+    return _table(spark, root, "gold/user_days", USER_DAY_SCHEMA, "event_date", ("user_id", "event_date"), True)
+
+
+def user_totals(spark: SparkSession, root: str) -> SnapshotTable:
+    return _table(spark, root, "gold/user_totals", USER_TOTAL_SCHEMA, "bucket", ("user_id",), True)
+
+
 def popular(spark: SparkSession, root: str) -> SnapshotTable:
     return _table(spark, root, "gold/popular_numbers", POPULAR_SCHEMA, None, ("input_number", "output_roman"))
 

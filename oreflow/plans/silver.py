@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from oreflow.functions.events import half_open, to_fact
 from oreflow.operators.dedup import latest_ingested
 from oreflow.operators.metrics import user_snapshot
-from oreflow.operators.scd2 import build_history
-from oreflow.operators.sizing import sized_side
+from oreflow.operators.scd2 import build_history, first_touched, splice_history
 from oreflow.plans.layers import with_bucket, with_event_date
 from oreflow.session import materialize
 from oreflow.sources.tables import SnapshotTable
@@ -39,17 +38,21 @@ def run_user_snapshot(facts: DataFrame, table: SnapshotTable, run_ts, committed_
     return table.overwrite(with_bucket(user_snapshot(facts, run_ts)), committed_at)
 
 
-def run_user_history(facts: DataFrame, table: SnapshotTable, start, end, committed_at=None) -> int:
-    """Rebuild the history of the users touched in the interval.
+def run_user_history(facts: DataFrame, table: SnapshotTable, start, end, committed_at=None, full_refresh=False) -> int:
+    """Bring the history up to the facts processed in the interval.
 
-    A late fact may split a closed version, so each touched user is rebuilt
-    from all of its facts; other users, and buckets without touched users, stay
-    as they are.
+    Each touched user's history is rebuilt from its earliest touched fact on; days before the earliest of all
+    are not read. Other users, and buckets without touched users, stay as they are. A user without a stored
+    history has no facts before its first touched one, so it is rebuilt whole. ``full_refresh`` rebuilds
+    everything, which is needed only after facts were given another time.
     """
-    touched = facts.filter(half_open("processed_at", start, end)).filter(F.col("user_id").isNotNull())
-    users = sized_side(touched.select("user_id").distinct())
-    mine = facts.join(users, "user_id", "left_semi")
-    rebuilt = with_bucket(build_history(mine, "user_id", **HISTORY))
-    buckets = [str(r[0]) for r in with_bucket(users).select("bucket").distinct().collect()]
-    kept = table.read_parts(buckets).join(users, "user_id", "left_anti")
-    return table.overwrite_partitions(kept.unionByName(rebuilt), committed_at, "merge", buckets)
+    if full_refresh:
+        return table.overwrite(with_bucket(build_history(facts, "user_id", **HISTORY)), committed_at)
+    touched = first_touched(facts.filter(half_open("processed_at", start, end)), "user_id", HISTORY["time"])
+    first = touched.agg(F.min("_since").cast("date")).first()[0]
+    if first is None:
+        return table.overwrite_partitions(table.read().limit(0), committed_at, "merge")
+    recent = facts.filter(F.col("event_date") >= F.lit(first))
+    buckets = [str(r[0]) for r in with_bucket(touched).select("bucket").distinct().collect()]
+    spliced = splice_history(table.read_parts(buckets).drop("bucket"), recent, touched, "user_id", **HISTORY)
+    return table.overwrite_partitions(with_bucket(spliced), committed_at, "merge", buckets)

@@ -179,9 +179,9 @@ class SnapshotTable:
     def append(self, df: DataFrame, committed_at: datetime | None = None, operation: str = "append") -> int:
         return self._commit(operation, committed_at, self._write(df))
 
-    def overwrite(self, df: DataFrame, committed_at: datetime | None = None) -> int:
+    def overwrite(self, df: DataFrame, committed_at: datetime | None = None, operation: str = "overwrite") -> int:
         """Replace all rows in one publish: readers never see an empty table."""
-        return self._commit("overwrite", committed_at, self._write(df), reset=True)
+        return self._commit(operation, committed_at, self._write(df), reset=True)
 
     def overwrite_partitions(
         self, df: DataFrame, committed_at: datetime | None = None, operation: str = "overwrite", touched=()
@@ -285,9 +285,21 @@ class SnapshotTable:
             snapshot_id = self.snapshot_at(as_of)
         return self._scan(self._live(snapshot_id)).drop("part_key")
 
-    def read_parts(self, values: list[str]) -> DataFrame:
-        """Rows of some partitions only."""
-        live = self._live()
+    def operations(self) -> list[str]:
+        """What the publishes were called, each name once."""
+        return [row[0] for row in self.manifest().select("operation").distinct().collect()]
+
+    def parts_changed(self, since: int) -> list[str]:
+        """Partitions that publishes after a snapshot have touched; all of both if one replaced everything."""
+        later = self.manifest().filter(F.col("snapshot_id") > since).select("action", "part_key").distinct().collect()
+        touched = {row["part_key"] for row in later if row["part_key"] is not None}
+        if any(row["action"] == "reset" for row in later):
+            touched |= set(self._live(since))
+        return sorted(touched)
+
+    def read_parts(self, values: list[str], snapshot_id: int | None = None) -> DataFrame:
+        """Rows of some partitions only, now or as of a snapshot."""
+        live = self._live(snapshot_id)
         return self._scan({v: live[v] for v in values if v in live}).drop("part_key")
 
     def read_holding(self, source: DataFrame) -> DataFrame:

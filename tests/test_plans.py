@@ -1,12 +1,13 @@
 """Layer jobs: repeated and split runs give the same tables."""
 
-from datetime import date
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from oreflow.catalog import inputs
-from oreflow.operators import keysets
+from oreflow.operators import keysets, metrics, scd2
 from oreflow.operators.quality import ValidationFailed
 from oreflow.plans import bronze, gold, layers, reports, silver, suites
 from oreflow.schemas import FACT_COLUMNS
@@ -146,3 +147,58 @@ def test_bitmaps_miss_no_key(spark):
         met = keysets.groups_met(keysets.key_bitmaps(rows, ["k", "w"], ["part"], bits), keysets.key_bitmaps(rows.filter("k IN (8, 4996)"), ["k", "w"], [], bits), ["part"])
         found = {r[0] for r in met.collect()}
         assert {8 % 7, 4996 % 7} <= found and (bits < 100 or len(found) == 2)
+
+
+def test_totals_stand_on_sums_of_days(spark, root):
+    """Facts change, move to another day and vanish; a run that died after its first publish is made good."""
+    layout = "user_id long, event_date date, event_time timestamp, conversion_count long, input_number int, processed_at timestamp"
+
+    def facts(rows):
+        return spark.createDataFrame([(u, date(2024, 1, d), datetime(2024, 1, d, h), 1, n, datetime(2024, 2, p)) for u, d, h, n, p in rows], layout)
+
+    def check(rows):
+        want = metrics.user_metrics(rows, RUN_TS)
+        assert rows_of(metrics.metrics_of_sums(totals.read()), want.columns) == rows_of(want, want.columns)
+
+    days, totals = layers.user_days(spark, root), layers.user_totals(spark, root)
+    rows = [(1, 1, 5, 10, 1), (1, 2, 6, None, 1), (2, 1, 7, 30, 1), (3, 3, 8, 5, 1), (None, 1, 1, 1, 1)]
+    gold.run_user_totals(facts(rows), days, totals, None, None, RUN_TS)
+    check(facts(rows))
+    rows += [(1, 1, 9, 20, 2), (4, 4, 1, 7, 2)]
+    gold.run_user_totals(facts(rows), days, totals, "2024-02-02", "2024-02-03", RUN_TS)
+    check(facts(rows))
+    # user 3's only fact is gone, user 1's last one too; another fact of their days was processed
+    rows = [r for r in rows if r[:3] not in ((3, 3, 8), (1, 2, 6))] + [(2, 3, 1, 1, 3), (2, 2, 1, 1, 3)]
+    gold.run_user_totals(facts(rows), days, totals, "2024-02-03", "2024-02-04", RUN_TS)
+    check(facts(rows))
+    # a run dies after the sums are published
+    rows += [(5, 2, 2, 2, 4)]
+    days.overwrite_partitions(metrics.user_day_sums(facts(rows).filter("event_date = DATE'2024-01-02'")))
+    rows += [(6, 6, 2, 2, 5)]
+    gold.run_user_totals(facts(rows), days, totals, "2024-02-05", "2024-02-06", RUN_TS)
+    check(facts(rows))
+    gold.run_user_totals(facts(rows), days, totals, "2024-02-05", "2024-02-06", RUN_TS)
+    check(facts(rows))
+
+
+def test_history_is_spliced(spark, root):
+    """Late facts inside old versions, at their borders and before the first one; days before are not read."""
+    draw = random.Random(4)
+    layout = "user_id long, client_ip string, event_time timestamp, event_id string, event_date date, processed_at timestamp"
+    rows = []
+    for i in range(400):
+        moment = datetime(2024, 1, 1) + timedelta(hours=draw.randrange(600))
+        rows.append((draw.randrange(12) or None, f"ip{draw.randrange(3)}", moment, f"e{i:03}", moment.date(), datetime(2024, 3, 1 + draw.randrange(4))))
+    facts = spark.createDataFrame(rows, layout)
+    table = layers.user_history(spark, root)
+    for run in range(4):
+        seen = facts.filter(F.col("processed_at") < F.lit(datetime(2024, 3, 2 + run)))
+        silver.run_user_history(seen, table, f"2024-03-0{1 + run}", f"2024-03-0{2 + run}")
+        want = scd2.build_history(seen, "user_id", **silver.HISTORY)
+        assert rows_of(table.read(), want.columns) == rows_of(want, want.columns)
+    version = table.manifest().agg(F.max("snapshot_id")).first()[0]
+    silver.run_user_history(facts, table, "2025-01-01", None)
+    assert table.manifest().agg(F.max("snapshot_id")).first()[0] == version + 1
+    assert rows_of(table.read(), want.columns) == rows_of(want, want.columns)
+    silver.run_user_history(facts, table, None, None, full_refresh=True)
+    assert rows_of(table.read(), want.columns) == rows_of(want, want.columns)
