@@ -8,8 +8,9 @@ from oreflow.catalog import inputs
 from oreflow.catalog.base_sql import COUNT, FACT_COLUMNS, with_events, with_facts
 from oreflow.catalog.inputs import RUN_TS, bronze, facts, parsed, silver, silver_run
 from oreflow.catalog.registry import query
-from oreflow.operators import metrics, scd2
+from oreflow.operators import dedup, metrics, scd2
 from oreflow.operators.merge import upsert
+from oreflow.operators.quality import ValidationFailed
 from oreflow.plans import layers
 from oreflow.plans import silver as plan
 from oreflow.schemas import FACT_COLUMNS as COLUMNS
@@ -66,6 +67,40 @@ def silver_runs(spark, folder):
     return table.read().select(*COLUMNS)
 
 
+STRICT = [{"rule": "unique", "column": "event_id"}, {"rule": "between", "column": "conversion_count", "max": 30}]
+
+
+@query(
+    "silver_gated_runs",
+    with_facts(
+        """
+SELECT event_id, 'PUBLISHED' AS state FROM fact WHERE ingested_at < TIMESTAMP '2024-01-12'
+UNION ALL SELECT event_id, 'QUARANTINED' FROM fact WHERE ingested_at >= TIMESTAMP '2024-01-22' AND conversion_count > 30"""
+    ),
+)
+def silver_gated_runs(spark, folder):
+    """A run that passes its rules, and one that a rule refuses: its bad rows are kept, none is published."""
+    rows, root = parsed(spark, folder), work_path(spark, "silver")
+    table, bad = layers.fact(spark, root), layers.quarantined(spark, root)
+    latest = dedup.latest_ingested(rows.filter("status = 'SUCCESS'"))
+    plan.run_facts(latest, table, None, "2024-01-12", silver_run(), rules=STRICT[:1], bad_rows=bad)
+    try:
+        plan.run_facts(latest, table, "2024-01-22", None, silver_run(), rules=STRICT, bad_rows=bad)
+    except ValidationFailed:
+        pass
+    kept = table.read().select("event_id", F.lit("PUBLISHED").alias("state"))
+    return kept.unionByName(bad.read().select(F.get_json_object("row", "$.event_id").alias("event_id"), F.lit("QUARANTINED").alias("state")))
+
+
+@query("silver_full_refresh", with_facts(f"SELECT {FACT_COLUMNS} FROM fact"))
+def silver_full_refresh(spark, folder):
+    """A table that held half of the facts, replaced by all of them in one publish."""
+    rows, table = parsed(spark, folder), layers.fact(spark, work_path(spark, "silver"))
+    plan.run_facts(rows, table, None, "2024-01-12", silver_run())
+    plan.run_facts(rows, table, None, None, silver_run(), full_refresh=True)
+    return table.read().select(*COLUMNS)
+
+
 @query(
     "dim_users_snapshot",
     with_facts(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +32,28 @@ def record_run(table: SnapshotTable, job: str, run_id: str, inputs: list[str], o
     return table.append(run_event(table.spark, job, run_id, inputs, outputs, state, at))
 
 
+def datasets_of(df: DataFrame) -> list[str]:
+    """Where a frame's rows are read from: roots of snapshot tables and folders of other files."""
+    roots = {f.split("/data/part_key=")[0] if "/data/part_key=" in f else f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    return sorted({"/" + r[5:].lstrip("/") if r.startswith("file:") else r for r in roots})
+
+
+@contextmanager
+def recorded(log: SnapshotTable, job: str, inputs: list[DataFrame], outputs: list[SnapshotTable], clock=None) -> Iterator[str]:
+    """Record a run of a job: START before, then COMPLETE, or FAIL if it raises. Inputs are what the frames read."""
+    now = clock or (lambda: datetime.now(timezone.utc))
+    run_id = uuid.uuid4().hex
+    read = sorted({name for df in inputs for name in datasets_of(df)})
+    written = [table.path for table in outputs]
+    record_run(log, job, run_id, read, written, "START", now())
+    try:
+        yield run_id
+    except BaseException:
+        record_run(log, job, run_id, read, written, "FAIL", now())
+        raise
+    record_run(log, job, run_id, read, written, "COMPLETE", now())
+
+
 def edges(runs: DataFrame) -> DataFrame:
     """Edges dataset -> job and job -> dataset of completed runs.
 

@@ -7,10 +7,16 @@ one pre-aggregated group-by. Results have one row per rule.
 from __future__ import annotations
 
 from functools import reduce
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from oreflow.session import materialize
+
+if TYPE_CHECKING:
+    from oreflow.sources.tables import SnapshotTable
+
 SCHEMA_RULES = ("columns_in_set", "column_exists", "of_type")
 UNIQUE_RULES = ("unique", "compound_unique")
 
@@ -129,6 +135,40 @@ def quarantine(df: DataFrame, rules: list[dict]) -> DataFrame:
     return marked.filter(F.size("reasons") > 0)
 
 
+def checked_step(df: DataFrame, suite: str, rules: list[dict], bad_rows: SnapshotTable | None = None, found_at=None) -> DataFrame:
+    """The rows as a step in the shared folder, after its rules were found to hold; else ``ValidationFailed``.
+
+    Row rules are counted by the job that writes the step, so nothing is read for them; uniqueness is counted on the
+    step's own columns. When a rule fails, the rows that break one go to ``bad_rows`` first.
+    """
+    spark, seen = df.sparkSession, Observation()
+    judged = {i: row_test(rule) for i, rule in enumerate(rules) if rule["rule"] not in ("row_count", *SCHEMA_RULES, *UNIQUE_RULES)}
+    counts = [F.count(F.lit(1)).alias("rows")]
+    for i, (asked, passes) in judged.items():
+        counts += [F.count_if(asked).alias(f"j{i}"), F.count_if(asked & ~passes).alias(f"b{i}")]
+    step = materialize(spark, df.observe(seen, *counts))
+    found, failed = seen.get, []
+    for i, rule in enumerate(rules):
+        if rule["rule"] == "row_count":
+            ok = (rule.get("min") or 0) <= found["rows"] <= (rule.get("max") or found["rows"])
+        elif rule["rule"] in SCHEMA_RULES:
+            ok = _schema_ok(df, rule)
+        elif rule["rule"] in UNIQUE_RULES:
+            ok = _unique_result(step, rule).first()["_r"]["success"]
+        else:
+            asked, bad = found[f"j{i}"], found[f"b{i}"]
+            ok = asked - bad >= float(rule.get("mostly", 1.0)) * asked
+        if not ok:
+            failed.append(f"{suite}.{rule['rule']}.{_rule_column(rule) or rule.get('a', '')}")
+    if failed:
+        if bad_rows is not None:
+            rows = quarantine(step, rules)
+            at = F.current_timestamp() if found_at is None else F.lit(found_at).cast("timestamp")
+            bad_rows.append(rows.select(F.lit(suite).alias("suite"), F.to_json(F.struct(*step.columns)).alias("row"), "reasons", at.alias("found_at")))
+        raise ValidationFailed(", ".join(failed))
+    return step
+
+
 def gate(results: DataFrame, report_only: bool = False) -> bool:
     """True when every rule holds; otherwise raise, or report False."""
     failed = [f"{r['suite']}.{r['rule']}.{r['column_name']}" for r in results.filter(~F.col("success")).collect()]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from oreflow.functions.events import half_open, instant
 from oreflow.operators import metrics
+from oreflow.operators.quality import checked_step
 from oreflow.operators.sizing import sized_side
 from oreflow.plans.layers import with_bucket
 from oreflow.session import materialize
@@ -16,12 +17,15 @@ from oreflow.sources.tables import SnapshotTable
 STANDS_ON = "days-"
 
 
-def run_daily(facts: DataFrame, table: SnapshotTable, start, end, generated_at, committed_at=None) -> int:
-    """Recompute the touched days from all facts and merge them."""
-    if start is None or end is None:
-        return table.overwrite(metrics.daily_summary(facts, generated_at), committed_at)
-    days = metrics.daily_summary_of_interval(facts, start, end, generated_at)
-    return table.merge(materialize(facts.sparkSession, days), committed_at, check=False)
+def run_daily(
+    facts: DataFrame, table: SnapshotTable, start, end, generated_at, committed_at=None, rules=None,
+    bad_rows: SnapshotTable | None = None,
+) -> int:
+    """Recompute the touched days from all facts and merge them, if they pass the ``rules``."""
+    whole = start is None or end is None
+    days = metrics.daily_summary(facts, generated_at) if whole else metrics.daily_summary_of_interval(facts, start, end, generated_at)
+    days = checked_step(days, "daily", rules, bad_rows, committed_at) if rules else materialize(facts.sparkSession, days)
+    return table.overwrite(days, committed_at) if whole else table.merge(days, committed_at, check=False)
 
 
 def run_user_metrics(facts: DataFrame, table: SnapshotTable, start, end, generated_at, committed_at=None) -> int:

@@ -106,5 +106,10 @@ def popular(spark: SparkSession, root: str) -> SnapshotTable:
     return _table(spark, root, "gold/popular_numbers", POPULAR_SCHEMA, None, ("input_number", "output_roman"))
 
 
+def quarantined(spark: SparkSession, root: str) -> SnapshotTable:
+    """Rows, as JSON, that kept a run from being published."""
+    return SnapshotTable(spark, f"{root}/quality/quarantined", "suite string, row string, reasons array<string>, found_at timestamp")
+
+
 def lineage(spark: SparkSession, root: str) -> SnapshotTable:
     return SnapshotTable(spark, f"{root}/lineage/runs", LINEAGE_RUN)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from oreflow.functions.events import half_open, to_fact
 from oreflow.operators.dedup import latest_ingested
 from oreflow.operators.metrics import user_snapshot
+from oreflow.operators.quality import checked_step
 from oreflow.operators.scd2 import build_history, first_touched, splice_history
 from oreflow.plans.layers import with_bucket, with_event_date
 from oreflow.session import materialize
@@ -26,8 +27,14 @@ def interval_facts(bronze: DataFrame, start, end, processed_at) -> DataFrame:
     return with_event_date(to_fact(latest_ingested(taken), processed_at))
 
 
-def run_facts(bronze: DataFrame, table: SnapshotTable, start, end, processed_at, full_refresh=False, committed_at=None) -> int:
-    facts = materialize(bronze.sparkSession, interval_facts(bronze, start, end, processed_at))
+def run_facts(
+    bronze: DataFrame, table: SnapshotTable, start, end, processed_at, full_refresh=False, committed_at=None, rules=None,
+    bad_rows: SnapshotTable | None = None,
+) -> int:
+    """Merge the facts of the interval. With ``rules`` they are checked while they are computed: where one fails
+    nothing is published, and the rows that break it go to ``bad_rows``."""
+    facts = interval_facts(bronze, start, end, processed_at)
+    facts = checked_step(facts, "fact", rules, bad_rows, committed_at) if rules else materialize(bronze.sparkSession, facts)
     if full_refresh:
         return table.overwrite(facts, committed_at)
     # One row per event id is left by the dedup, so keys need no second check.

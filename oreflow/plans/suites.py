@@ -62,3 +62,11 @@ DIM_USERS = [
     {"rule": "pair_greater", "a": "valid_to", "b": "valid_from", "or_equal": True},
     {"rule": "compound_unique", "columns": ["user_id", "version"]},
 ]
+
+DAILY = [
+    {"rule": "row_count", "min": 1},
+    {"rule": "not_null", "column": "event_date"},
+    {"rule": "unique", "column": "event_date"},
+    {"rule": "between", "column": "total_conversions", "min": 1},
+    {"rule": "pair_greater", "a": "max_number_converted", "b": "min_number_converted", "or_equal": True},
+]

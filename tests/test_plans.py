@@ -7,14 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from oreflow.catalog import inputs
-from oreflow.operators import keysets, metrics, scd2
+from oreflow.operators import keysets, lineage, metrics, scd2
 from oreflow.operators.quality import ValidationFailed
-from oreflow.plans import bronze, gold, layers, reports, silver, suites
+from oreflow.plans import bronze, gold, jobs, layers, reports, silver, suites
 from oreflow.schemas import FACT_COLUMNS
 from oreflow.session import work_path
 from oreflow.sources.files import list_catalog_tables, read_log_lines
 from oreflow.sources.tables import SnapshotTable
-from oreflow.sources.topic import after_global_mark, after_marks, starting_offsets
+from oreflow.sources.topic import after_global_mark, after_marks, append_log, starting_offsets
 
 RUN_TS = "2024-03-01"
 
@@ -202,3 +202,31 @@ def test_history_is_spliced(spark, root):
     assert rows_of(table.read(), want.columns) == rows_of(want, want.columns)
     silver.run_user_history(facts, table, None, None, full_refresh=True)
     assert rows_of(table.read(), want.columns) == rows_of(want, want.columns)
+
+
+def test_jobs_are_recorded_and_gated(spark, folder, root, capsys):
+    """Bronze, silver and gold as programs; a run that the rules refuse leaves a FAIL record and its rows."""
+    path = work_path(spark, "topic")
+    append_log(inputs.topic(spark, folder), path)
+    common = ["--root", root, "--run-ts", RUN_TS]
+    assert jobs.main(["bronze", "--topic", path, *common], spark) == jobs.DONE
+    assert jobs.main(["gold", *common], spark) == jobs.REFUSED  # no facts, so no day
+    assert jobs.main(["silver", *common], spark) == jobs.DONE
+    assert jobs.main(["gold", *common], spark) == jobs.DONE
+    facts = layers.fact(spark, root)
+    before = facts.read().count()
+    with pytest.raises(ValidationFailed):
+        jobs.run_silver(spark, root, None, None, RUN_TS, rules=[{"rule": "between", "column": "conversion_count", "max": 1}])
+    assert before > 0 and facts.read().count() == before
+    bad = layers.quarantined(spark, root).read().filter("suite = 'fact'")
+    assert bad.count() == facts.read().filter("conversion_count > 1").count() > 0
+    assert {tuple(r["reasons"]) for r in bad.collect()} == {("between:conversion_count",)}
+    runs = layers.lineage(spark, root).read().collect()
+    states = sorted((r["job_name"], r["event_type"]) for r in runs)
+    assert states.count(("silver.facts", "FAIL")) == 1 and states.count(("gold.daily", "FAIL")) == 1
+    assert all(states.count((job, "COMPLETE")) == 1 for job in ("bronze.ingest", "silver.facts", "silver.users", "gold.daily", "gold.users", "gold.popular"))
+    reached = {r["node"] for r in lineage.impact(lineage.edges(layers.lineage(spark, root).read()), spark.createDataFrame([(path,)], "node string")).collect()}
+    assert {facts.path, layers.user_history(spark, root).path, layers.user_totals(spark, root).path} <= reached
+    with pytest.raises(SystemExit):
+        jobs.main(["bronze", "--root", root], spark)
+    assert jobs.main(["bronze", "--root", root, "--topic", path + "/none"], spark) == jobs.FAILED
