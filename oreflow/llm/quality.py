@@ -1,182 +1,222 @@
-"""Document quality by an interpolated modified Kneser-Ney trigram model of trusted text."""
+"""Document quality by an interpolated modified Kneser-Ney model of the word pairs of trusted text.
+
+Words and pairs are 64-bit keys in tables that grow with the trusted text. The surprisal of a text is a sum over
+its keys: a pair that no trusted text has costs what its context leaves to the lower order plus what its second
+word costs there, which are figures of single words, and a pair that has been seen costs less by a difference. So
+one table (key, cost) holds the model, and texts are scored by one join of their counted keys with it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oreflow.llm.common import map_texts
 from oreflow.operators.sizing import sized_side
 from oreflow.session import materialize
 
-SIZE = 128
-"""Token classes; the model has SIZE**3 probabilities at most, whatever the corpus."""
-
 FOLDS = 4
 """Parts of the trusted text; a text is scored by a model of the other parts."""
 
-(BEGIN, LOWER, TITLE, UPPER, MIXED, DIGITS, MARKS, NOISY, AGAIN, LONG, OTHER) = range(11)
-SHAPES = 11
+HEAVY = 16384
+"""A key that makes up this share of all trusted words, or more, is scored before the shuffle: at most HEAVY words
+and HEAVY pairs can be so frequent, whatever the corpus."""
+
+UNIT = 1 << 20
+"""Costs are whole numbers of 1/UNIT nats, so sums do not depend on their order."""
+
+(EDGE, LOWER, TITLE, UPPER, MIXED, DIGITS, MARKS, NOISY, LONG, OTHER) = range(10)
+SHAPES = 10
+SHAPE_BITS = 15
+BEGIN, END = 1 << 40, 1 << 41
+"""Keys of the borders of a text, of shape EDGE."""
+
+TURN = 23
+MOST_CACHED = 400_000
+
+
+def shape(word: str) -> int:
+    """What an unknown word looks like: unknown words of one shape are one word to the model."""
+    core = word.strip(".,;:?'\"()-«»“”")
+    if not core:
+        return MARKS
+    if not core.isalpha():
+        if core.isdigit():
+            return DIGITS
+        return NOISY if any(c.isalnum() for c in core) else MARKS
+    if len(core) > 40:
+        return LONG
+    if core.islower():
+        return LOWER
+    if core.isupper():
+        return UPPER if len(core) > 1 else TITLE
+    return TITLE if core[1:].islower() else MIXED if core[0].isalpha() else OTHER
+
+
+class Keys(dict):
+    """The key of a word: a hash whose low bits are its shape. A full cache stays as it is."""
+
+    def __missing__(self, word: str) -> int:
+        code = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        found = code - (code & SHAPE_BITS) + shape(word)
+        if len(self) < MOST_CACHED and len(word) < 64:
+            self[word] = found
+        return found
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = (text or "").split()
+        found = np.empty(len(words) + 2, dtype=np.uint64)
+        found[0], found[-1] = BEGIN, END
+        found[1:-1] = np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        return found
 
 
-@dataclass(frozen=True)
-class Model:
-    """Token classes of frequent words, and log probabilities of each third token after two."""
-
-    vocabulary: dict
-    table: np.ndarray
-
-
-class Tokens:
-    """Classes of the words of a text: a frequent word has its own class, another one the class of
-    its shape, and a word equal to the one before it the class AGAIN."""
-
-    def __init__(self, vocabulary: dict):
-        self.vocabulary = vocabulary
-        self.seen: dict[str, int] = {}
-
-    def _shape(self, word: str) -> int:
-        core = word.strip(".,;:?'\"()-«»“”")
-        found = self.vocabulary.get(core)
-        if found is not None and len(core) + 1 >= len(word):
-            return found
-        if not core:
-            return MARKS
-        if not core.isalpha():
-            if core.isdigit():
-                return DIGITS
-            return NOISY if any(c.isalnum() for c in core) else MARKS
-        if len(core) > 40:
-            return LONG
-        if core.islower():
-            return LOWER
-        if core.isupper():
-            return UPPER if len(core) > 1 else TITLE
-        return TITLE if core[1:].islower() else MIXED if core[0].isalpha() else OTHER
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        if len(self.seen) > 300_000:
-            self.seen.clear()
-        seen, out, last = self.seen, [BEGIN, BEGIN], None
-        for word in words:
-            if word == last:
-                out.append(AGAIN)
-                continue
-            last = word
-            found = seen.get(word)
-            if found is None:
-                found = seen[word] = self._shape(word)
-            out.append(found)
-        return np.array(out, dtype=np.int64)
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts, summed within slices before the shuffle."""
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return first ^ (second << np.uint64(TURN) | second >> np.uint64(64 - TURN))
 
-    def make():
-        def work(part: pa.RecordBatch) -> dict:
-            counts: dict[str, int] = {}
-            for text in part.column("text").to_pylist():
-                for word in (text or "").split():
-                    counts[word] = counts.get(word, 0) + 1
-            return {"word": list(counts), "n": list(counts.values())}
 
-        return work
+def pair_key() -> Column:
+    """``pair_keys`` of the columns w1 and w2."""
+    turned = F.shiftleft("w2", TURN).bitwiseOR(F.shiftrightunsigned("w2", 64 - TURN))
+    return F.col("w1").bitwiseXOR(turned)
+
 
-    found = map_texts(docs.select("text"), "word string, n long", make)
-    core = F.regexp_replace("word", r"^[.,;:?'\"()-]+|[.,;:?'\"()-]+$", "")
-    return found.groupBy(core.alias("word")).agg(F.sum("n").alias("n")).filter("word RLIKE '^\\\\p{L}+$'")
+def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different rows of some columns, and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])
+    starts = np.flatnonzero(new)
+    return [c[starts] for c in columns], np.diff(np.append(starts, len(order)))
 
 
-def trigram_counts(docs: DataFrame, vocabulary: dict) -> DataFrame:
-    """(w1, w2, w3, n) over all texts, summed within slices before the shuffle."""
+def pair_counts(trusted: DataFrame) -> DataFrame:
+    """(w1, w2, n, t0, t1, ...) over all of ``trusted`` (text, fold): the count of each pair, and the count
+    outside each fold. Slices are counted before the shuffle."""
 
     def make():
-        tokens = Tokens(vocabulary)
+        keys = Keys()
 
         def work(part: pa.RecordBatch) -> dict:
-            keys = [np.empty(0, dtype=np.int64)]
-            for text in part.column("text").to_pylist():
-                t = tokens(text)
-                keys.append((t[:-2] * SIZE + t[1:-1]) * SIZE + t[2:])
-            found, n = np.unique(np.concatenate(keys), return_counts=True)
-            return {"w1": found // SIZE**2, "w2": found // SIZE % SIZE, "w3": found % SIZE, "n": n}
+            texts = [keys.of(t) for t in part.column("text").to_pylist()]
+            folds = np.repeat(part.column("fold").to_numpy(), [len(t) - 1 for t in texts])
+            first, second = (np.concatenate([t[cut] for t in texts]) for cut in (slice(0, -1), slice(1, None)))
+            (first, second, folds), n = distinct([first, second, folds])
+            return {"w1": first.view(np.int64), "w2": second.view(np.int64), "fold": folds, "n": n}
 
         return work
 
-    found = map_texts(docs.select("text"), "w1 long, w2 long, w3 long, n long", make)
-    return found.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n"))
+    found = map_texts(trusted.select("text", "fold"), "w1 long, w2 long, fold int, n long", make)
+    outside = [F.sum(F.when(F.col("fold") != k, F.col("n")).otherwise(0)).alias(f"t{k}") for k in range(FOLDS)]
+    return found.groupBy("w1", "w2").agg(F.sum("n").alias("n"), *outside)
 
 
-def _discount(counts: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and more, from the counts of counts."""
-    few = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"c{k}") for k in (1, 2, 3, 4)]
-    one, two, three, four = (float(v or 0) for v in counts.agg(*few).first())
+def discounts(few: list[int]) -> list[float]:
+    """Modified Kneser-Ney discounts for counts of 1, 2 and more, from how many counts are 1, 2, 3 and 4."""
+    one, two, three, four = (float(v or 0) for v in few)
     if not (one and two and three):
         return [0.5, 0.5, 0.5]
     y = one / (one + 2 * two)
-    return [min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * two / one), (2, 2 - 3 * y * three / two), (3, 3 - 4 * y * four / three))]
+    raw = (1 - 2 * y * two / one, 2 - 3 * y * three / two, 3 - 4 * y * four / three)
+    return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]
+
+
+def taken(count: Column, by: list[float]) -> Column:
+    """The discount of a count; none of 0."""
+    return F.when(count == 0, 0.0).when(count == 1, by[0]).when(count == 2, by[1]).otherwise(by[2])
+
 
+def _tally(prefix: str) -> list[Column]:
+    """How many counts are 1, 2, 3 and 4 and how many are more than 2, for each fold."""
+    tests = {**{str(j): lambda c, j=j: c == j for j in (1, 2, 3, 4)}, "more": lambda c: c > 2}
+    return [F.count_if(test(F.col(f"{prefix}{k}"))).alias(f"{k}_{name}") for k in range(FOLDS) for name, test in tests.items()]
 
-def _taken(discounts: list[float]) -> Column:
-    """The discount of a count column ``n``."""
-    one, two, more = discounts
-    return F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)
 
+def _discounts(row) -> list[list[float]]:
+    return [discounts([row[f"{k}_{j}"] for j in (1, 2, 3, 4)]) for k in range(FOLDS)]
 
-def _level(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Discounted relative counts, and the weight each context leaves to the lower order."""
-    taken = _taken(_discount(counts))
-    totals = counts.groupBy(*context).agg(F.sum("n").alias("total"), F.sum(taken).alias("left"))
-    weights = totals.select(*context, (F.col("left") / F.col("total")).alias("weight"), "total")
-    shares = counts.join(weights, context) if context else counts.crossJoin(F.broadcast(weights))
-    own = F.greatest(F.col("n") - taken, F.lit(0.0)) / F.col("total")
-    return shares.withColumn("p", own).drop("n", "weight", "total"), weights.drop("total")
+
+@dataclass(frozen=True)
+class Model:
+    """``costs`` (key, v0, v1, ...) in 1/UNIT nats for each fold's texts, without the frequent keys; those,
+    and what unknown words of each shape cost each fold."""
+
+    costs: DataFrame
+    heavy: np.ndarray
+    heavy_costs: np.ndarray
+    unknown: np.ndarray
+
+
+def _units(nats: Column) -> Column:
+    return F.round(nats * UNIT).cast("long")
 
 
 def fit(trusted: DataFrame) -> Model:
-    """Count all of ``trusted`` (text) and estimate the model with joins of count tables on their contexts.
+    """The model of ``trusted`` (text, fold), for each fold that of the texts outside it.
 
-    The vocabulary is the most frequent words, the lower orders count the different tokens seen before
-    (continuation counts). What reaches the driver has at most SIZE**3 rows of four numbers.
+    Lower orders count the different words seen before (continuation counts); a word without any is unknown, and
+    the mass left to unknown words goes to shapes as the words with a single count have them. The driver gets
+    a row of sums and at most 2 * HEAVY frequent keys.
     """
     spark = trusted.sparkSession
-    top = word_counts(trusted).orderBy(F.desc("n"), "word").limit(SIZE - SHAPES).collect()
-    vocabulary = {row.word: SHAPES + i for i, row in enumerate(top)}
-    three = materialize(spark, trigram_counts(trusted, vocabulary))
-    two = three.groupBy("w2", "w3").agg(F.count(F.lit(1)).alias("n"))
-    one = two.groupBy("w3").agg(F.count(F.lit(1)).alias("n"))
-    high, high_left = _level(three, ["w1", "w2"])
-    mid, mid_left = _level(two, ["w2"])
-    total = float(one.agg(F.sum("n")).first()[0] or 0)
-    uniform = np.full(SIZE, 1.0 / SIZE)
-    low = uniform
-    if total:
-        rows = {r.w3: r.n for r in one.collect()}
-        taken = _discount(one)
-        low = np.zeros(SIZE)
-        left = 0.0
-        for token, n in rows.items():
-            cut = taken[min(n, 3) - 1]
-            low[token] = max(n - cut, 0.0) / total
-            left += cut
-        low = low + left / total * uniform
-    second = np.tile(low, (SIZE, 1))
-    for r in mid_left.collect():
-        second[r.w2] = r.weight * low
-    found = mid.select("w2", "w3", "p").toArrow()
-    second[found["w2"].to_numpy(), found["w3"].to_numpy()] += found["p"].to_numpy()
-    third = np.tile(second[None], (SIZE, 1, 1)).astype(np.float32)
-    for r in high_left.collect():
-        third[r.w1, r.w2] = r.weight * second[r.w2]
-    found = high.select("w1", "w2", "w3", "p").toArrow()  # columns, not a Python object a row
-    third[found["w1"].to_numpy(), found["w2"].to_numpy(), found["w3"].to_numpy()] += found["p"].to_numpy()
-    return Model(vocabulary, np.log(third).astype(np.float32))
+    pairs = materialize(spark, pair_counts(trusted))
+    row = pairs.agg(F.sum("n").alias("n"), *_tally("t")).first()
+    cuts, all_words = _discounts(row), row["n"] or 0
+    sums = [F.sum(f"t{k}").alias(f"total{k}") for k in range(FOLDS)]
+    left = [F.sum(taken(F.col(f"t{k}"), cuts[k])).alias(f"left{k}") for k in range(FOLDS)]
+    before = pairs.groupBy(F.col("w1").alias("word")).agg(F.sum("n").alias("n"), *sums, *left)
+    after = pairs.groupBy(F.col("w2").alias("word")).agg(*[F.count_if(F.col(f"t{k}") > 0).alias(f"c{k}") for k in range(FOLDS)])
+    words = materialize(spark, before.join(after, "word", "full").na.fill(0))
+
+    look = F.col("word").bitwiseAND(F.lit(SHAPE_BITS))
+    shapes = [F.count_if((F.col(f"c{k}") == 1) & (look == s)).alias(f"{k}_shape{s}") for k in range(FOLDS) for s in range(SHAPES)]
+    row = words.agg(*_tally("c"), *[F.sum(f"c{k}").alias(f"{k}_all") for k in range(FOLDS)], *shapes).first()
+    low_cuts = _discounts(row)
+    unknown = np.empty((FOLDS, SHAPES))
+    for k in range(FOLDS):
+        cut = sum(d * (row[f"{k}_{j}"] or 0) for d, j in zip(low_cuts[k], ("1", "2", "more")))
+        rest = cut / row[f"{k}_all"] if row[f"{k}_all"] else 1.0
+        seen = np.array([row[f"{k}_shape{s}"] or 0 for s in range(SHAPES)], dtype=float) + 1
+        unknown[k] = rest * seen / seen.sum()
+    guess = np.round(-np.log(unknown) * UNIT).astype(np.int64)
+
+    def low(k: int) -> Column:
+        count = F.col(f"c{k}")
+        by_shape = F.element_at(F.array(*map(F.lit, unknown[k].tolist())), (look + 1).cast("int"))
+        return F.when(count > 0, (count - taken(count, low_cuts[k])) / F.lit(float(row[f"{k}_all"] or 1))).otherwise(by_shape)
+
+    weights = [F.coalesce(F.try_divide(f"left{k}", f"total{k}"), F.lit(1.0)).alias(f"weight{k}") for k in range(FOLDS)]
+    words = words.select("word", "n", *[f"total{k}" for k in range(FOLDS)], *weights, *[low(k).alias(f"low{k}") for k in range(FOLDS)])
+
+    def of_word(k: int) -> Column:
+        known = F.element_at(F.array(*map(F.lit, guess[k].tolist())), (look + 1).cast("int"))
+        return _units(-F.log(f"low{k}")) - known + _units(-F.log(f"weight{k}"))
+
+    singles = words.select(F.col("word").alias("key"), "n", *[of_word(k).alias(f"v{k}") for k in range(FOLDS)])
+    context = words.select(F.col("word").alias("w1"), *[f"{c}{k}" for c in ("total", "weight") for k in range(FOLDS)])
+    second = words.select(F.col("word").alias("w2"), *[f"low{k}" for k in range(FOLDS)])
+
+    def of_pair(k: int) -> Column:
+        count, backed = F.col(f"t{k}"), F.col(f"weight{k}") * F.col(f"low{k}")
+        own = F.try_divide(count - taken(count, cuts[k]), f"total{k}")
+        return F.when(count > 0, _units(F.log(backed) - F.log(own + backed))).otherwise(0)
+
+    doubles = pairs.join(context, "w1").join(second, "w2")
+    doubles = doubles.select(pair_key().alias("key"), "n", *[of_pair(k).alias(f"v{k}") for k in range(FOLDS)])
+    costs = materialize(spark, singles.unionByName(doubles))
+    frequent = (F.col("n") * HEAVY >= all_words) & F.lit(all_words > 0)
+    heavy = costs.filter(frequent).orderBy("key").toArrow()
+    keys = heavy["key"].to_numpy().astype(np.int64)
+    values = np.array([heavy[f"v{k}"].to_numpy() for k in range(FOLDS)], dtype=np.int64).reshape(FOLDS, -1)
+    return Model(costs.filter(~frequent).drop("n"), keys, values, guess)
 
 
 def fold() -> Column:
@@ -184,29 +224,79 @@ def fold() -> Column:
     return F.pmod(F.xxhash64(F.lit("limits"), F.coalesce(F.col("text"), F.lit(""))), F.lit(FOLDS)).cast("int")
 
 
-def surprisals(docs: DataFrame, models: list[Model], carry: str | None = None) -> DataFrame:
-    """(doc_id, lang, n_words, surprisal): summed negative log probability of each whole text under the
-    model of its ``fold``, and the binary column ``carry``."""
-    carried = [carry] if carry else []
-    shared = docs.sparkSession.sparkContext.broadcast([(m.vocabulary, m.table) for m in models])
+def _counted(model: Model) -> Callable:
+    """Rows of a slice of texts: the keys of each different text with their numbers, and one row (n = 0) with its
+    words and with the costs that need no join."""
+    shared = (model.heavy, model.heavy_costs, model.unknown)
 
     def make():
-        by_fold = [(Tokens(vocabulary), table) for vocabulary, table in shared.value]
+        heavy, heavy_costs, unknown = shared
+        keys = Keys()
 
         def work(part: pa.RecordBatch) -> dict:
-            sizes, sums = [], []
-            for text, k in zip(part.column("text").to_pylist(), part.column("fold").to_pylist()):
-                tokens, table = by_fold[k]
-                t = tokens(text)
-                sizes.append(len(t) - 2)
-                sums.append(-float(table[t[:-2], t[1:-1], t[2:]].sum(dtype=np.float64)))
-            own = {c: part.column(c) for c in ("doc_id", "lang", *carried)}
-            return {**own, "n_words": sizes, "surprisal": sums}
+            own = np.array([part.column(c).to_numpy() for c in ("high", "low", "fold")], dtype=np.int64)
+            _, first = np.unique(own, axis=1, return_index=True)
+            own = own[:, first]
+            texts = [keys.of(part.column("text")[int(i)].as_py()) for i in first]
+            sizes = np.array([len(t) for t in texts])
+            doc = np.repeat(np.arange(len(texts)), sizes)
+            token = np.concatenate(texts)
+            last = np.cumsum(sizes) - 1
+            inner = np.ones(len(token), dtype=bool)
+            inner[last] = False
+            begins = np.zeros(len(token), dtype=bool)
+            begins[last - sizes + 1] = True
+            folds = own[2][doc]
+            local = np.zeros(len(texts), dtype=np.int64)
+            looks = (token & np.uint64(SHAPE_BITS)).astype(np.int64)
+            np.add.at(local, doc[~begins], unknown[folds[~begins], looks[~begins]])
+            at = np.flatnonzero(inner)
+            key = np.concatenate((token, pair_keys(token[at], token[at + 1]))).view(np.int64)
+            doc = np.concatenate((doc, doc[at]))
+            if len(heavy):
+                place = np.minimum(np.searchsorted(heavy, key), len(heavy) - 1)
+                hit = heavy[place] == key
+                np.add.at(local, doc[hit], heavy_costs[own[2][doc[hit]], place[hit]])
+                key, doc = key[~hit], doc[~hit]
+            (doc, key), n = distinct([doc, key])
+            none = np.zeros(len(key), dtype=np.int64)
+            high, low, folds = (np.concatenate((c[doc], c)) for c in own)
+            return {
+                "high": high,
+                "low": low,
+                "fold": folds,
+                "key": np.concatenate((key, own[0])),
+                "n": np.concatenate((n, np.zeros(len(texts), dtype=np.int64))),
+                "words": np.concatenate((none, sizes - 2)),
+                "local": np.concatenate((none, local)),
+            }
 
         return work
 
-    schema = ", ".join(["doc_id long, lang string, n_words long, surprisal double", *(f"{c} binary" for c in carried)])
-    return map_texts(docs.select("doc_id", "lang", "text", "fold", *carried), schema, make)
+    return make
+
+
+def surprisals(docs: DataFrame, model: Model, carry: str | None = None) -> DataFrame:
+    """(doc_id, lang, n_words, surprisal): summed negative log probability of each whole text and of its end
+    under the model for its ``fold``, and the binary column ``carry``.
+
+    A text is known by 128 bits of hash; copies within a slice are counted once, others share their mean. The
+    model's side of the join has one row per key, so adaptive execution may split a frequent key of the texts.
+    """
+    carried = [carry] if carry else []
+    name = [F.xxhash64(F.lit(part), F.coalesce(F.col("text"), F.lit(""))).alias(part) for part in ("high", "low")]
+    named = docs.select("doc_id", "lang", "text", "fold", *carried, *name)
+    schema = "high long, low long, fold int, key long, n long, words long, local long"
+    rows = map_texts(named.select("text", "fold", "high", "low"), schema, _counted(model))
+    met = rows.join(model.costs, "key", "left")
+    cost = reduce(lambda other, k: F.when(F.col("fold") == k, F.col(f"v{k}")).otherwise(other), range(FOLDS), F.lit(0))
+    sums = met.groupBy("high", "low").agg(
+        F.sum(F.col("n") * F.coalesce(cost, F.lit(0)) + F.col("local")).alias("_cost"),
+        F.count_if(F.col("n") == 0).alias("_copies"),
+        F.max("words").alias("n_words"),
+    )
+    surprisal = (F.col("_cost") / F.col("_copies") / UNIT).alias("surprisal")
+    return named.join(sized_side(sums), ["high", "low"], "left").select("doc_id", "lang", "n_words", surprisal, *carried)
 
 
 def _blended(rows: DataFrame, basis: DataFrame, marks: dict[str, Column], even: float) -> DataFrame:
@@ -260,12 +350,11 @@ def classify(
     texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"), *carried)
     texts = texts.withColumn("fold", fold())
     trusted = materialize(spark, texts.join(good, "doc_id", "left_semi").select("text", "fold"))
-    models = [fit(trusted.filter(F.col("fold") != k)) for k in range(FOLDS)]
-    scored = materialize(spark, surprisals(texts, models, carry))
-    mean = F.when(F.col("n_words") > 0, F.col("surprisal") / F.col("n_words"))
+    scored = materialize(spark, surprisals(texts, fit(trusted), carry))
+    mean = F.when(F.col("n_words") > 0, F.col("surprisal") / (F.col("n_words") + 1))
     checked = materialize(spark, scored.filter("n_words > 0").join(good, "doc_id", "left_semi"))
 
-    smooth = (F.col("surprisal") + prior * F.coalesce("middle", mean)) / (F.col("n_words") + prior)
+    smooth = (F.col("surprisal") + prior * F.coalesce("middle", mean)) / (F.col("n_words") + 1 + prior)
     middle = {"middle": F.percentile_approx(mean, 0.5, 10000)}
     centred, scored = _blended(checked, checked, middle, even), _blended(scored, checked, middle, even)
     ends = {"least": F.percentile_approx(smooth, low, 10000), "most": F.percentile_approx(smooth, high, 10000)}

@@ -1,8 +1,9 @@
 """Near-duplicates, vectors, pages, quality and the pipeline against plain versions on small fixtures."""
 
 import re
+from collections import Counter
 from dataclasses import replace
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pytest
@@ -253,12 +254,57 @@ def test_quality_separates_labelled_rows(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.2 * len(bad)
 
 
-def test_model_is_a_distribution(spark):
-    texts = [("the cat and the dog and the bird",), ("a b c the cat",), (None,), ("x " * 50,)]
-    model = quality.fit(spark.createDataFrame(texts, "text string"))
-    assert np.allclose(np.exp(model.table).sum(axis=2), 1, atol=1e-3)
-    empty = quality.fit(spark.createDataFrame([], "text string"))
-    assert np.allclose(np.exp(empty.table), 1 / quality.SIZE)
+def plain_costs(trusted, text):
+    """Interpolated modified Kneser-Ney over word pairs with borders, counted in plain dictionaries."""
+    pairs = Counter(p for t in trusted for p in pairwise(["<", *(t or "").split(), ">"]))
+    look = lambda w: quality.EDGE if w in "<>" else quality.shape(w)
+
+    def cuts(counts):
+        few = Counter(counts)
+        by = quality.discounts([few[j] for j in (1, 2, 3, 4)])
+        return lambda n: by[min(n, 3) - 1] if n else 0.0
+
+    before = Counter(b for _, b in pairs)
+    cut, low_cut = cuts(pairs.values()), cuts(before.values())
+    total = sum(before.values())
+    rest = sum(map(low_cut, before.values())) / total if total else 1.0
+    shapes = Counter(look(w) for w, n in before.items() if n == 1)
+
+    def low(word):
+        if before[word]:
+            return (before[word] - low_cut(before[word])) / total
+        return rest * (shapes[look(word)] + 1) / (sum(shapes.values()) + quality.SHAPES)
+
+    def chance(first, word):
+        after = {b: n for (a, b), n in pairs.items() if a == first}
+        if not after:
+            return low(word)
+        n = after.get(word, 0)
+        return (n - cut(n) + sum(map(cut, after.values())) * low(word)) / sum(after.values())
+
+    known = sum(map(low, before)) + rest * sum((shapes[s] + 1) / (sum(shapes.values()) + quality.SHAPES) for s in range(quality.SHAPES))
+    assert abs(known - 1) < 1e-9
+    return -sum(np.log(chance(a, b)) for a, b in pairwise(["<", *(text or "").split(), ">"]))
+
+
+@pytest.mark.parametrize("heavy", [quality.HEAVY, 40, 1])
+def test_perplexities_equal_plain_counts(spark, monkeypatch, heavy):
+    monkeypatch.setattr(quality, "HEAVY", heavy)
+    draw = np.random.default_rng(4)
+    vocabulary = "the The cat dog, 12 a9 -- of and sees".split() + [f"w{'abcdefghij'[i]}" for i in range(10)]
+    texts = [" ".join(draw.choice(vocabulary, draw.integers(1, 60), p=np.arange(20, 0, -1) / 210)) for _ in range(40)]
+    texts += [None, "", "new WORDS only 77", "the", texts[0], texts[0]]
+    rows = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    rows = rows.withColumn("fold", quality.fold())
+    for trusted in (rows.filter("doc_id < 30 OR doc_id > 43"), rows.limit(0)):
+        counted = trusted.select("doc_id", "fold").collect()
+        found = quality.surprisals(rows, quality.fit(trusted.select("text", "fold"))).collect()
+        folds = {r.doc_id: r.fold for r in rows.select("doc_id", "fold").collect()}
+        assert len(found) == len(texts)
+        for r in found:
+            others = [texts[t.doc_id] for t in counted if t.fold != folds[r.doc_id]]
+            assert r.n_words == len((texts[r.doc_id] or "").split())
+            assert abs(r.surprisal - plain_costs(others, texts[r.doc_id])) < 1e-4
 
 
 def test_quality_of_odd_rows(spark):
