@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from oreflow.functions.events import event_date, event_date_text, half_open, instant, nanos_to_millis
 from oreflow.functions.roman import roundness, size_bucket
-from oreflow.operators.quantiles import exact_percentiles
+from oreflow.operators.quantiles import cell_of, exact_percentiles
 from oreflow.operators.sizing import sized_side
+from oreflow.session import materialize
 
 POPULAR_LIMIT = 100
 
@@ -181,29 +182,37 @@ def user_snapshot(facts: DataFrame, run_ts) -> DataFrame:
 def daily_stats(events: DataFrame) -> DataFrame:
     """Daily statistics with exact latency percentiles, errors included.
 
-    Distinct users are counted over (day, user) pairs and percentiles over
-    counted latency cells, so one day with a third of the events is shared.
+    One scan counts by (day, user) and by (day, latency cell); counts, distinct users and ranks follow from those
+    rows, so one day with a third of the events is shared. Only the cells that hold a wanted rank are read again.
     """
+    nanos = F.col("response_time_nanos")
     dated = events.withColumn("date_key", event_date())
-    plain = dated.groupBy("date_key").agg(
-        F.count("*").alias("total_conversions"),
-        _count_type("SINGLE").alias("single_conversions"),
-        _count_type("RANGE").alias("range_conversions"),
-        nanos_to_millis(F.avg("response_time_nanos")).alias("avg_response_time_ms"),
-        F.count_if(F.col("status") != "SUCCESS").alias("error_count"),
+    keys = ["date_key", "user_id", "_cell"]
+    counted = dated.withColumn("_cell", cell_of(nanos)).groupingSets([keys[:2], [keys[0], keys[2]]], *keys).agg(
+        F.grouping_id().alias("_set"),
+        F.count("*").alias("_n"),
+        _count_type("SINGLE").alias("_single"),
+        _count_type("RANGE").alias("_range"),
+        F.sum(nanos).alias("_nanos"),
+        F.count(nanos).alias("_timed"),
+        F.count_if(F.col("status") != "SUCCESS").alias("_errors"),
     )
-    users = dated.groupBy("date_key", "user_id").agg(F.lit(1).alias("_one")).groupBy("date_key").agg(
-        F.count("user_id").alias("unique_users")
+    counted = materialize(events.sparkSession, counted)
+    by_user, by_cell = counted.filter("_set = 1"), counted.filter("_set = 2")
+    plain = by_user.groupBy("date_key").agg(
+        F.sum("_n").alias("total_conversions"),
+        F.sum("_single").alias("single_conversions"),
+        F.sum("_range").alias("range_conversions"),
+        F.count("user_id").alias("unique_users"),
+        nanos_to_millis(F.try_divide(F.sum("_nanos").cast("double"), F.sum("_timed"))).alias("avg_response_time_ms"),
+        F.sum("_errors").alias("error_count"),
     )
-    marks = exact_percentiles(dated, ["date_key"], F.col("response_time_nanos"), [0.5, 0.95, 0.99])
+    cells = by_cell.select("date_key", "_cell", "_n")
+    marks = exact_percentiles(dated, ["date_key"], nanos, [0.5, 0.95, 0.99], per_cell=cells)
     timed = marks.select(
         "date_key", *[nanos_to_millis(F.col(p)).alias(f"{p}_response_time_ms") for p in ("p50", "p95", "p99")]
     )
-    return (
-        plain.join(users, "date_key")
-        .join(timed, "date_key", "left")
-        .withColumn("error_rate", F.col("error_count") / F.col("total_conversions"))
-    )
+    return plain.join(timed, "date_key", "left").withColumn("error_rate", F.col("error_count") / F.col("total_conversions"))
 
 
 def number_popularity(facts: DataFrame) -> DataFrame:
@@ -340,23 +349,39 @@ def active_keys_per_user(keys: DataFrame, limit: int) -> DataFrame:
 
 def latency_report(events: DataFrame, slo_ms: list[int], p95_limit_ms: float, error_limit: float) -> DataFrame:
     """One row: latency and range-size percentiles, cumulative SLO buckets,
-    error rate and whether the thresholds hold."""
+    error rate and whether the thresholds hold.
+
+    One scan counts by latency cell and by range size; only the cells with a wanted rank are read again."""
     nanos = F.col("response_time_nanos")
     spread = F.when(F.col("range_max").isNotNull(), F.col("range_max").cast("long") - F.col("range_min") + 1)
+    counted = events.withColumns({"_cell": cell_of(nanos), "_spread": spread})
+    counted = counted.groupingSets([["_cell"], ["_spread"]], "_cell", "_spread").agg(
+        F.grouping_id().alias("_set"),
+        F.count("*").alias("_n"),
+        F.sum(nanos).alias("_nanos"),
+        F.count(nanos).alias("_timed"),
+        F.max(nanos).alias("_max"),
+        *[F.count_if(nanos <= ms * 1_000_000).alias(f"_within_{ms}") for ms in slo_ms],
+        F.count_if(F.col("status") != "SUCCESS").alias("_errors"),
+    )
+    counted = materialize(events.sparkSession, counted)
+    by_cell, by_spread = counted.filter("_set = 1"), counted.filter("_set = 2")
     one = F.lit(1).alias("_one")
-    base = events.agg(
+    requests = F.coalesce(F.sum("_n"), F.lit(0))
+    base = by_cell.agg(
         one,
-        F.count("*").alias("requests"),
-        nanos_to_millis(F.avg(nanos)).alias("avg_ms"),
-        nanos_to_millis(F.max(nanos)).alias("max_ms"),
-        *[F.count_if(nanos <= ms * 1_000_000).alias(f"within_{ms}_ms") for ms in slo_ms],
-        (F.count_if(F.col("status") != "SUCCESS") / F.count("*")).alias("error_rate"),
+        requests.alias("requests"),
+        nanos_to_millis(F.try_divide(F.sum("_nanos").cast("double"), F.sum("_timed"))).alias("avg_ms"),
+        nanos_to_millis(F.max("_max")).alias("max_ms"),
+        *[F.coalesce(F.sum(f"_within_{ms}"), F.lit(0)).alias(f"within_{ms}_ms") for ms in slo_ms],
+        F.try_divide(F.sum("_errors"), requests).alias("error_rate"),
     )
     probs = [0.5, 0.95, 0.99]
-    time = exact_percentiles(events, [], nanos, probs).select(
+    time = exact_percentiles(events, [], nanos, probs, per_cell=by_cell.select("_cell", "_n")).select(
         one, *[nanos_to_millis(F.col(p)).alias(f"{p}_ms") for p in ("p50", "p95", "p99")]
     )
-    size = exact_percentiles(events, [], spread, probs, cell_bits=0).select(
+    sizes = by_spread.select(F.col("_spread").alias("_cell"), "_n")
+    size = exact_percentiles(events, [], spread, probs, cell_bits=0, per_cell=sizes).select(
         one, *[F.col(p).alias(f"range_size_{p}") for p in ("p50", "p95", "p99")]
     )
     # Three one-row tables side by side.

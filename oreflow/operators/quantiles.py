@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from oreflow.operators.sizing import sized_side
 
 CELL_BITS = 20
+RANGE_BITS = 8
 
 
 def percentile_name(prob: float) -> str:
@@ -22,29 +23,32 @@ def percentile_name(prob: float) -> str:
 
 
 def exact_percentiles(
-    df: DataFrame, groups: list[str], value: Column, probs: list[float], cell_bits: int = CELL_BITS
+    df: DataFrame,
+    groups: list[str],
+    value: Column,
+    probs: list[float],
+    cell_bits: int = CELL_BITS,
+    per_cell: DataFrame | None = None,
 ) -> DataFrame:
     """Linear-interpolated percentiles of an integer value per group.
 
     Returns the group columns and one double column per probability
     (``p50``, ``p95``, ...). Without groups the result is one row. With
     ``cell_bits=0`` every value is its own cell and one pass is enough: for
-    values from a small domain, such as milliseconds.
+    values from a small domain, such as milliseconds. A caller that has counted
+    already, together with other measures, gives ``per_cell``: the group columns,
+    ``_cell`` (of ``cell_of``) and ``_n``, one row each.
     """
     keys = groups or ["_all"]
     data = df if groups else df.withColumn("_all", F.lit(1))
     data = data.select(*keys, value.cast("long").alias("_v")).filter(F.col("_v").isNotNull())
     data = data.withColumn("_cell", F.shiftright("_v", cell_bits))
 
-    per_cell = data.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
-    by_cell = Window.partitionBy(*keys).orderBy("_cell")
-    whole = Window.partitionBy(*keys)
-    ranked = per_cell.withColumns(
-        {
-            "_before": F.sum("_n").over(by_cell) - F.col("_n"),
-            "_total": F.sum("_n").over(whole),
-        }
-    )
+    if per_cell is None:
+        per_cell = data.groupBy(*keys, "_cell").agg(F.count("*").alias("_n"))
+    else:
+        per_cell = (per_cell if groups else per_cell.withColumn("_all", F.lit(1))).filter(F.col("_cell").isNotNull())
+    ranked = _ranked(per_cell, keys)
     wanted = F.explode(F.array(*[F.lit(p) for p in probs]))
     spots = ranked.withColumn("_p", wanted).withColumn("_pos", F.col("_p") * (F.col("_total") - 1))
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor("_pos").alias("rank")),
@@ -70,6 +74,31 @@ def exact_percentiles(
     return points.groupBy(*keys).agg(*wide).drop("_all")
 
 
+def cell_of(value: Column, cell_bits: int = CELL_BITS) -> Column:
+    """The cell of an integer value."""
+    return F.shiftright(value.cast("long"), cell_bits)
+
+
+def _ranked(per_cell: DataFrame, keys: list[str]) -> DataFrame:
+    """The cells with the number of values before each and in all.
+
+    Cells are summed by ranges of ``2**RANGE_BITS`` first, so one task sees a row per range of a group, not
+    a row per cell.
+    """
+    cells = per_cell.withColumn("_range", F.shiftright("_cell", RANGE_BITS))
+    ranges = cells.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum"))
+    by_range = Window.partitionBy(*keys).orderBy("_range")
+    ranges = ranges.select(
+        *keys,
+        "_range",
+        (F.sum("_sum").over(by_range) - F.col("_sum")).alias("_base"),
+        F.sum("_sum").over(Window.partitionBy(*keys)).alias("_total"),
+    )
+    inside = Window.partitionBy(*keys, "_range").orderBy("_cell")
+    counted = cells.withColumn("_inside", F.sum("_n").over(inside) - F.col("_n"))
+    return counted.join(ranges, [*keys, "_range"]).withColumn("_before", F.col("_base") + F.col("_inside"))
+
+
 def _values_at(data: DataFrame, spots: DataFrame, keys: list[str]) -> DataFrame:
     """Second pass: the value at each wanted place inside its cell."""
     spots = sized_side(spots)

@@ -1,6 +1,7 @@
 """Properties of merges, ordered helpers, percentiles, quality and lineage."""
 
 import random
+import statistics
 from datetime import datetime
 
 import pytest
@@ -163,6 +164,58 @@ def test_rolling_counts_cross_days(spark):
     assert got == {t: sum(t - 3600 <= s <= t for s in times) for t in times}
 
 
+def _plain_report(spark, rows):
+    kinds = "event_time timestamp, event_type string, status string, user_id string, response_time_nanos long, range_min int, range_max int"
+    return spark.createDataFrame(rows, kinds)
+
+
+def test_reports_from_one_count(spark):
+    draw = random.Random(5)
+    rows = [
+        (
+            datetime(2024, 1, 1 + draw.randrange(3), 12) if draw.random() > 0.05 else None,
+            draw.choice(["SINGLE", "RANGE"]),
+            draw.choice(["SUCCESS", "SUCCESS", "ERROR"]),
+            draw.choice([None, "a", "b", "c"]),
+            None if draw.random() < 0.1 else draw.choice([5, 2**20 - 1, 2**20, draw.randrange(2**31)]),
+            1,
+            draw.choice([None, 1, 7, 3999]),
+        )
+        for _ in range(400)
+    ]
+    events = _plain_report(spark, rows)
+    found = {str(r.date_key): r for r in metrics.daily_stats(events).collect()}
+    for day in {r[0] and r[0].date() for r in rows}:
+        mine = [r for r in rows if (r[0] and r[0].date()) == day]
+        times = sorted(r[4] for r in mine if r[4] is not None)
+        got = found[str(day)]
+        assert got.total_conversions == len(mine) and got.unique_users == len({r[3] for r in mine} - {None})
+        assert got.error_count == sum(r[2] != "SUCCESS" for r in mine)
+        assert got.single_conversions == sum(r[1] == "SINGLE" for r in mine)
+        assert got.avg_response_time_ms == pytest.approx(sum(times) / len(times) / 1e6)
+        if day:
+            assert got.p50_response_time_ms == pytest.approx(statistics.median(times) / 1e6)
+    assert len(found) == 4
+    report = metrics.latency_report(events, [1, 5], 100.0, 0.5).collect()
+    times = [r[4] for r in rows if r[4] is not None]
+    sizes = [r[6] for r in rows if r[6] is not None]
+    assert len(report) == 1 and report[0].requests == len(rows)
+    assert report[0].p50_ms == pytest.approx(statistics.median(times) / 1e6)
+    assert report[0].range_size_p50 == statistics.median(sizes)
+    assert report[0].within_5_ms == sum(t <= 5_000_000 for t in times)
+    empty = metrics.latency_report(_plain_report(spark, []), [1], 100.0, 0.5).collect()
+    assert len(empty) == 1 and empty[0].requests == 0 and empty[0].p95_ms is None and empty[0].error_rate is None
+    assert metrics.daily_stats(_plain_report(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("bits", [0, 2])
+def test_ranks_across_many_ranges(spark, bits):
+    rows = spark.range(0, 40_000, 7).select(F.col("id").alias("v"))
+    got = exact_percentiles(rows, [], F.col("v"), [0.0, 0.333, 1.0], bits).first()
+    want = rows.agg(F.expr("percentile(v, array(0.0, 0.333, 1.0))")).first()[0]
+    assert list(got) == pytest.approx(want)
+
+
 def test_quality_null_handling(spark):
     rows = spark.createDataFrame([("I",), ("x",), (None,), (None,)], "r string")
     rule = {"rule": "regex", "column": "r", "pattern": "^[MDCLXVI]+$"}
@@ -185,14 +238,14 @@ def test_key_outcomes(spark):
     layout = "key_hash string, key_prefix string, active boolean, revoked_at timestamp, expires_at timestamp"
     import datetime as dt
 
-    past, future = dt.datetime(2024, 1, 1), dt.datetime(2025, 1, 1)
+    past, future = datetime(2024, 1, 1), dt.datetime(2025, 1, 1)
     keys = spark.createDataFrame(
         [(digest("rns_ok"), "a", True, None, None), (digest("rns_later"), "b", True, None, future),
          (digest("rns_old"), "c", True, None, past), (digest("rns_gone"), "d", True, past, None), (digest("rns_off"), "e", False, None, None)],
         layout,
     )
     asked = [None, "", "  ", "abc", "rns_none", "rns_old", "rns_gone", "rns_off", " rns_ok ", "rns_later"]
-    at = dt.datetime(2024, 6, 1)
+    at = datetime(2024, 6, 1)
     requests = spark.createDataFrame([(i, k, at) for i, k in enumerate(asked)], "request_id long, presented_key string, requested_at timestamp")
     got = [r["outcome"] for r in validate_keys(requests, keys).orderBy("request_id").collect()]
     assert got == ["MISSING", "MISSING", "MISSING", "BAD_PREFIX", "UNKNOWN_KEY", "EXPIRED", "REVOKED", "INACTIVE", "VALID", "VALID"]
