@@ -51,7 +51,7 @@ def ids(data):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("aB 's\n\t  1.é中!|")), max_size=40))
+@given(st.text(alphabet=st.sampled_from(list("aB 's\n\t  1.é中!|\u3000\x85\r")), max_size=40))
 def test_ids_equal_the_tokenizer_files(text):
     found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) if not hasattr(test_ids_equal_the_tokenizer_files, "t") else test_ids_equal_the_tokenizer_files.t
     test_ids_equal_the_tokenizer_files.t = found
@@ -337,3 +337,9 @@ def test_mixing_stays_out_of_python(spark, folder):
     for frame in (mixing.mix(mixing.sized(table)), mixing.mixed_documents(table)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_tokens_of_a_long_text_are_found_in_linear_time():
+    rule = next(r for r in secret_scan.RULES if r.kind == "jwt")
+    token = "eyJ" + "a" * 20 + ".eyJ" + "b" * 20 + "." + "c" * 20
+    assert rule.compiled().findall("eyJ" * 700_000 + " " + token) == [token]
