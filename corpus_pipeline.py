@@ -66,7 +66,7 @@ STAGES = [
 ]
 
 ORACLE_SQL = None
-"""Perplexities and token ids are beyond SQL; tests/llm compares the stages with brute-force versions."""
+"""Perplexities and token ids are beyond SQL. tests/llm has plain versions of perplexities, secrets, ids and packing, not of the chain."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
