@@ -12,7 +12,8 @@ from oreflow.llm.common import map_texts, ragged
 from oreflow.llm.tokens import Encoder
 from oreflow.session import work_path
 
-END = 50256
+END = 65535
+"""The end of a document: no id of the vocabulary, so no text holds it."""
 BLOCK_TOKENS = 1 << 16
 
 
