@@ -16,16 +16,28 @@ from oreflow.session import materialize_counted
 
 CAPACITY = 2048
 SEPARATOR = b"\0\0\0\0"
-ROUNDS = 240
+ROUNDS = 600
+"""Patterns priced per solution."""
+
+CLASSES = 48
+"""Classes of neighbouring lengths that the linear program tells apart."""
+
+SPREAD = 1.25
+"""How much wider than its narrowest member a class may be."""
+
+PASSES = 8
+"""Solutions of the program, each over what rounding the one before has left."""
+
 SALT_ROWS = 500_000
 
 
 @dataclass(frozen=True)
 class Pattern:
-    """Lengths with their numbers in one sequence, and how many sequences look so."""
+    """Lengths with their numbers in one sequence, how many sequences look so, and whether the linear program made it."""
 
     counts: dict[int, int]
     times: int
+    solved: bool = False
 
 
 def priced(value: np.ndarray, lengths: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
@@ -66,7 +78,7 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
     demand = counts.astype(float)
     weight = np.ones(len(lengths))
     covered = np.zeros(len(lengths))
-    goal = max(2.0, 4.0 * rounds / len(lengths))
+    goal = max(2.0, rounds / len(lengths))
     rate = min(1.0, (1 + np.log(len(lengths))) / goal)
     chosen: dict[tuple, float] = {}
     for _ in range(rounds):
@@ -120,13 +132,92 @@ def largest_first(space: int, lengths: list[int], left: dict[int, int]) -> dict[
     return found
 
 
+def classes(left: dict[int, int], number: int, capacity: int) -> list[list[int]]:
+    """Groups of neighbouring lengths, large lengths first: each has about 1/``number`` of all tokens at most, and
+    neither the lengths nor what they leave of the capacity differ by more than ``SPREAD`` within a group."""
+    order = sorted((n for n, c in left.items() if c), reverse=True)
+    most = sum(n * left[n] for n in order) / number
+    groups: list[list[int]] = []
+    mass = 0.0
+    for n in order:
+        first = groups[-1][0] if groups else 0
+        if not groups or mass + n * left[n] > most or first > SPREAD * n or capacity - n > SPREAD * (capacity - first):
+            groups.append([])
+            mass = 0.0
+        groups[-1].append(n)
+        mass += n * left[n]
+    return groups
+
+
+def realised(slots: list[list[int]], left: dict[int, int], capacity: int) -> dict[int, int] | None:
+    """A length for every slot, out of the slot's lengths, that together are the capacity; none if there is no such choice."""
+    mask = (2 << capacity) - 1
+    reach = [1]
+    for lengths in slots:
+        sums = 0
+        for n in lengths:
+            sums |= reach[-1] << n
+        reach.append(sums & mask)
+    if not reach[-1] >> capacity & 1:
+        return None
+    at, found = capacity, {}
+    for lengths, before in zip(reversed(slots), reversed(reach[:-1])):
+        fits = [n for n in lengths if n <= at and before >> (at - n) & 1 and left[n] > found.get(n, 0)]
+        if not fits:
+            return None
+        best = max(fits, key=lambda n: (left[n] - found.get(n, 0), n))
+        found[best] = found.get(best, 0) + 1
+        at -= best
+    return found
+
+
+def solved(left: dict[int, int], capacity: int) -> list[tuple[list[Pattern], dict[int, int]]]:
+    """Full sequences by the configuration program and what they leave of ``left``, after each pass.
+
+    The program is solved over classes of lengths, each with its mean as size, and its solution rounded down.
+    A pattern of classes becomes patterns of lengths that fill the capacity exactly, each used as often as its
+    lengths last, so their number follows that of the lengths. What rounding leaves is a smaller histogram, for which
+    the program is solved again, until a pass places little.
+    """
+    out: list[Pattern] = []
+    states = []
+    left = dict(left)
+    for _ in range(PASSES):
+        mass = sum(n * c for n, c in left.items())
+        if mass < 4 * capacity:
+            break
+        groups = classes(left, min(CLASSES, max(2, mass // capacity // 8)), capacity)
+        counts = np.array([sum(left[n] for n in g) for g in groups])
+        sizes = np.array([round(sum(n * left[n] for n in g) / c) for g, c in zip(groups, counts)])
+        placed = 0
+        for kinds, times in sorted(fractional(sizes, counts, capacity), key=lambda p: -p[1]):
+            rest = int(times + 1e-9)
+            while rest > 0:
+                alive = {i: [n for n in groups[i] if left[n]] for i in kinds}
+                found = realised([alive[i] for i, k in kinds.items() for _ in range(k)], left, capacity)
+                if not found:
+                    break
+                n = min(rest, *(left[m] // k for m, k in found.items()))
+                for m, k in found.items():
+                    left[m] -= n * k
+                out.append(Pattern(found, n, True))
+                rest -= n
+                placed += n
+        states.append((list(out), dict(left)))
+        if placed * capacity < 0.1 * mass:
+            break
+    return states
+
+
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
     """Patterns that place every length exactly as often as the histogram says.
 
-    The fractional solution is rounded down, and what is left is placed largest length first, each with a
-    fill of the rest, as often as the remaining counts allow. As the multiplicative weights stop short of the
-    optimum, rounding may keep all, half or nothing of the solution and fill best or largest first; the
-    smallest result counts, and the search ends at the lower bound. Work depends on the number of different lengths, not on the number of pieces.
+    The configuration program places what it can in full sequences; the little that is left is placed largest
+    length first, each with a fill of the rest, best or largest first, as often as the remaining counts allow. Later
+    passes of the program leave less, but of more uneven lengths, so where that misses the lower bound, the fills
+    follow each pass, and the smallest result counts. Where lengths do not add up to full sequences (all above a third
+    of the capacity, say), no full sequence is right and the fills alone may win; equal results go to the program.
+    Work depends on the number of different lengths, not on the number of pieces.
     """
     left = {n: c for n, c in histogram.items() if c > 0}
     if any(n > capacity or n < 1 for n in left):
@@ -134,17 +225,15 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Patter
     whole = [Pattern({capacity: 1}, left.pop(capacity))] if left.get(capacity) else []
     if not left:
         return whole
-    lengths = np.array(sorted(left, reverse=True))
-    counts = np.array([left[int(n)] for n in lengths])
-    solution = [({int(lengths[i]): n for i, n in p.items()}, t) for p, t in fractional(lengths, counts, capacity)]
     bound = -(-sum(n * c for n, c in left.items()) // capacity)
     best: list[Pattern] | None = None
-    for share, fill in ((1.0, filled), (0.5, filled), (0.0, filled), (1.0, largest_first), (0.0, largest_first)):
-        found = _rounded(solution, share, fill, dict(left), capacity)
-        if best is None or _sequences(found) < _sequences(best):
-            best = found
-        if _sequences(best) <= bound:
-            break
+    for start, over in [*reversed(solved(left, capacity)), ([], left)]:
+        for fill in (filled, largest_first):
+            found = start + _filled_up(fill, dict(over), capacity)
+            if best is None or _sequences(found) < _sequences(best):
+                best = found
+            if _sequences(best) <= bound:
+                return whole + best
     return whole + best
 
 
@@ -152,20 +241,9 @@ def _sequences(found: list[Pattern]) -> int:
     return sum(p.times for p in found)
 
 
-def _rounded(solution: list[tuple[dict[int, int], float]], share: float, fill, left: dict[int, int], capacity: int) -> list[Pattern]:
-    """Whole numbers of the solution's full patterns, then fills of what is left."""
+def _filled_up(fill, left: dict[int, int], capacity: int) -> list[Pattern]:
+    """Sequences of what is left, largest length first, each with a fill of its rest."""
     out: list[Pattern] = []
-
-    def use(kinds: dict[int, int], times: int) -> None:
-        out.append(Pattern(kinds, times))
-        for n, k in kinds.items():
-            left[n] -= k * times
-
-    for kinds, times in solution:
-        if sum(n * k for n, k in kinds.items()) == capacity:  # open space is better filled below
-            times = min(int(share * times), *(left[n] // k for n, k in kinds.items()))
-            if times:
-                use(kinds, times)
     order = sorted((n for n in left if left[n]), reverse=True)
     while order:
         largest = order[0]
@@ -173,7 +251,10 @@ def _rounded(solution: list[tuple[dict[int, int], float]], share: float, fill, l
         kinds = fill(capacity - largest, order, left)
         left[largest] += 1
         kinds[largest] = kinds.get(largest, 0) + 1
-        use(kinds, min(left[n] // k for n, k in kinds.items()))
+        times = min(left[n] // k for n, k in kinds.items())
+        out.append(Pattern(kinds, times))
+        for n, k in kinds.items():
+            left[n] -= k * times
         order = [n for n in order if left[n]]
     return out
 
