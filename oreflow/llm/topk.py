@@ -14,6 +14,7 @@ LEVELS = (4, 16)
 QUERY_ROWS = 1024
 CANDIDATE_ROWS = 8192
 RUN_ROWS = 1024
+RUN_BLOCKS = 16
 K = 20
 SCALE = 64
 
@@ -35,16 +36,29 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.array(out).T
 
 
-def best_of(one, one_ids, one_rows, two, two_ids, two_rows, k: int):
+NONE = tuple(np.empty(0, dtype=np.int64) for _ in range(3))
+
+
+def best_of(one: np.ndarray, two: np.ndarray, two_ids: np.ndarray, k: int, found: tuple = NONE) -> tuple:
     """(query place, id, score) of the k best candidates of every query, found coarse to fine.
 
+    ``found`` is the result over earlier candidates; its scores are limits from the start.
     Candidates come in runs. A bound below the query's k-th score so far drops a candidate; the finer
     statistics are computed for pairs the coarser leave open, and survivors get their exact score. Equal
     scores go to the smaller id.
     """
     n = len(one)
-    found = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
     limit = np.full(n, -np.inf)
+
+    def ranked(rows: tuple) -> tuple:
+        best = np.lexsort((rows[1], -rows[2], rows[0]))
+        rows = [r[best] for r in rows]
+        rank = np.arange(len(best)) - np.searchsorted(rows[0], np.arange(n))[rows[0]]
+        last = rank == k - 1
+        limit[rows[0][last]] = rows[2][last]
+        return tuple(r[rank < k] for r in rows)
+
+    found = ranked(found)
     largest = max(np.abs(one).max(initial=0), np.abs(two).max(initial=0))
     exact_floats = largest * largest * one.shape[1] < 2**53
     whole = (one, two) if exact_floats else (one.astype(np.int64), two.astype(np.int64))
@@ -68,29 +82,23 @@ def best_of(one, one_ids, one_rows, two, two_ids, two_rows, k: int):
                 kept.append(np.array([a, b]))
             (q, c), score = np.concatenate(kept, axis=1), np.concatenate(parts)
         score = score.astype(np.int64)
-        ids, rows = two_ids[run[c]], two_rows[run[c]]
-        other = (rows != one_rows[q]) & (score >= limit[q])
-        merged = [np.concatenate((f, v[other])) for f, v in zip(found, (q, ids, score, rows))]
-        best = np.lexsort((merged[3], merged[1], -merged[2], merged[0]))
-        merged = [m[best] for m in merged]
-        first = np.searchsorted(merged[0], np.arange(n))
-        rank = np.arange(len(best)) - first[merged[0]]
-        found = tuple(m[rank < k] for m in merged)
-        last = found[0][rank[rank < k] == k - 1]
-        limit[last] = found[2][rank[rank < k] == k - 1]
-    return found[0], found[1], found[2], found[3]
+        near = score >= limit[q]
+        found = ranked(tuple(np.concatenate(pair) for pair in zip(found, (q[near], two_ids[run[c]][near], score[near]))))
+    return found
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = K, scale: int = SCALE, query_rows: int = QUERY_ROWS, candidate_rows: int = CANDIDATE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``rows`` with the largest inner product for each row of ``queries``.
 
-    Both have (vec_id, embedding). Components become floor(scale * x), scores are whole numbers. A block of
-    queries meets every block of candidates; each pair of blocks reports k rows per query at most, and a
-    ranked window merges them. A query's own row, the one with its vec_id and vector, is no candidate for it.
+    Both have (vec_id, embedding), and the queries are among the rows. Components become floor(scale * x), scores are whole
+    numbers. A block of queries meets every block of candidates, ``RUN_BLOCKS`` of them in one task, which carries the
+    scores on from block to block and reports k + 1 rows per query at most; a ranked window merges the tasks' rows. A query's own row is no candidate for it: one that has
+    its vec_id and scores as it does with itself; where several do, they differ in no result and one of them goes.
 
     Ties go to the smaller vec_id. Fewer than k candidates: all of them. Null, empty and non-finite vectors and null
-    ids take no part; vectors of another length are no candidates. Repeated rows: an identical row is taken as the
-    query's own, and a query id that occurs twice is answered once. Extra columns are ignored. Empty tables give no rows.
+    ids take no part; vectors of another length are no candidates. Rows that repeat an id or a whole row are candidates and
+    queries of their own, so an id that occurs twice among the queries is answered twice. Extra columns are ignored.
+    Empty tables give no rows.
     """
     spark = rows.sparkSession
 
@@ -100,28 +108,46 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K, scale: int = SCALE, q
         return df.select("vec_id", F.transform("vector", lambda x: F.floor(x * scale).cast("double")).alias("vector"), F.size("vector").alias("dim"))
 
     nothing = np.empty((0, 0))
-    asked = blocks(whole(queries).dropDuplicates(["vec_id"]), nothing, query_rows).select(
+    asked = blocks(whole(queries), nothing, query_rows).select(
         F.col("block").alias("query_block"), "dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors")
     )
     held = blocks(whole(rows), nothing, candidate_rows).select("block", "dim", "ids", "vectors")
     count = asked.agg(F.coalesce(F.max("query_block"), F.lit(-1)).alias("n")).first().n
+    runs = held.agg(F.coalesce(F.max("block"), F.lit(0)).alias("n")).first().n // RUN_BLOCKS + 1
     if count < 0:
         pairs = held.limit(0).withColumn("query_block", F.lit(0).cast("int"))
     else:
         pairs = held.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(count))))
-    met = pairs.join(asked, ["query_block", "dim"])
-    met = met.repartition(max(1, min(10_000, (count + 1) * 8)), "block", "query_block")
+    met = pairs.join(asked, ["query_block", "dim"]).withColumn("run", F.floor(F.col("block") / RUN_BLOCKS))
+    met = met.repartition(max(1, min(10_000, (count + 1) * runs)), "query_block", "run").sortWithinPartitions("query_block", "run")
 
     def run(batches):
+        key, asking, found = None, None, NONE
+
+        def out():
+            number, ids, one = asking
+            q, other, score = found
+            own = (one.astype(np.int64) ** 2).sum(axis=1)
+            columns = [ids[q], number * query_rows + q, own[q], other, score]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "place", "own", "vec_id", "score"])
+
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 one, two = (np.frombuffer(row[c], dtype="<f8").reshape(-1, row["dim"]) for c in ("query_vectors", "vectors"))
-                one_ids, two_ids = (np.frombuffer(row[c], dtype="<i8") for c in ("query_ids", "ids"))
-                q, ids, score, _ = best_of(one, one_ids, one_ids, two, two_ids, two_ids, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one_ids[q]), pa.array(ids), pa.array(score)], names=["query_id", "vec_id", "score"]
-                )
-
-    found = materialize(spark, met.mapInArrow(run, "query_id long, vec_id long, score long"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                if key is not None and key != (row["query_block"], row["run"]):
+                    yield out()
+                    found = NONE
+                key = (row["query_block"], row["run"])
+                asking = (row["query_block"], np.frombuffer(row["query_ids"], dtype="<i8"), one)
+                found = best_of(one, two, np.frombuffer(row["ids"], dtype="<i8"), k + 1, found)
+        if key is not None:
+            yield out()
+
+    found = materialize(spark, met.mapInArrow(run, "query_id long, place long, own long, vec_id long, score long"))
+    order = Window.partitionBy("place").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("row", F.row_number().over(order)).filter(F.col("row") <= k + 1)
+    mine = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own"))
+    best = best.withColumn("mine", mine).withColumn("met", F.count_if("mine").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    best = best.filter(~(F.col("mine") & (F.col("met") == 1))).withColumn("rank", F.col("row") - F.least("met", F.lit(1)).cast("int"))
+    return best.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

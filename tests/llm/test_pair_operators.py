@@ -160,6 +160,21 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(frame.limit(0), frame).count() == 0 and topk.top_k(frame, frame.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    """Every row but the query's own is a candidate: rows that repeat its id, or its id and vector, are other rows."""
+    rows = [(20, [1.0, 0.5]), (20, [0.25, 1.0]), (40, [0.5, 0.5]), (40, [0.5, 0.5]), (40, [0.5, 0.5]), (3, [2.0, -1.0]), (7, [-1.0, 0.0])]
+    whole = [(i, [int(64 * x) for x in v]) for i, v in rows]
+    want = Counter()
+    for at, (i, v) in enumerate(whole):
+        if i % 20 == 0:
+            others = [(-(v[0] * w[0] + v[1] * w[1]), j) for k, (j, w) in enumerate(whole) if k != at]
+            want.update((i, rank, j, -s) for rank, (s, j) in enumerate(sorted(others)[:4], 1))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for sizes in ((1024, 8192), (2, 2), (1, 1)):
+        found = topk.top_k(frame.filter("vec_id % 20 = 0"), frame, 4, 64, *sizes).collect()
+        assert Counter(tuple(r) for r in found) == want
+
+
 def test_segment_bounds_hold():
     draw = np.random.default_rng(4)
     x, y = draw.integers(-60, 60, (50, 64)).astype(float), draw.integers(-60, 60, (70, 64)).astype(float)

@@ -128,14 +128,14 @@ def test_patterns_place_every_length(histogram):
     assert sum(p.times for p in found) <= first_fit(histogram, 64) + 1
 
 
-@pytest.mark.parametrize("pieces, share", [(2_000, 0.6), (20_000, 0.9), (500_000, 0.9)])
+@pytest.mark.parametrize("pieces, share", [(2_000, 0.6), (20_000, 0.9), (500_000, 0.8)])
 def test_the_program_makes_most_sequences(pieces, share):
     lengths = np.random.default_rng(5).lognormal(5.5, 1, pieces).astype(int).clip(1, 1500)
     histogram = dict(zip(*(v.tolist() for v in np.unique(lengths, return_counts=True))))
     found = packing.patterns(histogram)
     total = sum(p.times for p in found)
     assert sum(p.times for p in found if p.solved) >= share * total
-    assert total <= -(-int(lengths.sum()) // packing.CAPACITY) + 1
+    assert total == -(-int(lengths.sum()) // packing.CAPACITY)
     assert len(found) < 4 * len(histogram) + 2_000
 
 
