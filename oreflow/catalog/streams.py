@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from oreflow.catalog.base_sql import BRONZE_COLUMNS, SEGMENTS, with_events
 from oreflow.catalog.gold import HOURLY_SQL
-from oreflow.catalog.inputs import stored
 from oreflow.catalog.keys import BUCKET_SQL
 from oreflow.catalog.registry import query
 from oreflow.functions.events import parse_events
@@ -42,8 +41,9 @@ def _state_per_core(spark):
 
 
 def _feed(spark, folder, run):
-    """Write one segment after another and run the stream on what is new."""
-    records = stored(spark, folder, "segments", bindings.segmented_topic, "segment")
+    """Write one segment after another and run the stream on what is new. Records are made where their segment is
+    asked for: the filter goes below their JSON, so no row is shuffled or written twice before the stream reads it."""
+    records = bindings.segmented_topic(spark, folder)
     path = work_path(spark, "topic")
     for segment in range(SEGMENT_COUNT):
         append_log(records.filter(F.col("segment") == segment), path)
@@ -260,7 +260,7 @@ def stream_rate_limit(spark, folder):
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, state.ROCKSDB)
-    records = stored(spark, folder, "segments", bindings.segmented_topic, "segment").filter(FIRST_COPIES)
+    records = bindings.segmented_topic(spark, folder).filter(FIRST_COPIES)
     edges = [None, "2024-01-11", "2024-01-21", None]
     for start, end in zip(edges, edges[1:]):
         since = F.lit(True) if start is None else F.col("timestamp") >= F.lit(start).cast("timestamp")

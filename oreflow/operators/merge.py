@@ -13,14 +13,17 @@ class DuplicateKeys(ValueError):
     """The merge source holds a key more than once."""
 
 
-def new_rows(source: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
-    """Source rows whose key the target does not hold yet.
+def new_rows(source: DataFrame, target: DataFrame, key: list[str], rows: int | None = None) -> DataFrame:
+    """Source rows whose key the target does not hold yet. ``rows`` is the size of a source that is stored already:
+    its keys are read from it and not written again.
 
     An anti join cannot broadcast its left side. While the source is small, the
     target's key column is first cut down to the source's keys by a broadcast
     semi join, without a shuffle of the target. Beyond that it is one anti join.
     """
-    wanted, rows = materialize_counted(source.sparkSession, source.select(*key))
+    wanted = source.select(*key)
+    if rows is None:
+        wanted, rows = materialize_counted(source.sparkSession, wanted)
     if rows > BROADCAST_ROWS:
         return source.join(target.select(*key), key, "left_anti")
     known = target.select(*key).join(F.broadcast(wanted), key, "left_semi")

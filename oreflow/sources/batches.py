@@ -56,7 +56,8 @@ class BatchTable:
         full = T.StructType([*[f for f in self.schema.fields if f.name != "batch_id"], T.StructField("block", T.LongType()),
                              T.StructField("batch_id", T.LongType())])
         if not folders:
-            return self.spark.createDataFrame([], full).select(*names)
+            none = [F.lit(None).cast(f.dataType).alias(f.name) for f in full.fields]
+            return self.spark.range(0).select(*none).filter(F.lit(False)).select(*names)
         return self.spark.read.schema(full).option("basePath", base).parquet(*folders).select(*names)
 
     def batch(self, batch_id: int) -> DataFrame:

@@ -19,7 +19,7 @@ from oreflow.functions.events import dead_letters, parse_events
 from oreflow.operators.dedup import first_arrived
 from oreflow.operators.merge import new_rows
 from oreflow.plans.layers import BRONZE_SCHEMA, with_event_date
-from oreflow.session import materialize, steps_removed
+from oreflow.session import materialize, materialize_counted, steps_removed
 from oreflow.sources.batches import BatchTable
 
 # Out-of-orderness, state time-to-live and trigger of the stream.
@@ -130,21 +130,25 @@ class BronzeStream:
         # Counted on the way to the first and the second written step.
         read, taken, bad = Observation(), Observation(), Observation()
         parsed = parsed.observe(read, F.count(F.lit(1)).alias("good"), F.unix_micros(F.max("event_time")).alias("newest"))
-        unique = materialize(spark, first_arrived(parsed))
-        known = self._written(self.tables.bronze, past, now)
-        if self.allowed_lateness is not None:
-            known = known.unionByName(self._written(self.tables.too_late, past, now))
-        known = known.filter(F.col("batch_id") < batch_id)
-        fresh = new_rows(unique, known, ["event_id"]).observe(
+        fresh = first_arrived(parsed)
+        if past.live:
+            known = self._written(self.tables.bronze, past, now)
+            if self.allowed_lateness is not None:
+                known = known.unionByName(self._written(self.tables.too_late, past, now))
+            unique, rows = materialize_counted(spark, fresh)
+            fresh = new_rows(unique, known.filter(F.col("batch_id") < batch_id), ["event_id"], rows)
+        fresh = fresh.observe(
             taken, F.count(F.lit(1)).alias("fresh"), F.count_if("is_late_arrival").alias("late"),
             F.count_if("_too_late").alias("too_late"),
         )
-        fresh = materialize(spark, fresh)
-        accepted = fresh.filter(~F.col("_too_late")).drop("_too_late")
-        seen, new = read.get, taken.get
+        # Only where rows go to two tables is there a step before them.
+        if mark is not None and self.allowed_lateness is not None:
+            fresh = materialize(spark, fresh)
 
         tables = self.tables
-        tables.bronze.write(accepted, batch_id)
+        tables.bronze.write(fresh.filter(~F.col("_too_late")).drop("_too_late"), batch_id)
+        accepted = tables.bronze.batch(batch_id)
+        seen, new = read.get, taken.get
         if new["late"] > new["too_late"]:
             tables.late.write(accepted.filter("is_late_arrival"), batch_id)
         if new["too_late"]:

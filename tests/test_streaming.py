@@ -140,3 +140,24 @@ def test_parsed_events_are_printed(spark):
     query.awaitTermination()
     told = query.recentProgress[0]
     assert told["numInputRows"] == 3 and "Console" in told["sink"]["description"]
+
+
+def test_a_batch_is_written_once_and_its_keys_not_at_all(spark, root, monkeypatch):
+    from oreflow import session
+
+    steps, fresh_path = [], session.work_path
+    monkeypatch.setattr(session, "work_path", lambda s, name: steps.append(name) or fresh_path(s, name))
+    tables = job.StreamTables.under(spark, root)
+    step = job.BronzeStream(tables, clock=lambda i: START)
+    for rows, written in zip(FILES, ([], ["step"], ["step"])):  # nothing to compare with, then the unique rows
+        steps.clear()
+        step(spark.createDataFrame(rows, TOPIC), tables.counters.read().count())
+        assert steps == written
+    assert {r["event_id"] for r in tables.bronze.read().collect()} == set("abcdef")
+
+
+def test_segments_are_not_stored_before_the_stream(spark, folder):
+    from oreflow.catalog import inputs, streams
+
+    streams.stream_append(spark, folder)
+    assert not any(name == "segments" for _, _, name in inputs._STORED)
