@@ -11,6 +11,7 @@ from oreflow.operators.metrics import popular_numbers
 from oreflow.plans.layers import with_event_date
 from oreflow.session import work_path
 from oreflow.sources.bindings import topic_log
+from oreflow.sources.topic import LOG_ROW_GROUP
 
 RUN_TS = "2024-03-01 00:00:00"
 
@@ -37,8 +38,8 @@ def stored(spark: SparkSession, folder: str, name: str, build, part: str | None
         rows = build(spark, folder)
         if part:
             rows.hint("rebalance", part).write.partitionBy(part).parquet(path)
-        else:  # as many files as cores, like the partitions of a topic
-            rows.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+        else:  # a file per task that makes the rows, read back by row groups; wide rows are not shuffled for it
+            rows.write.option("parquet.block.size", LOG_ROW_GROUP).parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
 

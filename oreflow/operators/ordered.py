@@ -5,23 +5,43 @@ is cut into chunks (for instance days); windows run per (key, chunk), and what
 crosses a chunk border comes from a summary with one row per (key, chunk),
 whose size is the number of chunks and not the number of rows. Keys and chunks
 must not be NULL: the join of the summary then reuses the windows' partitioning.
+Only hot keys are worth it (:func:`cut_hot_keys`): where keys are many and small, nearly
+every row is a chunk of its own, and the summary would be as large as the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oreflow.session import materialize
+from oreflow.session import materialize, materialize_counted
+
+# Fixed value: a key with more rows is cut into chunks. There are at most rows / HOT_ROWS such keys.
+HOT_ROWS = 500_000
+
+
+def cut_hot_keys(df: DataFrame, keys: list[str], chunk: Column, name: str) -> tuple[DataFrame, str | None]:
+    """The rows with ``chunk`` as column ``name`` for keys of many rows, and one chunk for any other key.
+
+    Without such a key the rows come back as they are, and None for the name: windows then run per key alone.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    hot, found = materialize_counted(df.sparkSession, sizes.filter(F.col("_rows") > HOT_ROWS).select(*keys, F.lit(True).alias("_hot")))
+    if not found:
+        return df, None
+    whole = F.lit(0).cast("timestamp")
+    return df.join(F.broadcast(hot), keys, "left").withColumn(name, F.when(F.col("_hot"), chunk).otherwise(whole)).drop("_hot"), name
 
 
 def carry_last(
-    df: DataFrame, keys: list[str], chunk: str, order: list[str], value: str, name: str, include_current: bool
+    df: DataFrame, keys: list[str], chunk: str | None, order: list[str], value: str, name: str, include_current: bool
 ) -> DataFrame:
     """Latest non-NULL ``value`` up to (or strictly before) each row of its key."""
-    cells = [*keys, chunk]
+    cells = [*keys, chunk] if chunk else keys
     stop = Window.currentRow if include_current else -1
     local = Window.partitionBy(*cells).orderBy(*order).rowsBetween(Window.unboundedPreceding, stop)
+    if not chunk:
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(local))
     position = F.when(F.col(value).isNotNull(), F.struct(*order))
     summary = df.groupBy(*cells).agg(F.max_by(value, position).alias("_chunk_last"))
     earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
@@ -35,14 +55,16 @@ def carry_last(
 
 
 def number_and_next(
-    df: DataFrame, keys: list[str], chunk: str, order: list[str], value: str, number: str, following: str
+    df: DataFrame, keys: list[str], chunk: str | None, order: list[str], value: str, number: str, following: str
 ) -> DataFrame:
     """1-based position of each row in its key, and ``value`` of the next row.
 
     ``value`` must not be NULL; ``following`` is NULL on a key's last row.
     """
-    cells = [*keys, chunk]
+    cells = [*keys, chunk] if chunk else keys
     local = Window.partitionBy(*cells).orderBy(*order)
+    if not chunk:
+        return df.withColumns({number: F.row_number().over(local).cast("long"), following: F.lead(value).over(local)})
     summary = df.groupBy(*cells).agg(
         F.count("*").alias("_rows"), F.min_by(value, F.struct(*order)).alias("_chunk_first")
     )

@@ -1,7 +1,7 @@
 """Type-2 history: build, incremental merge, as-of lookup, integrity.
 
-All steps run per (key, hour) cell, see ``ordered``: a user with a third of all
-events is spread over as many tasks as there are hours.
+Steps run per key, and per (key, hour) cell for keys of many rows, see ``ordered``: a user with a third of
+all events is spread over as many tasks as there are hours.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreflow.operators.ordered import carry_last, number_and_next
+from oreflow.operators.ordered import carry_last, cut_hot_keys, number_and_next
 from oreflow.operators.sizing import sized_side
 from oreflow.session import materialize
 
@@ -27,14 +27,14 @@ def build_history(events: DataFrame, key: str, attributes: list[str], time: str,
     state = F.struct(*attributes)
     rows = events.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(
         key, state.alias("_state"), F.col(time).alias("valid_from"), F.col(tie).alias("_tie"),
-        F.date_trunc("hour", time).alias("_hour"),
     )
     order = ["valid_from", "_tie"]
-    seen = carry_last(rows, [key], "_hour", order, "_state", "_previous", include_current=False)
+    rows, chunk = cut_hot_keys(rows, [key], F.date_trunc("hour", "valid_from"), "_hour")
+    seen = carry_last(rows, [key], chunk, order, "_state", "_previous", include_current=False)
     starts = seen.filter(~F.col("_state").eqNullSafe(F.col("_previous"))).drop("_previous")
     # Used twice below; only the change points are left here.
     starts = materialize(events.sparkSession, starts)
-    closed = number_and_next(starts, [key], "_hour", order, "valid_from", "version", "_next")
+    closed = number_and_next(starts, [key], chunk, order, "valid_from", "version", "_next")
     return closed.select(
         key,
         *[F.col("_state")[a].alias(a) for a in attributes],
@@ -98,11 +98,13 @@ def as_of(facts: DataFrame, history: DataFrame, key: str, time: str, tie: str, c
         F.col(key), F.col(time).alias("_t"), F.lit(1).alias("_kind"), F.col(tie).cast("string").alias("_tie"),
         F.lit(None).cast(slots.schema["_version"].dataType).alias("_version"), F.struct("*").alias("_fact"),
     )
-    line = slots.unionByName(rows).withColumn("_hour", F.date_trunc("hour", "_t"))
-    known = line.filter(F.col(key).isNotNull() & F.col("_t").isNotNull())
-    filled = carry_last(known, [key], "_hour", ["_t", "_kind", "_tie"], "_version", "_valid", include_current=True)
+    line = slots.unionByName(rows)
+    known, chunk = cut_hot_keys(
+        line.filter(F.col(key).isNotNull() & F.col("_t").isNotNull()), [key], F.date_trunc("hour", "_t"), "_hour"
+    )
+    filled = carry_last(known, [key], chunk, ["_t", "_kind", "_tie"], "_version", "_valid", include_current=True)
     loose = line.filter(F.col(key).isNull() | F.col("_t").isNull()).withColumn("_valid", F.col("_version"))
-    found = filled.unionByName(loose).filter(F.col("_kind") == 1)
+    found = (filled.drop(chunk) if chunk else filled).unionByName(loose).filter(F.col("_kind") == 1)
     inside = F.col("_t") < F.col("_valid.valid_to")
     return found.select("_fact.*", *[F.when(inside, F.col("_valid")[c]).alias(c) for c in columns])
 

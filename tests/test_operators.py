@@ -312,3 +312,34 @@ def test_minute_report_with_and_without_durations(spark):
     got = {r["minute"].minute: (r["requests"], r["ok_2xx"], r["server_5xx"], r["p95_ms"]) for r in report.collect()}
     assert got[0][:3] == (5, 5, 0) and abs(got[0][3] - 8.95) < 1e-9
     assert got[1] == (1, 0, 1, None)
+
+
+def test_only_hot_keys_are_cut_into_chunks(spark, monkeypatch):
+    from oreflow.operators import ordered
+
+    rows = spark.range(40).select(
+        F.when(F.col("id") < 30, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("n"),
+        F.when(F.col("id") % 7 == 0, F.col("id")).alias("v"), (F.col("id") * 900).cast("timestamp").alias("t"),
+    )
+    results = {}
+    for limit, names in ((1000, ["k", "n", "v", "t"]), (10, ["_hour", "k", "n", "v", "t"])):
+        monkeypatch.setattr(ordered, "HOT_ROWS", limit)
+        cut, chunk = ordered.cut_hot_keys(rows, ["k"], F.date_trunc("hour", "t"), "_hour")
+        assert sorted(cut.columns) == sorted(names) and (chunk is None) == (limit == 1000)
+        if chunk:  # one chunk for each small key, one per hour for the hot one
+            assert cut.groupBy("k").agg(F.countDistinct("_hour").alias("h")).filter("h > 1").count() == 1
+        last = ordered.carry_last(cut, ["k"], chunk, ["t"], "v", "before", include_current=False)
+        placed = ordered.number_and_next(last, ["k"], chunk, ["t"], "n", "number", "following")
+        results[limit] = sorted(map(str, placed.select("k", "n", "before", "number", "following").collect()))
+        assert dict(placed.dtypes)["number"] == "bigint"
+    assert results[1000] == results[10]
+
+
+def test_histories_agree_whether_keys_are_cut_or_not(spark, folder, monkeypatch):
+    from oreflow.catalog import QUERIES
+    from oreflow.operators import ordered
+
+    kept = [sorted(map(str, QUERIES["dim_users_scd2"](spark, folder).collect())), sorted(map(str, QUERIES["scd2_asof_join"](spark, folder).collect()))]
+    monkeypatch.setattr(ordered, "HOT_ROWS", 5)
+    cut = [sorted(map(str, QUERIES["dim_users_scd2"](spark, folder).collect())), sorted(map(str, QUERIES["scd2_asof_join"](spark, folder).collect()))]
+    assert kept == cut
