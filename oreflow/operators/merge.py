@@ -24,8 +24,8 @@ def new_rows(source: DataFrame, target: DataFrame, key: list[str], rows: int | N
     wanted = source.select(*key)
     if rows is None:
         wanted, rows = materialize_counted(source.sparkSession, wanted)
-    if rows > BROADCAST_ROWS:
-        return source.join(target.select(*key), key, "left_anti")
+    if rows > BROADCAST_ROWS:  # nor is the target's key column broadcast because its files are small
+        return source.join(target.select(*key).hint("merge"), key, "left_anti")
     known = target.select(*key).join(F.broadcast(wanted), key, "left_semi")
     return source.join(known, key, "left_anti")
 

@@ -343,3 +343,13 @@ def test_histories_agree_whether_keys_are_cut_or_not(spark, folder, monkeypatch)
     monkeypatch.setattr(ordered, "HOT_ROWS", 5)
     cut = [sorted(map(str, QUERIES["dim_users_scd2"](spark, folder).collect())), sorted(map(str, QUERIES["scd2_asof_join"](spark, folder).collect()))]
     assert kept == cut
+
+
+def test_beyond_the_limit_small_files_are_not_broadcast(spark, monkeypatch):
+    from oreflow.operators import merge, sizing
+
+    keys, rows = spark.range(50), spark.range(0, 100, 2)
+    for join in (lambda: rows.join(sizing.sized_side(keys, 10), "id", "left_anti"), lambda: merge.new_rows(rows, keys, ["id"], 500_001)):
+        joined = join()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan and joined.count() == 25
