@@ -159,7 +159,7 @@ def lineage_impact(spark, folder):
     suppliers = bindings.table(spark, folder, "supplier")
     best = suppliers.filter(F.col("s_acctbal") == suppliers.agg(F.max("s_acctbal")).scalar())
     seeds = best.select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("node"))
-    return lineage.impact(lineage.edges(bindings.lineage_runs(spark, folder)), seeds)
+    return lineage.impact(lineage.edges(bindings.lineage_runs(spark, folder), repeats=True), seeds)
 
 
 @query(
@@ -174,7 +174,7 @@ def lineage_sources(spark, folder):
     customers = bindings.table(spark, folder, "customer")
     best = customers.filter(F.col("c_acctbal") == customers.agg(F.max("c_acctbal")).scalar())
     seeds = best.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
-    return lineage.impact(lineage.edges(bindings.lineage_runs(spark, folder)), seeds, downstream=False)
+    return lineage.impact(lineage.edges(bindings.lineage_runs(spark, folder), repeats=True), seeds, downstream=False)
 
 
 @query(

@@ -54,17 +54,19 @@ def recorded(log: SnapshotTable, job: str, inputs: list[DataFrame], outputs: lis
     record_run(log, job, run_id, read, written, "COMPLETE", now())
 
 
-def edges(runs: DataFrame) -> DataFrame:
+def edges(runs: DataFrame, repeats: bool = False) -> DataFrame:
     """Edges dataset -> job and job -> dataset of completed runs.
 
     Going through the job keeps the edge count linear where pairing each input
-    with each output would multiply them.
+    with each output would multiply them. With ``repeats`` an edge comes once per run and nothing is
+    grouped: enough for :func:`impact`, whose levels are distinct anyway.
     """
     done = runs.filter(F.col("event_type") == "COMPLETE")
     job = F.concat(F.lit("job:"), "job_name")
     reads = done.select(F.explode("inputs").alias("src"), job.alias("dst"))
     writes = done.select(job.alias("src"), F.explode("outputs").alias("dst"))
-    return reads.unionByName(writes).distinct()
+    both = reads.unionByName(writes)
+    return both if repeats else both.distinct()
 
 
 def impact(graph: DataFrame, seeds: DataFrame, downstream: bool = True) -> DataFrame:

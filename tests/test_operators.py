@@ -353,3 +353,13 @@ def test_beyond_the_limit_small_files_are_not_broadcast(spark, monkeypatch):
         joined = join()
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan and joined.count() == 25
+
+
+def test_impact_needs_no_grouped_edges(spark):
+    layout = "event_type string, job_name string, inputs array<string>, outputs array<string>"
+    runs = spark.createDataFrame([("COMPLETE", "j", ["a"], ["b"]), ("COMPLETE", "j", ["a"], ["b"]), ("COMPLETE", "k", ["b"], ["c"])], layout)
+    loose, grouped = lineage.edges(runs, repeats=True), lineage.edges(runs)
+    assert "Aggregate" not in loose._jdf.queryExecution().executedPlan().toString() and (loose.count(), grouped.count()) == (6, 4)
+    seeds = spark.createDataFrame([("a",)], "node string")
+    reached = [sorted(map(tuple, lineage.impact(graph, seeds).collect())) for graph in (loose, grouped)]
+    assert reached[0] == reached[1] == [("a", 0), ("b", 2), ("c", 4), ("job:j", 1), ("job:k", 3)]
