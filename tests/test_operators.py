@@ -363,3 +363,10 @@ def test_impact_needs_no_grouped_edges(spark):
     seeds = spark.createDataFrame([("a",)], "node string")
     reached = [sorted(map(tuple, lineage.impact(graph, seeds).collect())) for graph in (loose, grouped)]
     assert reached[0] == reached[1] == [("a", 0), ("b", 2), ("c", 4), ("job:j", 1), ("job:k", 3)]
+
+
+def test_inputs_are_stored_as_they_are_made(spark, folder):
+    from oreflow.catalog import inputs
+
+    made = inputs.stored(spark, folder, "probe", lambda s, f: s.range(0, 90, 1, 3))
+    assert made.count() == 90 and len(made.inputFiles()) == 3
