@@ -41,19 +41,20 @@ def map_texts(
     make: Callable[[], Callable[[pa.RecordBatch], dict]],
     column: str = "text",
     last: bool = False,
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """Apply a function to bounded Arrow slices.
 
     ``make`` runs once per task and returns the function; that one gets a slice and returns a
     dict of columns. ``schema`` is the DDL of the result. With ``last`` the function is called once
-    more at the end of the task, with None.
+    more at the end of the task, with None. A slice has about ``limit`` bytes of ``column``.
     """
     target = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(target)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
         for batch in batches:
-            yield from slices(batch, column)
+            yield from slices(batch, column, limit)
         if last:
             yield None
 
@@ -75,6 +76,15 @@ def _array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
+ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+
+
+def arrow_table(columns: list, ddl: str) -> pa.Table:
+    """Columns under plain DDL, which tasks cannot have parsed by Spark."""
+    fields = [part.rsplit(" ", 1) for part in ddl.split(", ")]
+    return pa.table({name: pa.array(c, type=ARROW[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
+
+
 def ragged(flat: np.ndarray, sizes, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and the length of each list."""
     offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
@@ -82,6 +92,34 @@ def ragged(flat: np.ndarray, sizes, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(flat, type=kind))
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """64-bit numbers as compressed bytes, all first bytes, then all second ones, and so on."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(found: bytes, kind: type = np.int64) -> np.ndarray:
+    size = int.from_bytes(found[:8], "little")
+    planes = pa.decompress(found[8:], size * 8, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, size).T).view(kind).reshape(size)
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    """Sorted numbers as their first and their differences; ``np.cumsum`` gives them back."""
+    found = values.copy()
+    found[1:] -= values[:-1]
+    return found
+
+
+def unsigned(values: np.ndarray) -> np.ndarray:
+    """Small numbers of either sign as small ones from 0 on."""
+    return (values << 1) ^ (values >> 63)
+
+
+def signed(values: np.ndarray) -> np.ndarray:
+    return (values >> 1) ^ -(values & 1)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """64-bit finaliser: spreads every input bit over the result."""
     values = values ^ (values >> np.uint64(33))

@@ -8,19 +8,23 @@ one table (key, cost) holds the model, and texts are scored by one join of their
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oreflow.llm.common import map_texts
+from oreflow.llm.common import arrow_table, map_texts, signed, squeezed, steps, unsigned, unsqueezed
 from oreflow.operators.sizing import sized_side
-from oreflow.session import materialize
+from oreflow.session import Buckets, discard, exists, materialize, materialize_at, shuffles_removed
 
 FOLDS = 4
 """Parts of the trusted text; a text is scored by a model of the other parts."""
@@ -38,6 +42,13 @@ SHAPE_BITS = 15
 BEGIN, END = 1 << 40, 1 << 41
 """Keys of the borders of a text, of shape EDGE."""
 
+BUCKET_BYTES = 1 << 24
+"""Trusted text whose pairs make one bucket of the model, or less."""
+
+BLOCK_BYTES = 1 << 23
+ROUNDS = 6
+"""Parts that buckets and texts are worked off in, one after the other: shuffled data of one lies on disk at a time."""
+
 TURN = 23
 MOST_CACHED = 400_000
 
@@ -82,41 +93,119 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return first ^ (second << np.uint64(TURN) | second >> np.uint64(64 - TURN))
 
 
-def pair_key() -> Column:
-    """``pair_keys`` of the columns w1 and w2."""
-    turned = F.shiftleft("w2", TURN).bitwiseOR(F.shiftrightunsigned("w2", 64 - TURN))
-    return F.col("w1").bitwiseXOR(turned)
+def buckets_of(keys: np.ndarray, count: int) -> np.ndarray:
+    """The range of hash values, of ``count`` equal ones, that a key falls into."""
+    return ((keys >> np.uint64(33)) * np.uint64(count) >> np.uint64(31)).astype(np.int64)
+
+
+def bucket_of(word: Column, count: int) -> Column:
+    """``buckets_of`` as a column."""
+    return F.shiftright(F.shiftrightunsigned(word, 33) * F.lit(count).cast("long"), 31).cast("int")
 
 
-def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Different rows of some columns, and how often each occurs."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])
-    starts = np.flatnonzero(new)
-    return [c[starts] for c in columns], np.diff(np.append(starts, len(order)))
+def runs_by(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group with the places of its rows, which keep their order."""
+    order = np.argsort(groups, kind="stable")
+    found, starts = np.unique(groups[order], return_index=True)
+    return zip(found.tolist(), np.split(order, starts[1:]))
 
 
-def pair_counts(trusted: DataFrame) -> DataFrame:
-    """(w1, w2, n, t0, t1, ...) over all of ``trusted`` (text, fold): the count of each pair, and the count
-    outside each fold. Slices are counted before the shuffle."""
+def counted(codes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes in order, and the sum of their numbers."""
+    if n is None:
+        return np.unique(codes, return_counts=True)
+    order = np.argsort(codes, kind="stable")
+    found, starts = np.unique(codes[order], return_index=True)
+    return found, np.add.reduceat(n[order], starts) if len(found) else n[:0]
+
+
+def _pair_blocks(count: int) -> Callable:
+    """Counted pairs of a slice of texts, a block for each bucket: the block's words, and pairs of places there."""
 
     def make():
         keys = Keys()
 
         def work(part: pa.RecordBatch) -> dict:
             texts = [keys.of(t) for t in part.column("text").to_pylist()]
-            folds = np.repeat(part.column("fold").to_numpy(), [len(t) - 1 for t in texts])
-            first, second = (np.concatenate([t[cut] for t in texts]) for cut in (slice(0, -1), slice(1, None)))
-            (first, second, folds), n = distinct([first, second, folds])
-            return {"w1": first.view(np.int64), "w2": second.view(np.int64), "fold": folds, "n": n}
+            folds = np.repeat(part.column("fold").to_numpy(), [len(t) - 1 for t in texts]).astype(np.int64)
+            words, place = np.unique(np.concatenate(texts), return_inverse=True)
+            inner = np.ones(len(place), dtype=bool)
+            inner[np.cumsum([len(t) for t in texts]) - 1] = False
+            at = np.flatnonzero(inner)
+            codes, n = counted((place[at] * len(words) + place[at + 1]) * FOLDS + folds)
+            first, second, folds = codes // FOLDS // len(words), codes // FOLDS % len(words), codes % FOLDS
+            blocks = []
+            for bucket, rows in runs_by(buckets_of(pair_keys(words[first], words[second]), count)):
+                used = np.zeros(len(words), dtype=np.int64)
+                used[first[rows]] = used[second[rows]] = 1
+                moved = np.cumsum(used) - 1
+                columns = (steps(words[used > 0]), steps(moved[first[rows]]), moved[second[rows]], folds[rows], n[rows])
+                blocks.append((bucket, *map(squeezed, columns)))
+            return dict(zip(("bucket", "words", "first", "second", "fold", "n"), zip(*blocks)))
 
         return work
 
-    found = map_texts(trusted.select("text", "fold"), "w1 long, w2 long, fold int, n long", make)
-    outside = [F.sum(F.when(F.col("fold") != k, F.col("n")).otherwise(0)).alias(f"t{k}") for k in range(FOLDS)]
-    return found.groupBy("w1", "w2").agg(F.sum("n").alias("n"), *outside)
+    return make
+
+
+def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a bucket, the places of its pairs' words, and the pairs' counts within each fold."""
+    words, first = (np.cumsum(unsqueezed(row[c], kind), dtype=kind) for c, kind in (("words", np.uint64), ("first", np.int64)))
+    return words, first, unsqueezed(row["second"]), np.array([unsqueezed(row[f"f{k}"]) for k in range(FOLDS)])
+
+
+def _count_bucket(key: tuple, blocks: pa.Table) -> pa.Table:
+    """All pairs of a bucket in one row, with how many counts outside each fold are 1, 2, 3 and 4."""
+    parts = [[unsqueezed(v, np.uint64 if c == "words" else np.int64) for v in blocks[c].to_pylist()] for c in blocks.column_names[1:]]
+    parts[0], parts[1] = [np.cumsum(v, dtype=np.uint64) for v in parts[0]], [np.cumsum(v) for v in parts[1]]
+    words = np.unique(np.concatenate(parts[0]))
+    moved = [np.searchsorted(words, own) for own in parts[0]]
+    codes = np.concatenate([(m[a] * len(words) + m[b]) * FOLDS + f for m, a, b, f in zip(moved, *parts[1:4])])
+    codes, n = counted(codes, np.concatenate(parts[4]))
+    pairs, place = np.unique(codes // FOLDS, return_inverse=True)
+    inside = np.zeros((FOLDS, len(pairs)), dtype=np.int64)
+    inside[codes % FOLDS, place] = n
+    outside = inside.sum(axis=0) - inside
+    few = [int((outside[k] == j).sum()) for k in range(FOLDS) for j in (1, 2, 3, 4)]
+    columns = (steps(words), steps(pairs // len(words)), pairs % len(words), *inside)
+    return arrow_table([[v] for v in (key[0].as_py(), *map(squeezed, columns), int(n.sum()), few)], PAIRS)
+
+
+BLOCKS = "bucket int, words binary, first binary, second binary, fold binary, n binary"
+PAIRS = "bucket int, words binary, first binary, second binary, " + "".join(f"f{k} binary, " for k in range(FOLDS)) + "n long, few array<long>"
+FIGURES = ["n", *(f"{c}{k}" for c in ("total", "one", "two", "more", "c") for k in range(FOLDS))]
+"""Of a word: its count and, outside each fold, its pairs, how many of them are there once, twice and more often, and
+how many different words come before it."""
+
+
+def _word_figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the pairs of each bucket add to the figures of their words."""
+    for row in (r for batch in batches for r in batch.to_pylist()):
+        words, first, second, inside = _pairs_of(row)
+        n = inside.sum(axis=0)
+
+        def summed(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+            found = np.zeros(len(words), dtype=np.int64)
+            np.add.at(found, at, values)
+            return found
+
+        tests = [lambda t: t, lambda t: t == 1, lambda t: t == 2, lambda t: t > 2]
+        sums = [summed(first, n)]
+        sums += [summed(first, test(n - own).astype(np.int64)) for test in tests for own in inside]
+        sums += [summed(second, (n > own).astype(np.int64)) for own in inside]
+        for at in range(0, len(words), 1 << 16):
+            cut = slice(at, at + (1 << 16))
+            columns = [words.view(np.int64)[cut], *(v[cut] for v in sums)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", *FIGURES])
+
+
+def _words_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words that each bucket's pairs need figures of."""
+    for row in (r for batch in batches for r in batch.to_pylist()):
+        words = np.cumsum(unsqueezed(row["words"], np.uint64), dtype=np.uint64).view(np.int64)
+        for at in range(0, len(words), 1 << 16):
+            own = words[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), row["bucket"], dtype=np.int32))], names=["word", "bucket"])
 
 
 def discounts(few: list[int]) -> list[float]:
@@ -129,9 +218,9 @@ def discounts(few: list[int]) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]
 
 
-def taken(count: Column, by: list[float]) -> Column:
+def taken(count: np.ndarray, by: list[float]) -> np.ndarray:
     """The discount of a count; none of 0."""
-    return F.when(count == 0, 0.0).when(count == 1, by[0]).when(count == 2, by[1]).otherwise(by[2])
+    return np.array([0.0, *by])[np.minimum(count, 3)]
 
 
 def _tally(prefix: str) -> list[Column]:
@@ -144,19 +233,71 @@ def _discounts(row) -> list[list[float]]:
     return [discounts([row[f"{k}_{j}"] for j in (1, 2, 3, 4)]) for k in range(FOLDS)]
 
 
+COSTS = "bucket int, keys binary, " + "".join(f"v{k} binary, " for k in range(FOLDS)) + "heavy array<long>, heavy_costs array<long>"
+
+
 @dataclass(frozen=True)
 class Model:
-    """``costs`` (key, v0, v1, ...) in 1/UNIT nats for each fold's texts, without the frequent keys; those,
-    and what unknown words of each shape cost each fold."""
+    """``costs``, a row for each bucket of keys: its keys, in order, and what each costs the texts of each fold, in
+    1/UNIT nats, without the frequent keys; those, and what unknown words of each shape cost each fold."""
 
-    costs: DataFrame
+    costs: Buckets
     heavy: np.ndarray
     heavy_costs: np.ndarray
     unknown: np.ndarray
 
 
-def _units(nats: Column) -> Column:
-    return F.round(nats * UNIT).cast("long")
+def _units(nats: np.ndarray) -> np.ndarray:
+    return np.floor(nats * UNIT + 0.5).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Scale:
+    """What all costs share: discounts of pairs and of the lower order, that one's totals and unknown words."""
+
+    cuts: list[list[float]]
+    low_cuts: list[list[float]]
+    low_all: list[float]
+    unknown: np.ndarray
+    guess: np.ndarray
+    all_words: int
+
+    def weight(self, rows: pa.Table, k: int) -> np.ndarray:
+        one, two, more, total = (rows[f"{c}{k}"].to_numpy() for c in ("one", "two", "more", "total"))
+        left = self.cuts[k][0] * one + self.cuts[k][1] * two + self.cuts[k][2] * more
+        return np.where(total > 0, left / np.maximum(total, 1), 1.0)
+
+    def low(self, rows: pa.Table, k: int) -> np.ndarray:
+        count, look = rows[f"c{k}"].to_numpy(), rows["word"].to_numpy() & SHAPE_BITS
+        return np.where(count > 0, (count - taken(count, self.low_cuts[k])) / self.low_all[k], self.unknown[k][look])
+
+    def bucket(self, key: tuple, pairs: pa.Table, rows: pa.Table) -> pa.Table:
+        """The costs of a bucket from its pairs and from figures of words: of its own, and of those in its pairs."""
+        own = rows.filter(rows["own"])
+        keys, counts = [own["word"].to_numpy().view(np.uint64)], [own["n"].to_numpy()]
+        look = own["word"].to_numpy() & SHAPE_BITS
+        costs = [[_units(-np.log(self.low(own, k))) - self.guess[k][look] + _units(-np.log(self.weight(own, k)))] for k in range(FOLDS)]
+        for row in pairs.to_pylist():
+            words, first, second, inside = _pairs_of(row)
+            other = rows.filter(pc.invert(rows["own"]))
+            other = other.take(pa.array(np.argsort(other["word"].to_numpy().view(np.uint64))))
+            if not np.array_equal(other["word"].to_numpy().view(np.uint64), words):
+                raise RuntimeError("figures of a bucket's words are missing")
+            keys.append(pair_keys(words[first], words[second]))
+            counts.append(inside.sum(axis=0))
+            for k in range(FOLDS):
+                seen = counts[-1] - inside[k]
+                backed = self.weight(other, k)[first] * self.low(other, k)[second]
+                share = (seen - taken(seen, self.cuts[k])) / np.maximum(other[f"total{k}"].to_numpy(), 1)[first]
+                costs[k].append(np.where(seen > 0, _units(np.log(backed) - np.log(share + backed)), 0))
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        costs = np.array([np.concatenate(c) for c in costs])
+        order = np.argsort(keys)
+        keys, counts, costs = keys[order], counts[order], costs[:, order]
+        frequent = (counts * HEAVY >= self.all_words) & (self.all_words > 0)
+        usual = [squeezed(steps(keys[~frequent])), *(squeezed(unsigned(c[~frequent])) for c in costs)]
+        heavy = [keys[frequent].view(np.int64).tolist(), costs[:, frequent].ravel().tolist()]
+        return arrow_table([[v] for v in (key[0].as_py(), *usual, *heavy)], COSTS)
 
 
 def fit(trusted: DataFrame) -> Model:
@@ -165,16 +306,26 @@ def fit(trusted: DataFrame) -> Model:
     Lower orders count the different words seen before (continuation counts); a word without any is unknown, and
     the mass left to unknown words goes to shapes as the words with a single count have them. The driver gets
     a row of sums and at most 2 * HEAVY frequent keys.
+
+    Pairs are counted in buckets of hash ranges. A bucket asks for the figures of its different words, so no pair
+    becomes a row; that is done in ``ROUNDS`` parts of the buckets, which bounds what lies on disk at once.
     """
     spark = trusted.sparkSession
-    pairs = materialize(spark, pair_counts(trusted))
-    row = pairs.agg(F.sum("n").alias("n"), *_tally("t")).first()
+    trusted_path, trusted = materialize_at(spark, trusted.select("text", "fold"))
+    size = trusted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1)
+    blocks = map_texts(trusted, BLOCKS, _pair_blocks(count), limit=BLOCK_BYTES)
+    counted_pairs = blocks.groupBy("bucket").applyInArrow(_count_bucket, PAIRS).withColumn("turn", F.col("bucket") % ROUNDS)
+    pairs_path, pairs = materialize_at(spark, counted_pairs, "turn")
+    discard(spark, trusted_path)
+    few = [F.sum(F.element_at("few", k * 4 + j)).alias(f"{k}_{j}") for k in range(FOLDS) for j in (1, 2, 3, 4)]
+    row = pairs.agg(F.sum("n").alias("n"), *few).first()
     cuts, all_words = _discounts(row), row["n"] or 0
-    sums = [F.sum(f"t{k}").alias(f"total{k}") for k in range(FOLDS)]
-    left = [F.sum(taken(F.col(f"t{k}"), cuts[k])).alias(f"left{k}") for k in range(FOLDS)]
-    before = pairs.groupBy(F.col("w1").alias("word")).agg(F.sum("n").alias("n"), *sums, *left)
-    after = pairs.groupBy(F.col("w2").alias("word")).agg(*[F.count_if(F.col(f"t{k}") > 0).alias(f"c{k}") for k in range(FOLDS)])
-    words = materialize(spark, before.join(after, "word", "full").na.fill(0))
+    packed = pairs.select("words", "first", "second", *[f"f{k}" for k in range(FOLDS)])
+    sums = packed.mapInArrow(_word_figures, "word long, " + ", ".join(f"{c} long" for c in FIGURES))
+    figures, costs = Buckets(spark, "word", count), Buckets(spark, "bucket", count)
+    figures.add(sums.repartition(count, "word").groupBy("word").agg(*[F.sum(c).alias(c) for c in FIGURES]))
+    words = figures.read()
 
     look = F.col("word").bitwiseAND(F.lit(SHAPE_BITS))
     shapes = [F.count_if((F.col(f"c{k}") == 1) & (look == s)).alias(f"{k}_shape{s}") for k in range(FOLDS) for s in range(SHAPES)]
@@ -188,35 +339,26 @@ def fit(trusted: DataFrame) -> Model:
         unknown[k] = rest * seen / seen.sum()
     guess = np.round(-np.log(unknown) * UNIT).astype(np.int64)
 
-    def low(k: int) -> Column:
-        count = F.col(f"c{k}")
-        by_shape = F.element_at(F.array(*map(F.lit, unknown[k].tolist())), (look + 1).cast("int"))
-        return F.when(count > 0, (count - taken(count, low_cuts[k])) / F.lit(float(row[f"{k}_all"] or 1))).otherwise(by_shape)
-
-    weights = [F.coalesce(F.try_divide(f"left{k}", f"total{k}"), F.lit(1.0)).alias(f"weight{k}") for k in range(FOLDS)]
-    words = words.select("word", "n", *[f"total{k}" for k in range(FOLDS)], *weights, *[low(k).alias(f"low{k}") for k in range(FOLDS)])
-
-    def of_word(k: int) -> Column:
-        known = F.element_at(F.array(*map(F.lit, guess[k].tolist())), (look + 1).cast("int"))
-        return _units(-F.log(f"low{k}")) - known + _units(-F.log(f"weight{k}"))
-
-    singles = words.select(F.col("word").alias("key"), "n", *[of_word(k).alias(f"v{k}") for k in range(FOLDS)])
-    context = words.select(F.col("word").alias("w1"), *[f"{c}{k}" for c in ("total", "weight") for k in range(FOLDS)])
-    second = words.select(F.col("word").alias("w2"), *[f"low{k}" for k in range(FOLDS)])
-
-    def of_pair(k: int) -> Column:
-        count, backed = F.col(f"t{k}"), F.col(f"weight{k}") * F.col(f"low{k}")
-        own = F.try_divide(count - taken(count, cuts[k]), f"total{k}")
-        return F.when(count > 0, _units(F.log(backed) - F.log(own + backed))).otherwise(0)
-
-    doubles = pairs.join(context, "w1").join(second, "w2")
-    doubles = doubles.select(pair_key().alias("key"), "n", *[of_pair(k).alias(f"v{k}") for k in range(FOLDS)])
-    costs = materialize(spark, singles.unionByName(doubles))
-    frequent = (F.col("n") * HEAVY >= all_words) & F.lit(all_words > 0)
-    heavy = costs.filter(frequent).orderBy("key").toArrow()
-    keys = heavy["key"].to_numpy().astype(np.int64)
-    values = np.array([heavy[f"v{k}"].to_numpy() for k in range(FOLDS)], dtype=np.int64).reshape(FOLDS, -1)
-    return Model(costs.filter(~frequent).drop("n"), keys, values, guess)
+    def costed(key: tuple, own: pa.Table, rows: pa.Table) -> pa.Table:
+        return scale.bucket(key, own, rows)
+
+    scale = Scale(cuts, low_cuts, [float(row[f"{k}_all"] or 1) for k in range(FOLDS)], unknown, guess, all_words)
+    for turn in range(ROUNDS):
+        place = f"{pairs_path}/turn={turn}"
+        part = spark.read.schema(PAIRS).parquet(place) if exists(spark, place) else pairs.drop("turn").limit(0)
+        asked = part.select("bucket", "words").mapInArrow(_words_of_buckets, "word long, bucket int")
+        own = words.withColumn("bucket", bucket_of(F.col("word"), count)).withColumn("own", F.lit(True))
+        met = asked.hint("merge").join(words, "word").withColumn("own", F.lit(False))
+        met = met.unionByName(own.filter(F.col("bucket") % ROUNDS == turn))
+        costs.add(part.groupBy("bucket").cogroup(met.groupBy("bucket")).applyInArrow(costed, COSTS))
+        discard(spark, place)
+    discard(spark, pairs_path)
+    figures.drop()
+    heavy = costs.read().select("heavy", "heavy_costs").filter(F.size("heavy") > 0).toArrow()
+    keys = np.concatenate([np.empty(0, dtype=np.int64), *(np.array(v, dtype=np.int64) for v in heavy["heavy"].to_pylist())])
+    values = [np.array(v, dtype=np.int64).reshape(FOLDS, -1) for v in heavy["heavy_costs"].to_pylist()]
+    order = np.argsort(keys)
+    return Model(costs, keys[order], np.concatenate([np.empty((FOLDS, 0), dtype=np.int64), *values], axis=1)[:, order], guess)
 
 
 def fold() -> Column:
@@ -224,14 +366,19 @@ def fold() -> Column:
     return F.pmod(F.xxhash64(F.lit("limits"), F.coalesce(F.col("text"), F.lit(""))), F.lit(FOLDS)).cast("int")
 
 
-def _counted(model: Model) -> Callable:
-    """Rows of a slice of texts: the keys of each different text with their numbers, and one row (n = 0) with its
-    words and with the costs that need no join."""
-    shared = (model.heavy, model.heavy_costs, model.unknown)
+TEXTS = "bucket int, slice long, keys binary, texts binary, n binary, head binary"
+REPLIES = "slice long, texts binary, costs binary, head binary"
+
+
+def _text_blocks(model: Model) -> Callable:
+    """Keys of a slice of texts, a block for each bucket: keys in order, the texts with their folds, numbers. The first
+    block of a slice has its head: the hashes of its different texts, their words and the costs known here."""
+    shared = (model.heavy, model.heavy_costs, model.unknown, model.costs.count)
 
     def make():
-        heavy, heavy_costs, unknown = shared
+        heavy, heavy_costs, unknown, count = shared
         keys = Keys()
+        number = itertools.count()
 
         def work(part: pa.RecordBatch) -> dict:
             own = np.array([part.column(c).to_numpy() for c in ("high", "low", "fold")], dtype=np.int64)
@@ -251,52 +398,93 @@ def _counted(model: Model) -> Callable:
             looks = (token & np.uint64(SHAPE_BITS)).astype(np.int64)
             np.add.at(local, doc[~begins], unknown[folds[~begins], looks[~begins]])
             at = np.flatnonzero(inner)
-            key = np.concatenate((token, pair_keys(token[at], token[at + 1]))).view(np.int64)
+            key = np.concatenate((token, pair_keys(token[at], token[at + 1])))
             doc = np.concatenate((doc, doc[at]))
+            order = np.argsort(key, kind="stable")
+            key, doc = key[order], doc[order]
             if len(heavy):
-                place = np.minimum(np.searchsorted(heavy, key), len(heavy) - 1)
-                hit = heavy[place] == key
+                place = np.minimum(np.searchsorted(heavy, key.view(np.int64)), len(heavy) - 1)
+                hit = heavy[place] == key.view(np.int64)
                 np.add.at(local, doc[hit], heavy_costs[own[2][doc[hit]], place[hit]])
                 key, doc = key[~hit], doc[~hit]
-            (doc, key), n = distinct([doc, key])
-            none = np.zeros(len(key), dtype=np.int64)
-            high, low, folds = (np.concatenate((c[doc], c)) for c in own)
-            return {
-                "high": high,
-                "low": low,
-                "fold": folds,
-                "key": np.concatenate((key, own[0])),
-                "n": np.concatenate((n, np.zeros(len(texts), dtype=np.int64))),
-                "words": np.concatenate((none, sizes - 2)),
-                "local": np.concatenate((none, local)),
-            }
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            starts = np.flatnonzero(new)
+            key, doc, n = key[starts], doc[starts], np.diff(np.append(starts, len(key)))
+            place = (TaskContext.get().partitionId(), next(number))
+            name = xxhash.xxh3_64_intdigest(own.tobytes() + repr(place).encode()) >> 1
+            head = squeezed(np.concatenate((own[0], own[1], sizes - 2, local)))
+            doc = doc * FOLDS + own[2][doc]
+            edges = np.searchsorted(buckets_of(key, count), np.arange(count + 1))
+            blocks = [
+                (b, name, *map(squeezed, (steps(key[s:e]), doc[s:e], n[s:e])), None)
+                for b, (s, e) in enumerate(pairwise(edges.tolist()))
+                if s < e
+            ]
+            nothing = squeezed(n[:0])
+            blocks.append((name % count, name, nothing, nothing, nothing, head))
+            return dict(zip(("bucket", "slice", "keys", "texts", "n", "head"), zip(*blocks)))
 
         return work
 
     return make
 
 
+def _score_bucket(costs: pa.Table, blocks: pa.Table) -> pa.Table:
+    """What the keys of a bucket add to the cost of the texts in each block."""
+    keys, values = np.empty(0, dtype=np.uint64), np.empty((FOLDS, 0), dtype=np.int64)
+    for row in costs.to_pylist():
+        keys = np.cumsum(unsqueezed(row["keys"], np.uint64), dtype=np.uint64)
+        values = np.array([signed(unsqueezed(row[f"v{k}"])) for k in range(FOLDS)])
+    found = []
+    for row in zip(*(blocks[c].to_pylist() for c in ("slice", "keys", "texts", "n", "head"))):
+        name, key, doc, n, head = row[0], np.cumsum(unsqueezed(row[1], np.uint64), dtype=np.uint64), *map(unsqueezed, row[2:4]), row[4]
+        places, sums = doc[:0], n[:0]
+        if len(keys) and len(key):
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = np.flatnonzero(keys[place] == key)
+            doc, cost = doc[hit], n[hit] * values[doc[hit] % FOLDS, place[hit]]
+            sums = np.zeros(doc.max() // FOLDS + 1 if len(doc) else 0, dtype=np.int64)
+            np.add.at(sums, doc // FOLDS, cost)
+            places = np.flatnonzero(sums)
+            sums = sums[places]
+        if len(places) or head:
+            found.append((name, squeezed(steps(places)), squeezed(unsigned(sums)), head))
+    return arrow_table(list(zip(*found)) if found else [[]] * 4, REPLIES)
+
+
+def _sum_slice(replies: pa.Table) -> pa.Table:
+    """The whole cost of each text of a slice."""
+    heads = [h for h in replies["head"].to_pylist() if h is not None]
+    if len(heads) != 1:
+        raise RuntimeError("a slice of texts was read twice with different rows")
+    high, low, words, cost = unsqueezed(heads[0]).reshape(4, -1).copy()
+    for at, value in zip(replies["texts"].to_pylist(), replies["costs"].to_pylist()):
+        cost[np.cumsum(unsqueezed(at))] += signed(unsqueezed(value))
+    return pa.table({"high": high, "low": low, "n_words": words, "_cost": cost})
+
+
 def surprisals(docs: DataFrame, model: Model, carry: str | None = None) -> DataFrame:
     """(doc_id, lang, n_words, surprisal): summed negative log probability of each whole text and of its end
     under the model for its ``fold``, and the binary column ``carry``.
 
-    A text is known by 128 bits of hash; copies within a slice are counted once, others share their mean. The
-    model's side of the join has one row per key, so adaptive execution may split a frequent key of the texts.
+    A text is known by 128 bits of hash, and copies get one result. The keys of a slice of texts go to the buckets of
+    the model in blocks, and sums per text come back. That is done in ``ROUNDS`` parts of the texts, which bounds
+    what lies on disk at once. ``docs`` must give its rows in the same partitions and order when a task is repeated.
     """
+    spark = docs.sparkSession
     carried = [carry] if carry else []
     name = [F.xxhash64(F.lit(part), F.coalesce(F.col("text"), F.lit(""))).alias(part) for part in ("high", "low")]
     named = docs.select("doc_id", "lang", "text", "fold", *carried, *name)
-    schema = "high long, low long, fold int, key long, n long, words long, local long"
-    rows = map_texts(named.select("text", "fold", "high", "low"), schema, _counted(model))
-    met = rows.join(model.costs, "key", "left")
-    cost = reduce(lambda other, k: F.when(F.col("fold") == k, F.col(f"v{k}")).otherwise(other), range(FOLDS), F.lit(0))
-    sums = met.groupBy("high", "low").agg(
-        F.sum(F.col("n") * F.coalesce(cost, F.lit(0)) + F.col("local")).alias("_cost"),
-        F.count_if(F.col("n") == 0).alias("_copies"),
-        F.max("words").alias("n_words"),
-    )
-    surprisal = (F.col("_cost") / F.col("_copies") / UNIT).alias("surprisal")
-    return named.join(sized_side(sums), ["high", "low"], "left").select("doc_id", "lang", "n_words", surprisal, *carried)
+    sums = []
+    for turn in range(ROUNDS):
+        part = named.filter(F.pmod(F.col("high"), F.lit(ROUNDS)) == turn).select("text", "fold", "high", "low")
+        blocks = map_texts(part, TEXTS, _text_blocks(model), limit=BLOCK_BYTES)
+        replies = model.costs.read().groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInArrow(_score_bucket, REPLIES)
+        sums.append(materialize(spark, replies.groupBy("slice").applyInArrow(_sum_slice, "high long, low long, n_words long, _cost long")))
+    whole = reduce(DataFrame.unionByName, sums).groupBy("high", "low").agg(F.max("_cost").alias("_cost"), F.max("n_words").alias("n_words"))
+    surprisal = (F.col("_cost") / UNIT).alias("surprisal")
+    return named.join(sized_side(whole), ["high", "low"], "left").select("doc_id", "lang", "n_words", surprisal, *carried)
 
 
 def _blended(rows: DataFrame, basis: DataFrame, marks: dict[str, Column], even: float) -> DataFrame:
@@ -349,8 +537,12 @@ def classify(
     carried = [carry] if carry else []
     texts = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"), *carried)
     texts = texts.withColumn("fold", fold())
-    trusted = materialize(spark, texts.join(good, "doc_id", "left_semi").select("text", "fold"))
-    scored = materialize(spark, surprisals(texts, fit(trusted), carry))
+    with shuffles_removed(spark):
+        model = fit(texts.join(good, "doc_id", "left_semi"))
+        try:
+            scored = materialize(spark, surprisals(texts, model, carry))
+        finally:
+            model.costs.drop()
     mean = F.when(F.col("n_words") > 0, F.col("surprisal") / (F.col("n_words") + 1))
     checked = materialize(spark, scored.filter("n_words > 0").join(good, "doc_id", "left_semi"))
 

@@ -105,6 +105,39 @@ def steps_removed(spark: SparkSession) -> Iterator[None]:
         _SCOPES.paths = outer
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs inside are removed as each job ends, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class Buckets:
+    """A table in the shared folder with one bucket for each value of a column from 0 on, so that grouping it by that
+    column needs no shuffle. Rows can be added; ``drop`` removes it all."""
+
+    def __init__(self, spark: SparkSession, column: str, count: int):
+        self.spark, self.column, self.count = spark, column, count
+        self.path = work_path(spark, "buckets")
+        self.name = f"oreflow_{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame) -> None:
+        write = df.write.mode("append").format("parquet").bucketBy(self.count, self.column)
+        write.option("path", self.path).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        discard(self.spark, self.path)
+
+
 def materialize_counted(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, int]:
     """Compute once into a Parquet table in the shared folder; returns the
     table and its row count, taken while writing.
@@ -120,5 +153,12 @@ def materialize_counted(spark: SparkSession, df: DataFrame) -> tuple[DataFrame,
     return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
 
 
+def materialize_at(spark: SparkSession, df: DataFrame, *by: str) -> tuple[str, DataFrame]:
+    """A step that the caller discards, with its path; with a folder for each value of the columns ``by``, the last ones."""
+    path = work_path(spark, "step")
+    df.write.partitionBy(*by).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
     return materialize_counted(spark, df)[0]

@@ -4,14 +4,17 @@ import re
 from collections import Counter
 from dataclasses import replace
 from itertools import combinations, pairwise
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from oreflow.llm import near_dup, pages, quality, topk, vectors
+from oreflow.llm.common import signed, squeezed, steps, unsigned, unsqueezed
 from oreflow.llm.components import components
 from oreflow.llm.queries import QUERIES, SQL
+from oreflow.session import shared_dir
 from tests.llm.test_text_operators import DOCS, ODD, docs
 from tests.oracle import compare, connect
 
@@ -322,6 +325,26 @@ def test_perplexities_equal_plain_counts(spark, monkeypatch, heavy):
             assert abs(r.surprisal - plain_costs(others, texts[r.doc_id])) < 1e-4
 
 
+def test_quality_leaves_no_model_on_disk(spark):
+    folder, shared = "/root/testdata/sf0.01", shared_dir(spark).removeprefix("file:")
+    on_disk = lambda: sum(p.stat().st_size for p in Path(shared).rglob("*.parquet") if p.is_file())
+    texts, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    before = on_disk()
+    assert quality.classify(texts, labels).count() == texts.count()
+    assert on_disk() - before < Path(folder, "documents.parquet").stat().st_size / 5
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("oreflow_")]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_squeezed_numbers_come_back():
+    draw = np.random.default_rng(7)
+    for values in (np.sort(draw.integers(0, 1 << 64, 999, dtype=np.uint64)), np.empty(0, dtype=np.uint64)):
+        assert np.array_equal(np.cumsum(unsqueezed(squeezed(steps(values)), np.uint64), dtype=np.uint64), values)
+    values = draw.integers(-(1 << 40), 1 << 40, 999)
+    assert np.array_equal(signed(unsqueezed(squeezed(unsigned(values)))), values)
+    assert len(squeezed(np.arange(1 << 16) % 200)) < 1 << 17
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1, 0), (4, 1, None), (None, 1, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
     found = quality.classify(docs(spark, ODD), labels).collect()
