@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from contextlib import nullcontext
 from dataclasses import replace
 from itertools import combinations, pairwise
 from pathlib import Path
@@ -14,7 +15,7 @@ from oreflow.llm import near_dup, pages, quality, topk, vectors
 from oreflow.llm.common import signed, squeezed, steps, unsigned, unsqueezed
 from oreflow.llm.components import components
 from oreflow.llm.queries import QUERIES, SQL
-from oreflow.session import shared_dir
+from oreflow.session import shared_dir, work_path
 from tests.llm.test_text_operators import DOCS, ODD, docs
 from tests.oracle import compare, connect
 
@@ -140,6 +141,47 @@ def test_near_vectors_equal_all_pairs(spark):
     assert vectors.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_near_vectors_disk_does_not_grow_with_tiles(spark, monkeypatch):
+    """820 tiles of 40 blocks: all that is shuffled and stored stays below four times the vectors."""
+    monkeypatch.setattr(vectors, "shuffles_removed", lambda spark: nullcontext(), raising=False)
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def on_disk() -> dict[str, int]:
+        files = manager.getAllFiles()
+        found = [Path(files.apply(i).getPath()) for i in range(files.size())]
+        found = [f for f in found if f.name.startswith("shuffle_")] + list(Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+        return {str(f): f.stat().st_size for f in found if f.is_file()}
+
+    x = np.random.default_rng(3).normal(size=(2560, 64)).astype(np.float32)
+    x[1::10] = x[::10] * 2 + np.float32(0.01)
+    x[2::640] = x[0]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    frame.write.parquet(path := work_path(spark, "vectors"))
+    before = on_disk()
+    found = vectors.near_vectors(spark.read.parquet(path), size=64)
+    made = sum(size for name, size in on_disk().items() if name not in before)
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(axis=1))[:, None]
+    linked = unit @ unit.T >= 0.9
+    label = reachable(range(len(x)), np.argwhere(np.triu(linked, 1)).tolist())
+    assert {tuple(r) for r in found.collect()} == {(i, int(linked[i].sum()) - 1, label[i], label[i] == i) for i in range(len(x))}
+    assert made < 4 * x.nbytes
+
+
+def test_near_vectors_join_labels_of_many_tasks(spark):
+    """A chain whose links lie in tiles of several tasks, one cluster in all blocks, repeated ids, doubles."""
+    turn = np.arange(60) / 24
+    chain = np.stack((np.cos(turn), np.sin(turn), 0 * turn), axis=1)
+    rows = [(1000 - i, v) for i, v in enumerate(chain.tolist())] + [(2000 + i // 2, [0.0, 1e-3 * (i % 7), -1.0 - i]) for i in range(60)]
+    good = np.array([v for _, v in rows])
+    unit = good / np.sqrt((good * good).sum(axis=1))[:, None]
+    linked = unit @ unit.T >= 0.9
+    label = reachable([i for i, _ in rows], [(rows[a][0], rows[b][0]) for a, b in np.argwhere(np.triu(linked, 1))])
+    want = sorted((i, int(linked[k].sum()) - 1, label[i], label[i] == i) for k, (i, _) in enumerate(rows))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    for size in (4, 7, 64):
+        assert sorted(tuple(r) for r in vectors.near_vectors(frame, size=size).collect()) == want
+
+
 def test_quantisation_bound_holds():
     draw = np.random.default_rng(2)
     x, _ = vectors._unit(draw.normal(size=(80, 64)))
