@@ -16,7 +16,8 @@ from oreflow.llm.components import components, smallest_reached
 from oreflow.session import materialize, shuffles_removed
 
 BLOCK_ROWS = 4096
-TILE_ROWS = 1024
+TILE_ROWS = 256
+HEAD = 16
 SIDE_BYTES = 1 << 27
 SIDES = 8
 PIVOTS = 16
@@ -165,38 +166,58 @@ class Coded:
         return _unit(self._vectors.astype(np.float64))[0]
 
 
+def heads(x: Coded, first: int) -> np.ndarray:
+    """What the codes of the first components stand for, and a bound of the length of all others as one component more."""
+    found = np.empty((len(x.codes), first + 1), dtype=np.float32)
+    found[:, :first] = x.codes[:, :first] * x.scale[:, None].astype(np.float32)
+    rest = x.codes[:, first:].astype(np.float32)
+    found[:, first] = x.scale * np.sqrt(np.einsum("ij,ij->i", rest, rest)) + x.missed
+    return found
+
+
 def linked_pairs(one: Coded, two: Coded, threshold: float):
     """Places (i, j) of all pairs with cosine at least the threshold, in runs of rows.
 
     With unit vectors x = s p + e and y = t q + f, the product differs from s t (p q) by at most
     |e| (1 + |f|) + |f|. Products of codes are whole numbers below 2**24 for up to 1,000 components, so single
     precision gives them exactly. Only pairs that the bound leaves open are computed in double precision.
+
+    Before that, half of the components with the lengths of what they leave out bound the product (the product of two lengths is
+    the largest that the other halves can add); rows that this leaves without a partner are done.
     """
     (p, s, e), (q, t, f) = ((x.codes, x.scale, x.missed) for x in (one, two))
-    right = np.ascontiguousarray(q.T.astype(np.float32 if q.shape[1] <= 1000 else np.float64))
+    kind = np.float32 if q.shape[1] <= 1000 else np.float64
+    right, first = None, q.shape[1] // 2
     most_f, most_t = f.max(), t.max()
+    short = (heads(one, first), np.ascontiguousarray(heads(two, first).T)) if first >= HEAD else None
     for at in range(0, len(p), TILE_ROWS):
-        run = slice(at, at + TILE_ROWS)
-        product = p[run].astype(right.dtype) @ right
-        slack = e[run] * (1 + most_f) + most_f + ROUNDING
-        rough = (threshold - slack) / (s[run] * most_t)
-        rough = np.maximum(rough, 0).astype(right.dtype) - 1
-        rows = np.flatnonzero(product.max(axis=1) >= rough)
-        if not len(rows):
-            continue
-        i, j = np.divmod(np.flatnonzero(product[rows] >= rough[rows, None]), len(q))
-        i = rows[i]
-        near = product[i, j] * s[run][i] * t[j] + e[run][i] * (1 + f[j]) + f[j] + ROUNDING >= threshold
+        rows = np.arange(at, min(at + TILE_ROWS, len(p)))
+        slack = e[rows] * (1 + most_f) + most_f + ROUNDING
+        if short:
+            single = (first + 8) / 2**22
+            open_ = (short[0][rows] @ short[1]).max(axis=1) >= (threshold - slack - single).astype(np.float32)
+            if 2 * open_.sum() > len(rows):
+                short = None
+            rows, slack = rows[open_], slack[open_]
+            if not len(rows):
+                continue
+        if right is None:
+            right = np.ascontiguousarray(q.T.astype(kind))
+        product = p[rows].astype(kind) @ right
+        rough = np.maximum((threshold - slack) / (s[rows] * most_t), 0).astype(kind) - 1
+        i, j = np.divmod(np.flatnonzero(product >= rough[:, None]), len(q))
+        near = product[i, j] * s[rows][i] * t[j] + e[rows][i] * (1 + f[j]) + f[j] + ROUNDING >= threshold
         i, j = i[near], j[near]
         if not len(i):
             continue
-        x, y = one.unit[run], two.unit
+        x, y = one.unit[rows], two.unit
         if len(i) > 0.05 * product.size:
             exact = (x @ y.T)[i, j]
         else:
             exact = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536)])
         good = exact >= threshold
-        yield i[good] + at, j[good]
+        if good.any():
+            yield rows[i[good]], j[good]
 
 
 class Found:
