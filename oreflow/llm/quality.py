@@ -354,6 +354,7 @@ def fit(trusted: DataFrame) -> Model:
         discard(spark, place)
     discard(spark, pairs_path)
     figures.drop()
+    costs.close()
     heavy = costs.read().select("heavy", "heavy_costs").filter(F.size("heavy") > 0).toArrow()
     keys = np.concatenate([np.empty(0, dtype=np.int64), *(np.array(v, dtype=np.int64) for v in heavy["heavy"].to_pylist())])
     values = [np.array(v, dtype=np.int64).reshape(FOLDS, -1) for v in heavy["heavy_costs"].to_pylist()]

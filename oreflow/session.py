@@ -119,19 +119,24 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
 
 class Buckets:
     """A table in the shared folder with one bucket for each value of a column from 0 on, so that grouping it by that
-    column needs no shuffle. Rows can be added; ``drop`` removes it all."""
+    column needs no shuffle. Rows can be added until ``close``, which takes its name out of the catalog; ``drop`` removes it all."""
 
     def __init__(self, spark: SparkSession, column: str, count: int):
         self.spark, self.column, self.count = spark, column, count
         self.path = work_path(spark, "buckets")
         self.name = f"oreflow_{uuid.uuid4().hex}"
+        self.whole: DataFrame | None = None
 
     def add(self, df: DataFrame) -> None:
         write = df.write.mode("append").format("parquet").bucketBy(self.count, self.column)
         write.option("path", self.path).saveAsTable(self.name)
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.name)
+        return self.spark.table(self.name) if self.whole is None else self.whole
+
+    def close(self) -> None:
+        self.whole = self.spark.table(self.name)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
